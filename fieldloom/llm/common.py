@@ -74,3 +74,37 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns of those names, whatever their case."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body or its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def blank_words(text: Column) -> Column:
+    """The words of text between runs of white space as the contracts define it."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN, -1))
+
+
+def lines_without(text: Column, gone: Column) -> Column:
+    """text less the lines at the positions in gone, a sorted array from 0."""
+
+    def cut_out(lines: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+        piece = lambda b: lambda k: F.slice(lines, F.get(b, k) + 2, F.get(b, k + 1) - F.get(b, k) - 1)
+        return let(bounds, lambda b: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), piece(b))), "\n"))
+
+    return let(F.split(text, "\n", -1), cut_out)
+
+
+def covered(spans: Column) -> Column:
+    """How many positions the (start, length) structs of a sorted array cover."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("reach"))
+
+    def step(acc: Column, span: Column) -> Column:
+        end = (span["start"] + span["length"]).cast("long")
+        begin = F.greatest(acc["reach"], span["start"].cast("long"))
+        return F.struct((acc["n"] + F.greatest(end - begin, F.lit(0).cast("long"))).alias("n"), F.greatest(acc["reach"], end).alias("reach"))
+
+    return F.aggregate(spans, start, step)["n"]

@@ -50,5 +50,72 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash}
-ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+OP4 = r"""
+with d as (select doc_id, coalesce(text, '') t, coalesce(source, '') s from documents),
+w as (select doc_id, t, s, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w from d),
+win as (select doc_id, i, array_to_string(w[i:i+7], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from w where len(w) >= 8) q),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) c from win) q where c > 1),
+cov as (select doc_id, count(distinct i + k) r from twice, range(0, 8) o(k) group by doc_id),
+ln as (select doc_id, s, t, unnest(string_split(t, chr(10))) l from d),
+fl as (select * from ln where regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g') <> ''),
+dup as (select doc_id, count(*) - count(distinct l) n from fl group by doc_id),
+nl as (select doc_id, s, t, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) k from fl),
+hosts as (select s, count(distinct t) n from d group by s),
+above as (select nl.s, k from nl join hosts using (s) group by nl.s, k, hosts.n having count(distinct t) > 20 and count(distinct t) > hosts.n * 0.1),
+gone as (select doc_id, count(*) n, sum(len(string_split(k, ' '))) w from nl join above using (s, k) group by doc_id),
+m as (
+  select w.doc_id, cast(len(w.w) as bigint) n_words, cast(length(array_to_string(w.w, '')) as bigint) word_chars,
+    cast(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(cov.r, 0) n_repeat_words,
+    cast(coalesce(gone.n, 0) as bigint) n_common_lines, cast(len(w.w) - coalesce(gone.w, 0) as bigint) words_left
+  from w left join dup using (doc_id) left join cov using (doc_id) left join gone using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (n_common_lines > 0 and (words_left < 20 or words_left < 0.2 * n_words)) kept
+from m
+"""
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP9 = r"""
+with lo as (select 'd' kind, doc_id id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents
+  union all select 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+w as (select kind, id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from lo),
+iw as (select distinct id item, least(len(w), 10) k, array_to_string(w[i:i+9], ' ') g from (select id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from w where kind = 'b' and len(w) > 0) q),
+ks as (select distinct k from iw),
+dw as (select id doc, i, k, array_to_string(w[i:i+k-1], ' ') g from (select id, w, k, unnest(range(1, len(w) - k + 2)) i from w, ks where kind = 'd' and len(w) >= k) q),
+hit as (select doc, i, dw.k, item from dw join iw on dw.k = iw.k and dw.g = iw.g),
+pos as (select doc, count(distinct p) n from (select doc, unnest(range(i, i + k)) p from hit) q group by doc),
+its as (select doc, count(distinct item) n, string_agg(distinct cast(item as varchar), ',' order by cast(item as varchar)) s from hit group by doc)
+select w.id doc_id, cast(len(w.w) as bigint) n_words, coalesce(pos.n, 0) n_hit, coalesce(its.n, 0) n_items, sha256(coalesce(its.s, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated
+from w left join pos on pos.doc = w.id left join its on its.doc = w.id where kind = 'd'
+"""
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.pii import BASE, joined, personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {
+    "op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_quality_rules": op4_quality_rules,
+    "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii,
+}
+ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_decontaminate": OP9}
