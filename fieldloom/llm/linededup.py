@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import BLANKS, ascii_lower, scratch, stored, without
+from fieldloom.llm.common import BLANKS, ascii_lower, lines_without, scratch, stored, without
 
 #: Batches the table is taken in, and runs of a level that are compacted together.
 BATCHES, FANOUT = 4, 2
@@ -30,7 +30,7 @@ OUT = ("n_lines", "n_dropped")
 def _keys(text: Column) -> Column:
     """For each line its key's two hashes, or null where the key is too short."""
     hashes = lambda k: F.when(F.length(k) >= KEY_CHARS, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("line"), k).alias("h2")))
-    return F.transform(F.split(ascii_lower(text), "\n", -1), lambda line: hashes(F.btrim(line, F.lit(BLANKS))))
+    return F.transform(F.transform(F.split(ascii_lower(text), "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS))), hashes)
 
 
 class Runs:
@@ -42,7 +42,7 @@ class Runs:
         self.tag = uuid.uuid4().hex[:12]
         self.made = 0
 
-    def _write(self, hashes: DataFrame, status: bool) -> str:
+    def _write(self, hashes: DataFrame) -> str:
         self.made += 1
         name = f"line_run_{self.tag}_{self.made}"
         path = scratch(self.spark, name)
@@ -57,7 +57,7 @@ class Runs:
             run = self.spark.table(name).where("not seen").select("h1", "h2", F.lit(True).alias(f"_in{k}"))
             keys = keys.join(run.hint("merge"), ["h1", "h2"], "left")
             seen = seen | F.coalesce(F.col(f"_in{k}"), F.lit(False))
-        name = self._write(keys.select("h1", "h2", "first", "last", seen.alias("seen")), True)
+        name = self._write(keys.select("h1", "h2", "first", "last", seen.alias("seen")))
         self._push(0, name)
         return self.spark.table(name)
 
@@ -71,7 +71,7 @@ class Runs:
             for run in runs[1:]:
                 merged = merged.unionByName(run)
             self.levels[level] = []
-            self._push(level + 1, self._write(merged, False))
+            self._push(level + 1, self._write(merged))
 
 
 def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -88,15 +88,12 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     number = F.lit(0)
     for edge in edges:
         number = number + (F.col("_doc") > F.lit(edge)).cast("int")
-    lines = lines.withColumn("_batch", number)
+    lines = stored(lines.withColumn("_batch", number), "line-hashes")
 
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     repeated = None
     for k in range(len(edges) + 1):
-        low, high = ([NO_ID, *edges][k], edges[k] if k < len(edges) else None)
-        batch = lines.where((F.col("_doc") > low) if k else F.lit(True))
-        batch = batch.where(F.col("_doc") <= high) if high is not None else batch
-        found = runs.add(batch.groupBy("h1", "h2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")))
+        found = runs.add(lines.where(F.col("_batch") == k).groupBy("h1", "h2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")))
         hit = found.where("seen or first <> last").select(F.lit(k).alias("_batch"), "h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("_keeper"))
         repeated = hit if repeated is None else repeated.unionByName(hit)
 
@@ -107,11 +104,9 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     )
     docs = docs.withColumn("_doc", doc).withColumn("_row", F.xxhash64(text))
     joined = docs.join(gone, ["_doc", "_row"], "left")
-    all_lines = F.split(text, "\n", -1)
-    bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(all_lines)))
-    stretch = lambda k: F.slice(all_lines, F.get(bounds, k) + 2, F.get(bounds, k + 1) - F.get(bounds, k) - 1)
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), stretch))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    kept = lines_without(text, F.col("_gone"))
     return joined.select(
-        *[F.col(f"`{c}`") if c.lower() != "text" else F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) for c in docs.columns if c not in ("_doc", "_row")],
-        F.size(all_lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(f"`{c}`") if c.lower() != "text" else F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) for c in docs.columns if c not in ("_doc", "_row")],
+        (breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
