@@ -114,8 +114,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier, "op6_html_extract": op6_html_extract, "op7_packing": op7_packing, "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii,
 }
 ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_decontaminate": OP9}
