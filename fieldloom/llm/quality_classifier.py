@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ SIZE, MARKS, REACH = 64, 6, 3
 MOST_WORDS, LEAST_COUNT = 20_000, 3
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 24, 300, 0.01, 1e-3, 3
 THRESHOLD = 0.3
+#: Words whose tokens a worker remembers.
+REMEMBERED = 400_000
 
 _CLASSES = [(re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_]+"), None)]
 _RUN = re.compile(r"(.)\1+", re.S)
@@ -45,6 +48,10 @@ def shape(word: str) -> str:
 
 
 def tokens(word: str) -> tuple[str, ...]:
+    body, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+    if body.isalpha() and body.isascii():  # the same as below, for most words
+        kind = "X" if len(body) > 1 and body.isupper() else "Xx" if body[0].isupper() else "x"
+        return body.lower()[:48], f"\x01{kind if len(word) <= 64 else shape(word)[:2]}{mark if len(word) <= 64 else ''}"
     return ("".join(_LETTERS.findall(word)).lower()[:48], "\x01" + shape(word))
 
 
@@ -140,31 +147,32 @@ class Network:
 class Model:
     def __init__(self, row: dict[str, int], vectors: np.ndarray, network: Network | None, share: float):
         self.row, self.vectors, self.network, self.share = row, vectors, network, share
-        self._seen: dict[str, np.ndarray] = {}
+        self._seen: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_seen": {}}
 
-    def _word(self, word: str) -> np.ndarray:
-        """The sum of a word's token vectors, then how many there are."""
-        rows = [self.row[t] for t in tokens(word) if t in self.row]
-        made = np.r_[self.vectors[rows].sum(axis=0), np.float32(len(rows))] if rows else np.zeros(SIZE + 1, np.float32)
-        if len(self._seen) > 100_000:
-            self._seen.clear()
-        self._seen[word] = made
-        return made
+    def _learn(self, words: set[str]) -> None:
+        if len(self._seen) > REMEMBERED:
+            self._seen = {}
+        for w in words:
+            self._seen[w] = tuple(self.row[t] for t in tokens(w) if t in self.row)
 
     def document(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(SIZE)
-        count = Counter(words)
-        seen = self._seen
-        table = np.stack([seen[w] if w in seen else self._word(w) for w in count])
-        total = np.fromiter(count.values(), np.float32, len(count)) @ table
+        """The mean of the vectors of the text's tokens."""
+        words, total, n = text.split(), np.zeros(SIZE), 0
+        for low in range(0, len(words), 1 << 14):
+            part = words[low : low + (1 << 14)]
+            rows = list(map(self._seen.get, part))
+            if None in rows:
+                self._learn({w for w, r in zip(part, rows) if r is None} | set(part) if len(self._seen) > REMEMBERED else {w for w, r in zip(part, rows) if r is None})
+                rows = [self._seen[w] for w in part]
+            ids = np.fromiter(chain.from_iterable(rows), np.int64)
+            total += self.vectors[ids].sum(axis=0)
+            n += len(ids)
         if AGAIN in self.row and (again := sum(map(str.__eq__, words, words[1:]))):
-            total = total + again * np.r_[self.vectors[self.row[AGAIN]], np.float32(1)]
-        return (total[:SIZE] / max(float(total[SIZE]), 1.0)).astype(float)
+            total, n = total + again * self.vectors[self.row[AGAIN]], n + again
+        return total / max(n, 1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.network is None:
