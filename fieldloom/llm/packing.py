@@ -16,8 +16,11 @@ each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,11 @@ CUT_EVERY = 256
 STRETCH = 1 << 19
 SHORT = tuple(1 << k for k in range(5, 11))
 #: Pieces of text whose ids a worker remembers.
-KNOWN = 300_000
+KNOWN = 600_000
 END = np.array([END_ID], "<u4").tobytes()
+#: The letters that byte-level vocabularies write for bytes which are not printable as they are, in the order of those bytes.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class Encoder:
@@ -45,42 +51,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        ends = [self.tokenizer.token_to_id(t) for t in (".</w>", "!</w>", "?</w>", "...</w>", ".", "!", "?")]
-        self.sentence_ends = np.array([e for e in ends if e is not None], np.uint32)
+        self.before: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        words = self.tokenizer.get_vocab()
+        self.sentence_ends = np.array(sorted(words[t] for t in (".</w>", "!</w>", "?</w>", "...</w>", ".", "!", "?") if t in words), np.uint32)
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Learns words; one of letters alone is a single word to the vocabulary and goes to its merges directly."""
+        known, merge, alone = self.known, self.model.tokenize, []
+        for w in words:
+            if w.isalpha():
+                letters = w.lower().decode()
+            else:
+                text = w.decode()
+                letters = "".join(map(str.lower, unicodedata.normalize("NFC", text))) if text.isalpha() else ""
+                if not letters.isalpha():
+                    alone.append((w, text))
+                    continue
+                letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+            known[w] = array("I", [t.id for t in merge(letters)]).tobytes()
+        for (w, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
 
     def _learn(self, missing: list[bytes]) -> None:
         if len(self.known) > KNOWN:
-            self.known = {}
-        plain, tailed = set(), []
+            self.known, self.before = {}, self.known
+        known, before, plain, tailed = self.known, self.before, set(), []
         for w in missing:
+            if w in before:
+                known[w] = before[w]
             # a comma or stop after a letter is a word of its own to the vocabulary
-            if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122:
+            elif len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122:
                 tailed.append(w)
                 plain |= {w[:-1], w[-1:]}
             else:
                 plain.add(w)
-        new = [w for w in plain if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self._encode([w for w in plain if w not in known])
         for w in tailed:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out, words = [], []
-        for text in texts:
-            raw = (text or "").encode("utf-8")
-            # lower-casing ASCII first changes nothing but the spelling of special tokens
-            words.append((raw if b"<|" in raw else raw.lower()).split())
-        if missing := set().union(*words).difference(self.known):
-            self._learn(list(missing))
-        known = self.known
-        for w in words:
-            out.append(b"".join([known[x] if x in known else self._one(x) for x in w]) + END)
-        return out
-
-    def _one(self, word: bytes) -> bytes:
-        self._learn([word])
-        return self.known[word]
+        # lower-casing ASCII first changes nothing but the spelling of special tokens
+        raws = [(t or "").encode("utf-8") for t in texts]
+        words = [(r if b"<|" in r else r.lower()).split() for r in raws]
+        # a small table for these texts alone stays in the processor's cache; the large one is asked once a word
+        here = dict.fromkeys(chain.from_iterable(words))
+        found = list(map(self.known.get, here))
+        if None in found:
+            self._learn([w for w, f in zip(here, found) if f is None])
+            known = self.known
+            found = [known[w] if f is None else f for w, f in zip(here, found)]
+        here = dict(zip(here, found))
+        return [b"".join(map(here.__getitem__, w)) + END for w in words]
 
 
 def plan(at: list[int], cost: list[float]) -> list[int]:
@@ -202,8 +224,8 @@ def _pack(path: str, with_ids: bool):
         encoder = _encoders[path]
         packer = Packer(encoder.sentence_ends, TaskContext.get().partitionId() << 40, with_ids)
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
+            for low in range(0, batch.num_rows, 32):
+                part = batch.slice(low, 32)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
                     rows += packer.add(doc_id, ids)
