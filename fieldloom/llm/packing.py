@@ -15,6 +15,7 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 import zlib
@@ -54,7 +55,8 @@ class Encoder:
         self.before: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         words = self.tokenizer.get_vocab()
-        self.sentence_ends = np.array(sorted(words[t] for t in (".</w>", "!</w>", "?</w>", "...</w>", ".", "!", "?") if t in words), np.uint32)
+        self.sentence_ends = np.zeros(max(words.values()) + 1, bool)
+        self.sentence_ends[[words[t] for t in (".</w>", "!</w>", "?</w>", "...</w>", ".", "!", "?") if t in words]] = True
 
     def _encode(self, words: list[bytes]) -> None:
         """Learns words; one of letters alone is a single word to the vocabulary and goes to its merges directly."""
@@ -90,10 +92,10 @@ class Encoder:
         for w in tailed:
             known[w] = known[w[:-1]] + known[w[-1:]]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """Of UTF-8 texts the ids, each with the end id."""
         # lower-casing ASCII first changes nothing but the spelling of special tokens
-        raws = [(t or "").encode("utf-8") for t in texts]
-        words = [(r if b"<|" in r else r.lower()).split() for r in raws]
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         # a small table for these texts alone stays in the processor's cache; the large one is asked once a word
         here = dict.fromkeys(chain.from_iterable(words))
         found = list(map(self.known.get, here))
@@ -150,23 +152,19 @@ class Packer:
         return self.flush(False) if self.tokens >= STRETCH else []
 
     def _cuts(self, last: bool) -> tuple[list[int], list[float]]:
-        places, costs, base = [np.zeros(1, np.int64)], [np.zeros(1)], 0
-        for _, _, ids, _ in self.docs:
-            n = len(ids) // 4
-            ends = np.flatnonzero(np.isin(np.frombuffer(ids, "<u4"), self.sentence_ends)) + 1
-            ends = np.r_[ends[ends < n - 1], n]
-            gaps = np.diff(np.r_[0, ends])
-            more = [np.arange(e - g + CUT_EVERY, e, CUT_EVERY) for e, g in zip(ends[gaps > CUT_EVERY], gaps[gaps > CUT_EVERY])]
-            place = np.concatenate([ends, *more])
-            cost = np.concatenate([np.full(len(ends), SENTENCE_CUT), *[np.full(len(m), OTHER_CUT) for m in more]])
-            cost[len(ends) - 1] = 0
-            if more:
-                order = np.argsort(place, kind="stable")
-                place, cost = place[order], cost[order]
-            places.append(place + base)
-            costs.append(cost)
-            base += n
-        place, cost = np.concatenate(places), np.concatenate(costs)
+        ids = np.frombuffer(b"".join([d[2] for d in self.docs]), "<u4")
+        base, doc_ends = len(ids), np.cumsum([len(d[2]) // 4 for d in self.docs])
+        ends = self.sentence_ends[ids]
+        ends[np.maximum(doc_ends - 2, 0)] = False  # the end id stays with its sentence
+        ends[doc_ends - 1] = True
+        place = np.r_[0, np.flatnonzero(ends) + 1]
+        cost = np.full(len(place), SENTENCE_CUT)
+        cost[0] = cost[np.searchsorted(place, doc_ends)] = 0
+        gaps = np.diff(place)
+        if wide := [np.arange(place[k] + CUT_EVERY, place[k + 1], CUT_EVERY) for k in np.flatnonzero(gaps > CUT_EVERY)]:
+            more = np.concatenate(wide)
+            order = np.argsort(np.r_[place, more], kind="stable")
+            place, cost = np.r_[place, more][order], np.r_[cost, np.full(len(more), OTHER_CUT)][order]
         if last:  # the tail may be cut anywhere, so that it falls into unpadded windows
             tail = np.setdiff1d(np.arange(max(1, base - WINDOW), base), place)
             place, cost = np.concatenate([place, tail]), np.concatenate([cost, np.full(len(tail), OTHER_CUT)])
@@ -222,21 +220,25 @@ def _pack(path: str, with_ids: bool):
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
+        gc.disable()  # a task makes millions of words and no cycles; it would only count them again and again
         packer = Packer(encoder.sentence_ends, TaskContext.get().partitionId() << 40, with_ids)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 32):
-                part = batch.slice(low, 32)
-                rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
-                    rows += packer.add(doc_id, ids)
-                if rows:
-                    yield batch_of(rows)
-        yield batch_of(packer.flush(True))
+        try:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 32):
+                    part = batch.slice(low, 32)
+                    rows: list[tuple] = []
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
+                        rows += packer.add(doc_id, ids)
+                    if rows:
+                        yield batch_of(rows)
+            yield batch_of(packer.flush(True))
+        finally:
+            gc.enable()
 
     return run
 
 
 def pack(documents: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents in sequences of at most WINDOW ids; tokenizer is a vocabulary file's path on every executor."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return docs.mapInArrow(_pack(tokenizer, with_ids), PIECE_DDL + (", ids array<int>" if with_ids else ""))

@@ -113,7 +113,7 @@ def test_packing_in_small_stretches(spark, monkeypatch):
     monkeypatch.setattr(packing, "STRETCH", 9000)
     packer, ids, out = packing.Packer(encoder.sentence_ends, 0, True), {}, []
     for i in range(150):
-        ids[i] = encoder.ids([speak(rng, ["sea", "sky.", "Thing"], rng.randint(0, 3000))])[0]
+        ids[i] = encoder.ids([speak(rng, ["sea", "sky.", "Thing"], rng.randint(0, 3000)).encode()])[0]
         out += packer.add(i, ids[i])
     out += packer.flush(True)
     for i, raw in ids.items():
