@@ -37,6 +37,8 @@ STRETCH = 1 << 19
 SHORT = tuple(1 << k for k in range(5, 11))
 #: Pieces of text whose ids a worker remembers.
 KNOWN = 600_000
+#: Marks that may follow a word; the apostrophe is not among them, as it opens contractions.
+MARKS = b".,!?;:&$%*#|()-\""
 END = np.array([END_ID], "<u4").tobytes()
 #: The letters that byte-level vocabularies write for bytes which are not printable as they are, in the order of those bytes.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,15 +84,18 @@ class Encoder:
         for w in missing:
             if w in before:
                 known[w] = before[w]
-            # a comma or stop after a letter is a word of its own to the vocabulary
-            elif len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122:
-                tailed.append(w)
-                plain |= {w[:-1], w[-1:]}
+                continue
+            # marks after letters are a word of their own to the vocabulary, whose words are letters or marks alone
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core and (core.isalpha() or core.decode().isalpha()):
+                tailed.append((w, core, w[len(core) :]))
+                plain.add(core)
+                plain.add(w[len(core) :])
             else:
                 plain.add(w)
         self._encode([w for w in plain if w not in known])
-        for w in tailed:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        for w, core, tail in tailed:
+            known[w] = known[core] + known[tail]
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """Of UTF-8 texts the ids, each with the end id."""
