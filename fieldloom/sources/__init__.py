@@ -1,0 +1,79 @@
+"""Readers and writers of the formats that field data come in."""
+
+from __future__ import annotations
+
+import json
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV whose cells all stay text, a byte order mark on the first name tolerated."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
+
+
+def csv_union(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Several CSV files by column name, whatever their order; names that a file lacks are null."""
+    parts = []
+    for path in paths:
+        part = spark.read.csv(path, header=True)
+        parts.append(part.toDF(*[c.lstrip("﻿") for c in part.columns]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def geojson(spark: SparkSession, path: str) -> DataFrame:
+    """A row per feature: properties as JSON text, geometry type, coordinates as JSON text."""
+    whole = spark.read.text(path, wholetext=True)
+    features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
+    f = F.col("feature")
+    return whole.select(F.explode(features).alias("feature")).select(
+        F.get_json_object(f, "$.properties").alias("properties"), F.get_json_object(f, "$.geometry.type").alias("kind"), F.get_json_object(f, "$.geometry.coordinates").alias("coordinates")
+    )
+
+
+def xform_binds(spark: SparkSession, path: str) -> DataFrame:
+    """The bind elements of a form definition: nodeset, type, constraint, relevant, required, calculate."""
+    whole = spark.read.text(path, wholetext=True)
+    binds = F.regexp_extract_all("value", F.lit(r"(?s)<(?:\w+:)?bind\b[^>]*>"), F.lit(0))
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    attribute = lambda n: F.nullif(plain(F.regexp_extract("bind", rf'(?s)\b{n}="([^"]*)"', 1)), F.lit("")).alias(n)
+    return whole.select(F.explode(binds).alias("bind")).select(*[attribute(n) for n in ("nodeset", "type", "constraint", "relevant", "required", "calculate")])
+
+
+def mif_points(spark: SparkSession, path: str, names: list[str], delimiter: str = ",") -> DataFrame:
+    """A MapInfo pair of points: the n-th `Point x y` line of .mif with the n-th line of .mid."""
+    points = spark.read.text(f"{path}.mif", wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?im)^\s*Point\s+(\S+\s+\S+)"), F.lit(1))).alias("n", "p"))
+    lines = spark.read.text(f"{path}.mid", wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n", -1), lambda x: F.trim(x) != "")).alias("n", "line"))
+    row = F.from_csv("line", ", ".join(f"`{c}` string" for c in names), {"sep": delimiter})
+    xy = F.split("p", r"\s+", -1)
+    return points.join(lines, "n").select(row.alias("r"), F.get(xy, 0).try_cast("double").alias("x"), F.get(xy, 1).try_cast("double").alias("y")).select("r.*", "x", "y")
+
+
+def markdown(df: DataFrame, formats: dict[str, str] | None = None, rows: int = 1000) -> str:
+    """A table of at most `rows` rows for a report; numbers by format, null as nothing."""
+    show = lambda c, v: "" if v is None or v != v else (formats or {}).get(c, "{}").format(v)
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines += ["| " + " | ".join(show(c, v).replace("|", "\\|") for c, v in zip(df.columns, r)) + " |" for r in df.limit(rows).collect()]
+    return "\n".join(lines)
+
+
+def write_layers(layers: dict[str, DataFrame], folder: str) -> None:
+    """One parquet folder per layer; a layer is overwritten alone and its siblings stay."""
+    for name, df in layers.items():
+        if not re.fullmatch(r"[A-Za-z0-9_]+", name):
+            raise ValueError(f"not a layer name: {name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_sidecar(spark: SparkSession, facts: dict, path: str) -> None:
+    """A small JSON document beside an output."""
+    spark.range(1).select(F.lit(json.dumps(facts, sort_keys=True)).alias("value")).coalesce(1).write.mode("overwrite").text(path)

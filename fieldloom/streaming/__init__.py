@@ -1,0 +1,29 @@
+"""The batch operators over streams: the quality gate, daily screens, late data and repeated submissions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.operators.quality import gate
+
+#: How long a device may stay unsynchronised.
+SYNC = "72 hours"
+
+
+def read_events(spark: SparkSession, path: str, schema, time: str = "ts") -> DataFrame:
+    """A stream of parquet files with its event time as a timestamp that a watermark takes."""
+    return spark.readStream.schema(schema).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+
+
+def gated(events: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """The gate keeps no state, so a stream passes it as a table does."""
+    return gate(events, rules)
+
+
+def daily_counts(events: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    return events.withWatermark(time, SYNC).groupBy(F.window(time, "1 day"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("date").alias("day"), *keys, "n")
+
+
+def without_repeats(events: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    return events.withWatermark(time, SYNC).dropDuplicatesWithinWatermark(keys)
