@@ -23,7 +23,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A line is above the limit if more than SHARE of its host's distinct texts and more than LEAST hold it.
 SHARE, LEAST = 0.1, 20
-#: A document with fewer words left, or less than this share of them, is depleted.
+#: A document is depleted with less than LEFT_SHARE of its words left, or with fewer than LEFT_WORDS if those are the smaller half.
 LEFT_WORDS, LEFT_SHARE = MIN_WORDS, 0.2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -95,7 +95,7 @@ def quality(documents: DataFrame, share: float = SHARE, least: int = LEAST, with
     taken = F.coalesce((F.col("_sum") * lines / F.col("_rows")).cast("long"), F.lit(0).cast("long"))
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
     left = n - taken
-    depleted = (lines > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * n))
+    depleted = (lines > 0) & ((left < LEFT_SHARE * n) | (left < LEFT_WORDS) & (2 * left < n))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(lines_without(F.col("_text"), F.col("_gone"))) if with_text else None
     return joined.select(
         *own, *([text.alias("text")] if with_text else []),

@@ -75,7 +75,7 @@ m as (
     cast(coalesce(gone.n, 0) as bigint) n_common_lines, cast(len(w.w) - coalesce(gone.w, 0) as bigint) words_left
   from w left join dup using (doc_id) left join cov using (doc_id) left join gone using (doc_id))
 select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (n_common_lines > 0 and (words_left < 20 or words_left < 0.2 * n_words)) kept
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (n_common_lines > 0 and (words_left < 0.2 * n_words or words_left < 20 and 2 * words_left < n_words)) kept
 from m
 """
 
