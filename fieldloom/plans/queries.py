@@ -446,6 +446,59 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+_HH = "select o_orderkey hh, cast(o_orderkey % 1100 as int) structure, 10 + (o_orderkey % 200) / 100.0 lat, case when o_orderstatus = 'F' then 1 else 2 end result, cast(case when o_orderkey % 9 = 0 then null else o_custkey % 45 end as int) hh_size, o_orderkey % 3 obtained, case when o_orderkey % 3 = 1 then lpad(cast(480000 + o_orderkey % 1000 as varchar(9)), 6, '0') when o_orderkey % 30 = 0 then '480001' end serial, 480000 lo, 480899 hi from orders"
+
+
+@query(f"""
+with h as ({_HH}), v as (
+  select hh, 'C-1.06' rule_id, 'structure' field, 'constraint' violation from h where not structure between 1 and 999
+  union all select hh, 'C-1.11', 'lat', 'constraint' from h where not lat between 10.2 and 11.75
+  union all select hh, 'C-3.01', 'hh_size', 'answered_but_skipped' from h where result <> 1 and hh_size is not null
+  union all select hh, 'C-3.01', 'hh_size', 'missing' from h where result = 1 and hh_size is null
+  union all select hh, 'C-3.01', 'hh_size', 'constraint' from h where result = 1 and not hh_size between 1 and 40
+  union all select hh, 'C-5.03a', 'serial', 'answered_but_skipped' from h where obtained <> 1 and serial is not null
+  union all select hh, 'C-5.03a', 'serial', 'missing' from h where obtained = 1 and serial is null
+  union all select hh, 'C-5.03a', 'serial', 'constraint' from h where obtained = 1 and not (cast(serial as int) between lo and hi))
+select rule_id, field, violation, count(*) n, min(hh) first_hh from v group by 1, 2, 3
+""")
+def rule_violations(spark, sf_dir):
+    from fieldloom.operators.rules import HOUSEHOLD, violations
+
+    k = F.col("o_orderkey")
+    h = table(spark, sf_dir, "orders").select(
+        k.alias("hh"), (k % 1100).cast("int").alias("structure"), (10 + (k % 200) / 100).alias("lat"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("result"),
+        F.when(k % 9 != 0, (F.col("o_custkey") % 45).cast("int")).alias("hh_size"), (k % 3).alias("obtained"),
+        F.when(k % 3 == 1, F.lpad((480000 + k % 1000).cast("string"), 6, "0")).when(k % 30 == 0, F.lit("480001")).alias("serial"), F.lit(480000).alias("lo"), F.lit(480899).alias("hi"),
+    )
+    rules = [r for r in HOUSEHOLD if r.rule_id in ("C-1.06", "C-1.11", "C-3.01", "C-5.03a")]
+    return violations(h, rules, ["hh"]).groupBy("rule_id", "field", "violation").agg(F.count(F.lit(1)).alias("n"), F.min("hh").alias("first_hh"))
+
+
+@query("with h as (select o_orderkey hh, o_orderkey % 7 + 1 hh_size from orders), p as (select l_orderkey hh, count(*) n, count(*) filter (where l_linenumber = 1) heads, count(l_partkey) s, count(distinct l_partkey) d from lineitem group by 1), j as (select h.hh, hh_size, coalesce(n,0) n, coalesce(heads,0) heads, coalesce(s,0) s, coalesce(d,0) d from h left join p using (hh)) select hh, n <> hh_size size_differs, heads <> 1 not_one_head, s <> d serial_repeats from j")
+def roster_gates(spark, sf_dir):
+    from fieldloom.operators.rules import roster_checks
+
+    h = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hh"), (F.col("o_orderkey") % 7 + 1).alias("hh_size"))
+    return roster_checks(h, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hh"), F.col("l_linenumber").alias("relation"), F.col("l_partkey").alias("serial")))
+
+
+@query("with j as (select d.lang, d.source, l.quality, l.toxic from documents d left join labels l using (doc_id)) select lang, 'quality' \"column\", count(*) n, count(*) filter (where quality is null) missing, round(count(*) filter (where quality is null)*1.0/count(*), 6) share from j group by lang union all select lang, 'toxic', count(*), count(*) filter (where toxic is null), round(count(*) filter (where toxic is null)*1.0/count(*), 6) from j group by lang")
+def missing_profile(spark, sf_dir):
+    from fieldloom.operators.response import missing_profile as profile
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return profile(rows, ["quality", "toxic"], ["lang"]).withColumn("share", r(F.col("share")))
+
+
+@query()
+def response_model(spark, sf_dir):
+    from fieldloom.operators.response import response_model as model
+
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_quantity", "l_discount", "l_linestatus")
+    m = model(rows, "y", ["l_quantity", "l_discount"], ["l_linestatus"])
+    return spark.createDataFrame([(float(m["mcfadden"]), float(m["lr_p"]), m["coefficients"])], "mcfadden double, lr_p double, coefficients array<double>")
+
+
 @query()
 def natural_breaks(spark, sf_dir):
     from fieldloom.operators.classify import natural_breaks as breaks

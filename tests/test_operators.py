@@ -205,3 +205,54 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("days").collect())) == sorted(map(tuple, want.collect()))
     streaming.gated(stream, {"R": F.col("kind") == "1"}).writeStream.format("memory").queryName("gated").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("gated").where("gate = 'R'").count() == 67
+
+
+def test_rules(spark):
+    from fieldloom.operators import response, rules
+
+    df = spark.createDataFrame([(1, 5, 1, None), (2, 50, 2, "x"), (3, None, 1, None)], "hh int, size int, result int, note string")
+    own = [rules.Rule("A", "size", "size <= 40", "result = 1", True, justified_by="plate"), rules.Rule("B", "note", relevant="result = 1")]
+    assert sorted(map(tuple, rules.violations(df, own, ["hh"]).collect())) == [(2, "A", "size", "answered_but_skipped"), (2, "B", "note", "answered_but_skipped"), (3, "A", "size", "missing")]
+    assert {r.rule_id: r.enforcement for r in rules.register(spark, own).collect()} == {"A": "gate", "B": "skip"}
+    with pytest.raises(ValueError):
+        rules.register(spark, [rules.Rule("C", "size", "size > 0")])
+    other = [own[0], rules.Rule("B", "note", relevant="result = 2")]
+    assert [tuple(r) for r in rules.variant_diff(spark, own, other).collect()] == [("B", "relevant", "result = 1", "result = 2")]
+    assert rules.derived(df, [rules.Rule("D", "twice", calculation="size * 2")]).where("hh = 1").first().twice == 10
+    cells = spark.createDataFrame([("h", 1, 0.5, 2.0, 3, 1.5), ("h", 2, 0.1, 2.0, 0, 1.0)], "h string, i int, coverage double, w double, n_missing int, kids double")
+    out = response.augmented(spark.createDataFrame([("h", 1, 1, 1.0)], "h string, i int, y int, w double"), cells, 0.2).collect()
+    assert sorted((round(r.y, 6), r.w) for r in out) == [(0.3, 9.0), (1.0, 1.0)]
+
+
+def test_binary_sources(spark, tmp_path):
+    import sqlite3
+    import struct
+    import zipfile
+
+    from fieldloom.sources import binary
+
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 0.0)]
+    wkb = struct.pack("<BII", 1, 3, 1) + struct.pack("<I", 4) + b"".join(struct.pack("<2d", *p) for p in square)
+    db = sqlite3.connect(tmp_path / "a.gpkg")
+    db.execute("create table gpkg_geometry_columns (table_name text, column_name text)")
+    db.execute("insert into gpkg_geometry_columns values ('wards', 'geom')")
+    db.execute("create table wards (code text, n int, geom blob)")
+    db.execute("insert into wards values ('W1', 7, ?), ('W2', null, null)", (b"GP\0\1" + struct.pack("<i", 4326) + wkb,))
+    db.commit()
+    db.close()
+    rows = binary.geopackage(spark, str(tmp_path / "a.gpkg"), "wards").orderBy("row_no").collect()
+    assert rows[0].cells == {"code": "W1", "n": "7"} and rows[0].kind == "polygon" and len(rows[0].parts[0]) == 4 and rows[1].kind is None
+    shape = struct.pack("<i4d2i", 5, 0, 0, 2, 2, 1, 4) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in square)
+    (tmp_path / "s.shp").write_bytes(bytes(100) + struct.pack(">2i", 1, len(shape) // 2) + shape)
+    field = b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([5, 0]) + bytes(14)
+    (tmp_path / "s.dbf").write_bytes(struct.pack("<4BIHH", 3, 99, 1, 1, 1, 65, 6) + bytes(20) + field + b"\r" + b" Alpha")
+    row = binary.shapefile(spark, str(tmp_path / "s")).first()
+    assert row.kind == "polygon" and row.cells == {"NAME": "Alpha"}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="One"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>LGA</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><v>5</v></c></row><row><c r="B2"><v>6</v></c></row></sheetData><mergeCells><mergeCell ref="A1:A2"/></mergeCells></worksheet>')
+    assert [(r.sheet, r.cells) for r in binary.workbook(spark, str(tmp_path / "b.xlsx")).orderBy("row_no").collect()] == [("One", {"c0": "LGA", "c1": "5"}), ("One", {"c0": "LGA", "c1": "6"})]
+    kinds = spark.createDataFrame([(["", None],), (["Total", "5"],), (["Note: x"],), (["a", "b"],)], "c array<string>").select(binary.row_kind(F.col("c")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["blank", "control_total", "footnote", "data"]
