@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.text import clean_text, match_key, similarity
+from fieldloom.operators.ordering import numbered, small
 
 ACCEPT, REVIEW = 0.88, 0.75
 
@@ -28,7 +29,7 @@ def cascade(values: DataFrame, authority: DataFrame, accept: float = ACCEPT, rev
     exact = raw.join(names.select(F.col("name").alias("clean"), F.col("name").alias("exact")), "clean", "left")
     keyed = exact.join(keys, "key", "left")
     open_ = keyed.where(F.col("exact").isNull() & F.col("by_key").isNull())
-    scored = open_.select("raw", F.col("key").alias("k")).crossJoin(F.broadcast(keys)).withColumn("score", similarity(F.col("k"), F.col("key")))
+    scored = open_.select("raw", F.col("key").alias("k")).crossJoin(small(keys)).withColumn("score", similarity(F.col("k"), F.col("key")))
     best = scored.groupBy("raw").agg(F.max(F.struct("score", F.col("by_key").alias("name"))).alias("best"))
     joined = keyed.join(best, "raw", "left")
     score = F.col("best.score")
@@ -39,8 +40,7 @@ def cascade(values: DataFrame, authority: DataFrame, accept: float = ACCEPT, rev
 
 def ledger(decisions: DataFrame, stage: str, field: str) -> DataFrame:
     """A ledger row for every decision, numbered in the order of the raw values."""
-    number = F.row_number().over(Window.orderBy("raw"))
-    return decisions.select(number.cast("long").alias("ledger_id"), F.lit(stage).alias("stage"), F.lit(field).alias("field"), F.col("raw").alias("raw_value"), F.col("resolved").alias("resolved_value"), "method", "confidence")
+    return numbered(decisions, ["raw"], "ledger_id").select("ledger_id", F.lit(stage).alias("stage"), F.lit(field).alias("field"), F.col("raw").alias("raw_value"), F.col("resolved").alias("resolved_value"), "method", "confidence")
 
 
 def adjudicate(rows: DataFrame) -> DataFrame:

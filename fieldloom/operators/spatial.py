@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geo import bbox, edges, intersects, within
+from fieldloom.operators.ordering import numbered
 from fieldloom.session import cut
 
 
@@ -94,7 +95,7 @@ def gap_types(zones: DataFrame, served: float = 0.5, lever: float = 0.25) -> Dat
     unknown = (F.col("n_unassessed") > 0) & (F.col("n_adequate") == 0) & (F.col("n_inadequate") == 0)
     kind = F.when(F.col("coverage") >= served, "served").when(unknown, "unassessed_only").when(F.col("closure") >= lever, "staffing").otherwise("no_facility")
     ranked = zones.withColumn("closure", closure).withColumn("gap_type", kind)
-    return ranked.withColumn("priority_rank", F.row_number().over(Window.orderBy(F.desc("uncovered"), "zone")))
+    return numbered(ranked, [F.desc("uncovered"), "zone"], "priority_rank")
 
 
 def road_edges(segments: DataFrame) -> DataFrame:

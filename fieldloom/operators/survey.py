@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import t_quantile
+from fieldloom.operators.ordering import small
 
 
 def stack_domains(rows: DataFrame, domains: dict[str, Column]) -> DataFrame:
@@ -109,9 +110,9 @@ def trimmed(rows: DataFrame, times: float = 4.0) -> DataFrame:
     The median is aggregated and joined, so no window holds a stratum in one task.
     """
     medians = rows.groupBy("h").agg((F.percentile("w", F.lit(0.5)) * times).alias("_cap"), F.sum("w").alias("_sum"))
-    cut = rows.join(F.broadcast(medians), "h").withColumn("_cut", F.least("w", "_cap"))
+    cut = rows.join(small(medians), "h").withColumn("_cut", F.least("w", "_cap"))
     sums = cut.groupBy("h").agg(F.sum("_cut").alias("_cut_sum"))
-    return cut.join(F.broadcast(sums), "h").withColumn("w_trimmed", F.col("_cut") * F.col("_sum") / F.col("_cut_sum")).drop("_cap", "_sum", "_cut", "_cut_sum")
+    return cut.join(small(sums), "h").withColumn("w_trimmed", F.col("_cut") * F.col("_sum") / F.col("_cut_sum")).drop("_cap", "_sum", "_cut", "_cut_sum")
 
 
 def screen(interviewers: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, numeric, text
-from fieldloom.operators import quality, reconcile, spatial, survey
+from fieldloom.operators import ordering, quality, reconcile, spatial, survey
 from fieldloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,14 +417,8 @@ shared("spearman", "with a as (select l_suppkey, sum(l_quantity) x, sum(l_discou
 shared("ols_slope", "select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 3) icept from lineitem group by l_returnflag")
 @query("select event_id, last_value(v ignore nulls) over (order by event_id rows between unbounded preceding and current row) filled from (select event_id, case when event_id % 7 = 0 then event_type end v from events) q")
 def header_ffill(spark, sf_dir):
-    """Forward fill as a lookup: every gap between filled rows is a group, so no window holds the table."""
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.col("event_type")).alias("v"))
-    part = F.floor(F.col("event_id") / 4096)
-    own = Window.partitionBy("_part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    near = e.withColumn("_part", part).withColumn("_v", F.last("v", True).over(own))
-    tails = near.groupBy("_part").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("event_id"))).alias("_t"))
-    before = tails.select("_part", F.last("_t", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
-    return near.join(before, "_part").select("event_id", F.coalesce("_v", "_b").alias("filled"))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.col("event_type")).alias("filled"))
+    return ordering.filled_forward(e, ["event_id"], ["filled"])
 
 
 shared("equal_interval_class", "with m as (select min(p_retailprice) lo, (max(p_retailprice) - min(p_retailprice)) / 3 s from part) select p.p_partkey, case when p.p_retailprice <= lo + s then 'low' when p.p_retailprice <= lo + 2 * s then 'medium' else 'high' end class from part p cross join m")
