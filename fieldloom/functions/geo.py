@@ -57,6 +57,18 @@ def on_edge(sides: Column, x: Column, y: Column) -> Column:
     return F.exists(sides, on)
 
 
+def edge_distance(sides: Column, x: Column, y: Column) -> Column:
+    """How far (x, y) is from the nearest side."""
+
+    def apart(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        along = F.coalesce(F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(x - (e["x1"] + t * dx), y - (e["y1"] + t * dy))
+
+    return F.array_min(F.transform(sides, apart))
+
+
 def intersects(sides: Column, x: Column, y: Column) -> Column:
     return inside(sides, x, y) | on_edge(sides, x, y)
 

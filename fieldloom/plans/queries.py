@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, numeric, text
-from fieldloom.operators import ordering, quality, reconcile, spatial, survey
+from fieldloom.operators import fieldwork, forms, ordering, quality, reconcile, spatial, survey, transfer
 from fieldloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,3 +523,162 @@ def stream_daily_counts(spark, sf_dir):
     counts = daily_counts(files.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"])
     counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.col("day").cast("string").alias("day"), "event_type", "n")
+
+
+# --- fieldwork ---------------------------------------------------------------------------------
+
+_FLAG = "case when l_discount>=0.05 then 1.0 else 0.0 end"
+
+
+@query(_SVY.format(rows=f"select 'A' domain, l_linestatus h, l_suppkey i, {_FLAG} y, l_quantity w from lineitem union all select 'B', l_linestatus, l_suppkey, {_FLAG}, l_quantity*100.0/k from lineitem join (select l_linestatus hh, count(distinct l_suppkey) k from lineitem where l_suppkey % 10 not in (3, 7) group by 1) on hh = l_linestatus where l_suppkey % 10 not in (3, 7)"))
+def analysis_sets(spark, sf_dir):
+    rows = _sample(spark, sf_dir, F.col("l_discount") >= 0.05).withColumn("who", F.col("i") % 10)
+    both = fieldwork.analysis_sets(rows, spark.createDataFrame([(3,), (7,)], "who long"), 100, ["w"])
+    return _estimates(survey.proportions(both.withColumnRenamed("analysis_set", "domain")))
+
+
+@query("with a as (select o_orderkey, o_totalprice w, o_custkey % 3 h, o_custkey % 50 c, o_orderpriority s, case when o_orderstatus='F' then 1.0 else 0.0 end d, case when o_orderstatus='P' then 1.0 else 0.0 end e, case when o_orderstatus='O' and o_orderkey % 2 = 0 then 1.0 else 0.0 end n from orders), b as (select *, count(*) over (partition by c) cn, sum(d) over (partition by c) cd, sum(e) over (partition by c) ce, sum(n) over (partition by c) cx, count(*) over (partition by h, s) sn, sum(d) over (partition by h, s) sd, sum(e) over (partition by h, s) se from a) select o_orderkey, round(cast(w as double) * (cast((cn-ce) as double)/cast(cd as double)), 6) w_cluster, round(cast(w as double) * (cast((sn-se) as double)/cast(sd as double)), 6) w_cell, round(cast(w as double) * (cast(cn as double)/cast(cd as double)), 6) w_vacant, round(cast(w as double) * (cast((cn-ce-cx) as double)/cast(cd as double)), 6) w_no_contact from b where d = 1")
+def alternative_weights(spark, sf_dir):
+    o, status = table(spark, sf_dir, "orders"), F.col("o_orderstatus")
+    homes = o.select("o_orderkey", (F.col("o_custkey") % 3).alias("h"), (F.col("o_custkey") % 50).alias("cluster"), F.col("o_orderpriority").alias("settlement"), F.col("o_totalprice").alias("w"), (status == "F").alias("completed"), (status == "P").alias("ineligible"), ((status == "O") & (F.col("o_orderkey") % 2 == 0)).alias("no_contact"))
+    names = ("w_cluster", "w_cell", "w_vacant", "w_no_contact")
+    return fieldwork.alternative_weights(homes).where("completed").select("o_orderkey", *[r(F.col(c)).alias(c) for c in names])
+
+
+_EVIDENCE = f"select unnest(['National', 'stratum='||h])||'|'||q domain, h, i, y, w from (select q.q, h, i, w, case q.q when 'card_seen' then c when 'documented' then c*y when 'headline' then y when 'card_confirmed_of_cards' then case when c=1 then y end else case when c=0 then y end end y from (select l_linestatus h, l_suppkey i, l_quantity w, {_FLAG} y, case when l_linenumber % 2 = 0 then 1.0 else 0.0 end c from lineitem) cross join (values ('card_seen'), ('documented'), ('headline'), ('card_confirmed_of_cards'), ('recalled_of_no_cards')) q(q)) where y is not null"
+
+
+@query(_SVY.format(rows=_EVIDENCE))
+def evidence_decomposition(spark, sf_dir):
+    kids = table(spark, sf_dir, "lineitem").select((F.col("l_discount") >= 0.05).cast("double").alias("y"), (F.col("l_linenumber") % 2 == 0).alias("card"), F.col("l_quantity").alias("w"), F.col("l_linestatus").alias("h"), F.col("l_suppkey").alias("i"))
+    return _estimates(survey.proportions(fieldwork.evidence(kids)))
+
+
+def _field_tables(spark, sf_dir):
+    o, li, e = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "events"))
+    homes = o.select((F.col("o_custkey") % 20).alias("who"), (F.col("o_custkey") % 50).alias("cluster"), F.col("o_orderkey").alias("household"), (F.col("o_orderstatus") == "F").alias("completed"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("minutes"), (F.col("o_orderkey") % 4).alias("n_children"), (F.col("o_orderdate") >= F.lit("1994-01-01").cast("timestamp")).alias("in_window"))
+    kids = li.select((F.col("l_orderkey") % 20).alias("who"), (F.col("l_suppkey")).alias("cluster"), F.col("l_orderkey").alias("household"), (F.col("l_quantity") >= 3).cast("double").alias("y"), (F.col("l_returnflag") == "N").alias("card"))
+    log = e.select((F.col("user_id") % 20).alias("who"), F.col("event_id").alias("day"), (F.col("event_id") % 24).alias("attempted"), (F.col("event_id") % 41 + 0).alias("clusters")).withColumn("clusters", F.when(F.col("clusters") == 40, 2).otherwise(1))
+    return homes, kids, log
+
+
+_FIELD = "h as (select o_custkey % 20 who, o_custkey % 50 cluster, o_orderkey household, o_orderstatus = 'F' completed, cast(floor(o_totalprice/10000) as double) as minutes, o_orderkey % 4 n_children, o_orderdate >= timestamp '1994-01-01' in_window from orders), c as (select l_orderkey % 20 who, l_suppkey cluster, l_orderkey household, case when l_quantity >= 3 then 1.0 else 0.0 end y, l_returnflag = 'N' card from lineitem), f as (select user_id % 20 who, event_id as \"day\", event_id % 24 attempted, case when event_id % 41 = 40 then 2 else 1 end clusters from events)"
+_ZED = "(t.{0} - (select median({0}) from t)) / nullif(1.4826 * (select median(abs({0} - m)) from t cross join (select median({0}) m from t)), 0)"
+
+
+@query(f"with {_FIELD}, hh as (select who, count(distinct cluster) n_clusters, count(*) n_households, count(*) filter (where completed) dn, avg(case when completed then 1.0 else 0.0 end) completion, median(case when completed then minutes end) median_minutes, avg(case when completed then minutes end) mean_minutes, stddev_samp(case when completed then minutes end) sd_minutes from h group by who), cc as (select who, count(*) n_children, avg(case when card then 1.0 else 0.0 end) card_rate, avg(y) coverage from c group by who), ff as (select who, count(distinct \"day\") as days, max(attempted) most_households, max(clusters) most_clusters from f group by who), t as (select cc.*, hh.* exclude (who), ff.* exclude (who) from cc left join hh using (who) left join ff using (who)) select who, n_children, n_clusters, n_households, days, most_households, cast(most_clusters as bigint) most_clusters, round(card_rate, 5) card_rate, round(coverage, 5) coverage, round(completion, 5) completion, round(median_minutes, 5) median_minutes, round(mean_minutes, 5) mean_minutes, round(sd_minutes, 5) sd_minutes, round(cast(n_children as double) / greatest(dn, 1), 5) per_household, round({_ZED.format('coverage')}, 3) z_coverage, round({_ZED.format('median_minutes')}, 3) z_median_minutes, round({_ZED.format('card_rate')}, 3) z_card_rate, round({_ZED.format('completion')}, 3) z_completion from t")
+def interviewer_table(spark, sf_dir):
+    out = fieldwork.interviewers(*_field_tables(spark, sf_dir))
+    rounded = [r(F.col(c), 5).alias(c) for c in ("card_rate", "coverage", "completion", "median_minutes", "mean_minutes", "sd_minutes", "per_household")]
+    zs = [r(F.col(c), 3).alias(c) for c in ("z_coverage", "z_median_minutes", "z_card_rate", "z_completion")]
+    return out.select("who", "n_children", "n_clusters", "n_households", "days", "most_households", F.col("most_clusters").cast("long").alias("most_clusters"), *rounded, *zs)
+
+
+def _pattern(name: str, source: str, hit: str, what: str = "'-'") -> str:
+    listed = f"coalesce((select string_agg(x, ', ' order by x) from (select distinct cast({what} as varchar) x from {source} where {hit})), '')" if what != "'-'" else "'-'"
+    return f"select '{name}' pattern, count(*) filter (where {hit}) n, count(*) \"of\", round(100.0 * count(*) filter (where {hit}) / nullif(count(*), 0), 6) share, {listed} found from {source}"
+
+
+_PATTERNS = (
+    _pattern("short_interview_with_children", "(select * from h where completed and n_children > 0) q", "minutes < 5", "who"),
+    _pattern("cluster_without_variation", "(select cluster, min(y) least from c group by 1) q", "least = 1", "cluster"),
+    _pattern("household_all_vaccinated", "(select household, min(y) least from c group by 1 having count(*) >= 2) q", "least = 1"),
+    _pattern("over_20_households_a_day", "f", "attempted > 20", "who||' '||\"day\""), _pattern("several_clusters_a_day", "f", "clusters > 1", "who||' '||\"day\""),
+    _pattern("outside_fieldwork_window", "(select * from h where completed) q", "not in_window", "who"), _pattern("completed_without_children", "(select * from h where completed) q", "n_children = 0"),
+)
+
+
+@query(f"with {_FIELD} {' union all '.join(_PATTERNS)}")
+def pattern_report(spark, sf_dir):
+    return fieldwork.patterns(*_field_tables(spark, sf_dir)).withColumn("share", r(F.col("share")))
+
+
+@query("with f as (select c_nationkey h, c_custkey % 97 + 3 size, sum(c_custkey % 97 + 3) over (partition by c_nationkey) total, c_custkey % 10 = 0 sel, count(*) filter (where c_custkey % 10 = 0) over (partition by c_nationkey) n, c_custkey from customer), s as (select *, cast(n*size as double)/cast(total as double) + case when c_custkey % 30 = 0 then 0.01 else 0 end p1 from f where sel) select 'clusters_per_stratum' \"check\", count(distinct h) filter (where n <> 6) n_affected from s union all select 'selection_probability', count(*) filter (where abs(cast(n*size as double)/cast(total as double) - p1) > 1e-6) from s union all select 'stratum_totals', cast(0 as bigint)")
+def selection_checks(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster"), F.col("c_nationkey").alias("h"), (F.col("c_custkey") % 97 + 3).alias("size"), (F.col("c_custkey") % 10 == 0).alias("selected"))
+    per = c.groupBy("h").agg(F.sum("size").alias("stratum_size"), F.count_if("selected").alias("taken"))
+    frame = c.join(per, "h").withColumn("p1", F.col("taken") * F.col("size") / F.col("stratum_size") + F.when(F.col("cluster") % 30 == 0, 0.01).otherwise(0))
+    return fieldwork.selection_checks(frame, 6).drop("detail")
+
+
+@query("with c as (select l_orderkey household, l_returnflag <> 'N' card, case when l_linenumber % 5 <> 0 and l_returnflag <> 'N' then 1 end a, case when l_linenumber % 3 = 0 then 1 end b from lineitem), h as (select o_orderkey household, o_orderstatus = 'F' completed, o_orderkey % 7 stated from orders where o_orderkey % 11 <> 0), n as (select household, count(*) n from c group by 1) select 'both_sources' \"check\", count(*) filter (where a is not null and b is not null) n_affected from c union all select 'card_answer_without_card', count(*) filter (where not card and a is not null) from c union all select 'recall_despite_card', count(*) filter (where card and b is not null) from c union all select 'status_missing', count(*) filter (where a is null and b is null) from c union all select 'roster_differs', count(*) filter (where completed and coalesce(n, 0) <> stated) from h left join n using (household) union all select 'child_without_household', count(*) from c where household not in (select household from h)")
+def interview_checks(spark, sf_dir):
+    card = F.col("l_returnflag") != "N"
+    kids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("household"), card.alias("card"), F.when((F.col("l_linenumber") % 5 != 0) & card, 1).alias("on_card"), F.when(F.col("l_linenumber") % 3 == 0, 1).alias("recalled"))
+    homes = table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("household"), (F.col("o_orderstatus") == "F").alias("completed"), (F.col("o_orderkey") % 7).alias("stated"))
+    return fieldwork.interview_checks(kids, homes)
+
+
+@query("with a as (select distinct user_id, cast(ts as date) d from events where event_id % 2 = 0), b as (select distinct user_id, cast(ts as date) d from events where event_id % 2 = 1) select user_id, cast(d as varchar) \"day\", 'left' side from (select * from a except select * from b) union all select user_id, cast(d as varchar), 'right' from (select * from b except select * from a)")
+def unmatched_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date(F.col("ts").cast("timestamp")).cast("string").alias("day"))
+    return fieldwork.unmatched_pairs(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "day"])
+
+
+@query("select case when p_size > 8 and p_size <= 11 then '9-11' when p_size > 11 and p_size <= 23 then '12-23' when p_size > 23 and p_size <= 35 then '24-35' when p_size > 35 and p_size <= 47 then '36-47' when p_size > 47 and p_size <= 59 then '48-59' end age_class, count(*) n from part group by 1")
+def age_classes(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(fieldwork.age_class(F.col("p_size")).alias("age_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with d as (select count(*) n, count(*) filter (where l.doc_id is null) unlabelled, cast(avg(case when l.quality = 0 then 100.0 when l.quality = 1 then 0.0 end) as double) low from documents d left join labels l using (doc_id)) select 'labels_missing' flag, 'material' severity, printf('%d of %d documents have no label', unlabelled, n) evidence, 'labelling' fixable_by from d where unlabelled > 0 union all select 'low_quality', 'minor', printf('%.2f %% of labels are low', low), 'screening' from d where low > 5")
+def quality_flags(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").withColumn("has", F.lit(True)), "doc_id", "left")
+    one = joined.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has").isNull()).alias("unlabelled"), F.avg(F.when(F.col("quality") == 0, 100.0).when(F.col("quality") == 1, 0.0)).alias("low"))
+    return fieldwork.flags(one, [("labels_missing", "material", "unlabelled > 0", "%d of %d documents have no label|unlabelled|n", "labelling"), ("low_quality", "minor", "low > 5", "%.2f %% of labels are low|low", "screening"), ("no_documents", "critical", "n = 0", "the table is empty", "source")])
+
+
+# --- transfers ---------------------------------------------------------------------------------
+
+_BOXES = tuple((z, 100 * a, 100 * b, 100 * c, 100 * d) for z, a, b, c, d in _SQUARES)
+
+
+@query(f"with s as (select s_suppkey id, (s_suppkey*7919)%1009*1.0 x, (s_suppkey*104729)%1013*1.0 y from supplier), g(zone, x0, y0, x1, y1) as (values {', '.join(str(b) for b in _BOXES)}), d as (select id, zone, sqrt(power(greatest(x0-x, x-x1, 0), 2) + power(greatest(y0-y, y-y1, 0), 2)) d from s cross join g), n as (select id, zone, d, row_number() over (partition by id order by d, zone) r from d) select id, zone, round(d, 6) distance from n where r = 1 and d > 0")
+def snap_outside(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 7919) % 1009).cast("double").alias("x"), ((F.col("s_suppkey") * 104729) % 1013).cast("double").alias("y"))
+    zones = spark.createDataFrame([(z, [(a, b), (c, b), (c, d), (a, d)]) for z, a, b, c, d in _BOXES], "zone int, ring array<struct<x:double,y:double>>")
+    held = spatial.polygon_join(s, zones, 200.0).select("id").distinct()
+    return transfer.snapped(s.join(held, "id", "left_anti"), zones, 100.0).select("id", "zone", r(F.col("distance")).alias("distance"))
+
+
+@query(f"with s as (select s_nationkey % 4 k, (s_suppkey*7919)%1009*1.0 x, (s_suppkey*104729)%1013*1.0 y from supplier), g(zone, x0, y0, x1, y1) as (values {', '.join(str(b) for b in _BOXES)}) select zone, round(cast(sum(case k when 0 then 3 when 1 then 2 when 2 then 1 else 0 end) as double)/count(*), 6) score, count(*) n from s join g on x between x0 and x1 and y between y0 and y1 group by zone")
+def access_score(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 4).cast("string").alias("k"), ((F.col("s_suppkey") * 7919) % 1009).cast("double").alias("x"), ((F.col("s_suppkey") * 104729) % 1013).cast("double").alias("y"))
+    zones = spark.createDataFrame([(z, [(a, b), (c, b), (c, d)]) for z, a, b, c, d in _BOXES], "zone int, ring array<struct<x:double,y:double>>")
+    return transfer.category_score(transfer.box_join(s, zones, 200.0), ["zone"], "k", {"0": 3, "1": 2, "2": 1}).withColumn("score", r(F.col("score")))
+
+
+@query("with l as (select c_nationkey, c_name, c_mktsegment, row_number() over (partition by c_nationkey order by c_custkey desc) r from customer) select n_nationkey, n_name, c_name, c_mktsegment from nation left join l on c_nationkey = n_nationkey and r = 1")
+def attribute_transfer(spark, sf_dir):
+    n, c = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "customer")
+    return transfer.transferred(n, c.withColumnRenamed("c_nationkey", "n_nationkey"), "n_nationkey", ["c_name", "c_mktsegment"], "c_custkey")
+
+
+@query("with a as (select c_custkey k, c_custkey * 10.0 v, case when c_custkey % 5 = 0 then null when c_custkey % 7 = 0 then c_custkey * 10.0 + 3 else c_custkey * 10.0 end o from customer) select cast(k as varchar) entity_id, 'people' field, cast(cast(o as bigint) as varchar) raw_value, cast(cast(v as bigint) as varchar) resolved_value, 'prefer_complete_source' \"method\", case when o is null then 1.0 else 0.9 end confidence, case when o is null then 'resolved' else 'resolved_review' end outcome from a where o is null or o <> v")
+def preferred_source(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 10).alias("people"))
+    other = c.where("c_custkey % 5 <> 0").withColumn("people", F.when(F.col("c_custkey") % 7 == 0, F.col("people") + 3).otherwise(F.col("people")))
+    return transfer.preferred(c, other, "c_custkey", "people")[1]
+
+
+@query("select cast(p_size as varchar) code, 'repeated' problem from part where p_size < 99 group by 1 having count(*) > 1 union all select distinct cast(p_size as varchar), 'reserved' from part where p_size in (46, 48, 49)")
+def lookup_problems(spark, sf_dir):
+    return transfer.lookup_problems(table(spark, sf_dir, "part").select(F.col("p_size").alias("code")), ("46", "48", "49"))
+
+
+shared("cutoff_sweep", "with z as (select c_nationkey zone, sum(case when c_acctbal > 0 then c_acctbal else 0 end) deficit, cast(avg(case when c_acctbal > 4000 then 1.0 else 0.0 end) as double) closure from customer group by c_nationkey) select k cutoff, count(case when closure >= k then 1 end) staffing, count(case when closure < k then 1 end) absent, round(sum(case when closure >= k then deficit else 0 end), 2) by_staffing from z cross join (values (cast(0.10 as double)), (cast(0.15 as double)), (cast(0.25 as double)), (cast(0.40 as double)), (cast(0.60 as double))) c(k) group by k")
+shared("crowded_covered", "with z as (select s_nationkey zone, avg(s_acctbal) staff, count(*) n from supplier group by s_nationkey), p as (select percentile_cont(0.1) within group (order by staff) p10 from z) select zone, round(staff, 6) staff from z cross join p where n >= 1 and staff <= p10")
+shared("hybrid_travel", "with d as (select o_orderkey k, o_totalprice / 1000 direct, o_custkey % 60 walk, o_orderkey % 200 net from orders) select k, round(least(direct, walk + net), 6) as minutes, case when walk + net < direct then 'network' else 'direct' end how from d")
+
+
+@query("with p as (select l_orderkey k, count(*) n, count(*) filter (where l_returnflag = 'R') back, count(distinct l_linenumber) lines from lineitem group by 1), h as (select o_orderkey, o_orderstatus s, o_orderpriority p, cast(o_orderdate as date) d, coalesce(n, 0) n, coalesce(back, 0) back from orders left join p on k = o_orderkey) select o_orderkey, 'size' field, 'constraint' enforcement, 'constraint' violation from h where not (n >= 1 and n <= 5) union all select o_orderkey, 'returns', 'gate', 'answered_but_skipped' from h where s <> 'F' and back > 0 union all select o_orderkey, 'returns', 'gate', 'missing' from h where s = 'F' and back = 0 union all select o_orderkey, 'returns', 'gate', 'constraint' from h where s = 'F' and back > 2 union all select o_orderkey, 'day', 'constraint', 'constraint' from h where not (d >= date '1993-01-01' and d <= date '1997-06-30')")
+def form_rules(spark, sf_dir):
+    """A form's rules over orders as submissions with their lines as a repeat."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))).alias("roster"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.to_date(F.col("o_orderdate")).cast("string").alias("day"))
+    repeats = {"roster": ["line", "flag"]}
+    form = [
+        forms.Bind("/data/size", "int", ". >= 1 and . <= 5", calculate="count(${line})"), forms.Bind("/data/returns", "int", ". <= 2", "${status} = 'F'", "true()", "if(count(${flag}[. = 'R']) > 0, count(${flag}[. = 'R']), '')"),
+        forms.Bind("/data/day", "date", ". >= date('1993-01-01') and . <= date('1997-06-30')"),
+    ]
+    known = forms.derived(o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left"), form, repeats)
+    return forms.violations(known, form, ["o_orderkey"], repeats)
