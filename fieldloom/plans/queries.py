@@ -195,9 +195,9 @@ def constraint_report(spark, sf_dir):
     return _RULES.report({t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier", "nation")})
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def orphan_audit(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("with a as (select event_id, user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) p from events) select event_id, user_id, round((epoch_us(ts)-epoch_us(p))/6e7, 4) gap from a where ts < p + interval '2' minute")
