@@ -98,6 +98,14 @@ def valid_ring(ring: Column) -> Column:
     return (F.size(ring) >= 3) & (F.abs(ring_area(ring)) > 0)
 
 
+def crosses_itself(ring: Column) -> Column:
+    """Whether two sides that are not neighbours cross; touching corners do not count."""
+    sides = F.filter(edges(ring), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    turn = lambda e, x, y: F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+    parted = lambda a, b: turn(a, b["x1"], b["y1"]) * turn(a, b["x2"], b["y2"]) < 0
+    return F.exists(sides, lambda a: F.exists(sides, lambda b: parted(a, b) & parted(b, a)))
+
+
 def bbox(ring: Column) -> Column:
     end = lambda f, k: f(F.transform(ring, lambda p: p[k]))
     return F.struct(end(F.array_min, "x").alias("minx"), end(F.array_min, "y").alias("miny"), end(F.array_max, "x").alias("maxx"), end(F.array_max, "y").alias("maxy"))

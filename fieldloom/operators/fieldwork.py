@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.ordering import small
+from fieldloom.operators.quality import robust_zs
 
 
 def analysis_sets(rows: DataFrame, excluded: DataFrame, planned: DataFrame | int, weights: list[str]) -> DataFrame:
@@ -67,8 +68,6 @@ def interviewers(households: DataFrame, children: DataFrame, log: DataFrame) ->
 
     households(who, cluster, completed, minutes), children(who, y, card), log(who, day, attempted, clusters).
     """
-    from fieldloom.operators.quality import robust_z
-
     done = F.when(F.col("completed"), F.col("minutes"))
     h = households.groupBy("who").agg(
         F.count_distinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_households"), F.count_if("completed").alias("_done"), F.avg(F.col("completed").cast("double")).alias("completion"),
@@ -77,9 +76,7 @@ def interviewers(households: DataFrame, children: DataFrame, log: DataFrame) ->
     c = children.groupBy("who").agg(F.count(F.lit(1)).alias("n_children"), F.avg(F.coalesce("card", F.lit(False)).cast("double")).alias("card_rate"), F.avg("y").alias("coverage"))
     f = log.groupBy("who").agg(F.count_distinct("day").alias("days"), F.max("attempted").alias("most_households"), F.max("clusters").alias("most_clusters"))
     out = c.join(h, "who", "left").join(f, "who", "left").withColumn("per_household", F.col("n_children") / F.greatest("_done", F.lit(1))).drop("_done")
-    for name in ("coverage", "median_minutes", "card_rate", "completion"):
-        out = robust_z(out, name).withColumnRenamed("z", f"z_{name}")
-    return out
+    return robust_zs(out, {f"z_{c}": c for c in ("coverage", "median_minutes", "card_rate", "completion")})
 
 
 def patterns(households: DataFrame, children: DataFrame, log: DataFrame) -> DataFrame:

@@ -128,9 +128,67 @@ def digit_preference(values: DataFrame, column: str, base: int = 10) -> DataFram
     return full.crossJoin(F.broadcast(total)).select("digit", "n", F.try_divide("n", "_t").alias("share"), F.try_divide((F.col("n") - expected) * (F.col("n") - expected), expected).alias("chi2_part"))
 
 
+def robust_zs(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with a column per name of columns(name -> column): how far it is from the median in scaled median absolute deviations.
+
+    All medians come from one aggregation and all deviations from another; null where the deviation is 0.
+    """
+    middle = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{n}") for n, c in columns.items()])
+    off = rows.crossJoin(F.broadcast(middle))
+    spread = off.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_m_{n}")), F.lit(0.5)).alias(f"_d_{n}") for n, c in columns.items()])
+    both = off.crossJoin(F.broadcast(spread))
+    z = {n: F.when(F.col(f"_d_{n}") > 0, (F.col(c) - F.col(f"_m_{n}")) / (1.4826 * F.col(f"_d_{n}"))) for n, c in columns.items()}
+    return both.withColumns(z).drop(*[f"_{k}_{n}" for n in columns for k in "md"])
+
+
 def robust_z(rows: DataFrame, column: str) -> DataFrame:
-    """Distance from the median in scaled median absolute deviations; null where these are 0."""
-    middle = rows.agg(F.percentile(column, F.lit(0.5)).alias("_m"))
-    off = rows.crossJoin(F.broadcast(middle)).withColumn("_d", F.abs(F.col(column) - F.col("_m")))
-    mad = off.agg(F.percentile("_d", F.lit(0.5)).alias("_mad"))
-    return off.crossJoin(F.broadcast(mad)).withColumn("z", F.when(F.col("_mad") > 0, (F.col(column) - F.col("_m")) / (1.4826 * F.col("_mad")))).drop("_m", "_d", "_mad")
+    """rows with z, the robust distance of one column."""
+    return robust_zs(rows, {"z": column})
+
+
+def daily_screen(rows: DataFrame, as_of: str, gap_minutes: float = 2, **limits: float) -> DataFrame:
+    """The enumerator screen over submissions(who, day, start, end, id, ...) up to a day, as it runs each evening."""
+    known = rows.where(F.col("day") <= F.lit(as_of).cast("date"))
+    by = Window.partitionBy("who").orderBy("start", "id")
+    gap = (F.unix_micros("start") - F.unix_micros(F.lag("end").over(by))) / 6e7
+    return enumerator_screen(known.withColumn("overlap", F.coalesce(gap < gap_minutes, F.lit(False))), **limits)
+
+
+def exportable(rows: DataFrame, consent: str, columns: list[str], yes: str = "1") -> DataFrame:
+    """Only who agreed, and only the columns that the receiver needs."""
+    return rows.where(F.col(consent).cast("string") == yes).select(*columns)
+
+
+def layer_checks(layer: DataFrame, metrics: DataFrame, key: str, rank: str) -> DataFrame:
+    """(check, n_affected, verdict) for a ranked layer joined to its metrics: keys once on both sides, all met, ranks once, rows kept."""
+    repeated = lambda df, c: df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    a, b = layer.select(key).distinct(), metrics.select(key).distinct()
+    joined = layer.select(key).join(metrics.select(key, rank), key, "left")
+    kept = layer.agg(F.count(F.lit(1)).alias("x")).crossJoin(joined.agg(F.count(F.lit(1)).alias("y"))).select(F.abs(F.col("x") - F.col("y")).alias("n"))  # one row each
+    found = {
+        "layer_keys_repeat": repeated(layer, key), "metric_keys_repeat": repeated(metrics, key), "layer_unmatched": a.join(b, key, "left_anti").agg(F.count(F.lit(1)).alias("n")),
+        "metrics_unmatched": b.join(a, key, "left_anti").agg(F.count(F.lit(1)).alias("n")), "ranks_repeat": repeated(metrics, rank), "rows_lost_or_gained": kept,
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("check"), F.col("n").alias("n_affected"), F.when(F.col("n") == 0, "PASS").otherwise("FAIL").alias("verdict")) for k, df in found.items()])
+
+
+#: Types of another engine's columns; types not named are text.
+DDL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE PRECISION", "float": "REAL", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMPTZ", "binary": "BYTEA"}
+
+
+def schema_ddl(tables: dict[str, DataFrame], catalogue: Catalogue, geometry: dict[str, tuple[str, str, int]] | None = None) -> str:
+    """Statements that make the tables with their constraints in an engine that enforces them, parents first.
+
+    geometry names a table's geometry column, its kind and reference system; it gets a spatial index.
+    """
+    order = [*[t for t in catalogue.load_order() if t in tables], *sorted(t for t in tables if t not in catalogue.load_order())]
+    out = []
+    for t in order:
+        g = (geometry or {}).get(t)
+        columns = [f"    {n} " + (f"geometry({g[1]}, {g[2]})" if g and n == g[0] else DDL_TYPES.get(kind, f"NUMERIC{kind[7:]}" if kind.startswith("decimal") else "TEXT")) for n, kind in tables[t].dtypes]
+        out.append(f"CREATE TABLE {t} (\n" + ",\n".join(columns) + "\n);")
+        out += [c.ddl() for c in catalogue.constraints if c.table == t]
+        if g:
+            out.append(f"CREATE INDEX {t}_{g[0]}_gist ON {t} USING GIST ({g[0]});")
+        out += [f"CREATE INDEX {t}_{'_'.join(c.columns)}_idx ON {t} ({', '.join(c.columns)});" for c in catalogue.constraints if c.table == t and c.kind == "foreign_key"]
+    return "\n".join(out) + "\n"

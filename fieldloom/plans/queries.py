@@ -403,10 +403,11 @@ def travel_time(spark, sf_dir):
     return spatial.travel_times(_roads(spark, sf_dir), spark.createDataFrame([("0", 0.0)], "node string, minutes double"))
 
 
-@query()
+@query(f"with g(zone, x0, y0, x1, y1) as (values {', '.join(str((z, 9000 * a, 9000 * b, 9000 * c, 9000 * d)) for z, a, b, c, d in _SQUARES)}), s as (select *, least(greatest(sqrt((x1-x0)*(y1-y0)/1e6/30)*1000, 700), 12000) s from g), a as (select zone, y0, y1, s, x0, x1, unnest(generate_series(0, cast(floor((x1-x0)/s) as bigint))) i from s), b as (select *, unnest(generate_series(0, cast(floor((y1-y0)/s) as bigint))) j from a) select zone, round(x0 + s*(i+0.5), 4) x, round(y0 + s*(j+0.5), 4) y from b where x0 + s*(i+0.5) < x1 and y0 + s*(j+0.5) < y1")
 def demand_points(spark, sf_dir):
     rows = [(z, [(a * 9000, b * 9000), (c * 9000, b * 9000), (c * 9000, d * 9000), (a * 9000, d * 9000)], (c - a) * (d - b) * 81) for z, a, b, c, d in _SQUARES]
-    return spatial.demand_grid(spark.createDataFrame(rows, "zone int, ring array<struct<x:double,y:double>>, km2 double"))
+    points = spatial.demand_grid(spark.createDataFrame(rows, "zone int, ring array<struct<x:double,y:double>>, km2 double"))
+    return points.select("zone", r(F.col("x"), 4).alias("x"), r(F.col("y"), 4).alias("y"))
 
 
 # --- plain relational operators, one text for both engines -------------------------------------
@@ -682,3 +683,21 @@ def form_rules(spark, sf_dir):
     ]
     known = forms.derived(o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left"), form, repeats)
     return forms.violations(known, form, ["o_orderkey"], repeats)
+
+
+@query()
+def planted_fabricator(spark, sf_dir):
+    """The screen over made-up submissions as it stood after each of the first three days."""
+    from functools import reduce
+
+    from fieldloom.sources.synthetic import submissions
+
+    made = submissions(spark)
+    days = [quality.daily_screen(made, f"2026-06-0{d}", least=3).select(F.lit(f"2026-06-0{d}").alias("as_of"), "who", "n", "reasons", "verdict") for d in (1, 2, 3)]
+    return reduce(DataFrame.unionByName, days).where("verdict <> 'OK'")
+
+
+@query("with m as (select n_nationkey, n_regionkey from nation), k as (select c_nationkey, row_number() over (order by count(*) desc, c_nationkey) rk from customer where c_nationkey <> 3 group by 1) select 'layer_keys_repeat' \"check\", cast(0 as bigint) n_affected, 'PASS' verdict union all select 'metric_keys_repeat', 0, 'PASS' union all select 'layer_unmatched', (select count(*) from m where n_nationkey not in (select c_nationkey from k)), case when exists (select 1 from m where n_nationkey not in (select c_nationkey from k)) then 'FAIL' else 'PASS' end union all select 'metrics_unmatched', 0, 'PASS' union all select 'ranks_repeat', 0, 'PASS' union all select 'rows_lost_or_gained', 0, 'PASS'")
+def layer_checks(spark, sf_dir):
+    per = table(spark, sf_dir, "customer").where("c_nationkey <> 3").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.layer_checks(table(spark, sf_dir, "nation"), ordering.numbered(per, [F.desc("n"), "n_nationkey"], "rank"), "n_nationkey", "rank")

@@ -77,3 +77,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_sidecar(spark: SparkSession, facts: dict, path: str) -> None:
     """A small JSON document beside an output."""
     spark.range(1).select(F.lit(json.dumps(facts, sort_keys=True)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def catalogue_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """The tables and views that the session knows: name, database, kind, temporary."""
+    rows = [(t.name, ".".join(t.namespace or []), t.tableType or "", bool(t.isTemporary)) for t in spark.catalog.listTables(database)]
+    return spark.createDataFrame(rows, "name string, database string, kind string, temporary boolean")

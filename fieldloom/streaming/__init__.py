@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fieldloom.operators.quality import gate
 
@@ -27,3 +29,26 @@ def daily_counts(events: DataFrame, keys: list[str], time: str = "ts") -> DataFr
 
 def without_repeats(events: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
     return events.withWatermark(time, SYNC).dropDuplicatesWithinWatermark(keys)
+
+
+def overlaps(visits: DataFrame, gap_minutes: float) -> DataFrame:
+    """visits(who, start, end, id) of a stream: those that begin less than gap_minutes after the one before ended.
+
+    The state of an enumerator is one instant, the end of the visit last in order; within a batch visits
+    are taken by start, and one that comes in a later batch is compared with what was known by then.
+    """
+
+    def step(key, batches, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["start", "id"])
+        out = []
+        for start, end, number in zip(rows["start"], rows["end"], rows["id"]):
+            gap = None if last is None else (start.value // 1000 - last) / 6e7
+            if gap is not None and gap < gap_minutes:
+                out.append((key[0], number, gap))
+            last = end.value // 1000
+        state.update((int(last),))
+        yield pd.DataFrame(out, columns=["who", "id", "gap"])
+
+    timed = visits.select(F.col("who").cast("string").alias("who"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), F.col("id").cast("long").alias("id"))
+    return timed.groupBy("who").applyInPandasWithState(step, "who string, id long, gap double", "last long", "append", GroupStateTimeout.NoTimeout)
