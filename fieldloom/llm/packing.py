@@ -45,6 +45,15 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+def _letters(word: bytes) -> str:
+    """The word composed and in lower case if it is then all letters, else ''; some letters become a letter and a mark."""
+    text = word.decode()
+    if not text.isalpha():
+        return ""
+    lower = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+    return lower if lower.isalpha() else ""
+
+
 class Encoder:
     """Ids of texts as bytes. What stands between white space is encoded alone and remembered: the vocabulary's words never span it."""
 
@@ -67,10 +76,9 @@ class Encoder:
             if w.isalpha():
                 letters = w.lower().decode()
             else:
-                text = w.decode()
-                letters = "".join(map(str.lower, unicodedata.normalize("NFC", text))) if text.isalpha() else ""
-                if not letters.isalpha():
-                    alone.append((w, text))
+                letters = _letters(w)
+                if not letters:
+                    alone.append((w, w.decode()))
                     continue
                 letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
             known[w] = array("I", [t.id for t in merge(letters)]).tobytes()
@@ -87,7 +95,7 @@ class Encoder:
                 continue
             # marks after letters are a word of their own to the vocabulary, whose words are letters or marks alone
             core = w.rstrip(MARKS)
-            if len(core) < len(w) and core and (core.isalpha() or core.decode().isalpha()):
+            if len(core) < len(w) and core and (core.isalpha() or _letters(core)):
                 tailed.append((w, core, w[len(core) :]))
                 plain.add(core)
                 plain.add(w[len(core) :])

@@ -107,6 +107,17 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack(docs(spark, [(5, "a"), (5, "a"), (None, None)]), tokenizer_file()).agg(F.sum("length")).first()[0] == 5
 
 
+def test_words_alone_have_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    encoder, tokenizer, rng = packing.Encoder(tokenizer_file()), Tokenizer.from_file(tokenizer_file()), random.Random(1)
+    parts = ["a", "B", "é", "e\u0301", "\u0301", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u200b", "\u3000", ".", "...", "'s", "’s", "23", "$", "-", "<|endoftext|>", "<|", "İ", "ß", "ſ", "中", "한", "ा", "क", "\u0958", "😀", "\x00", "#", "ﬁ", "I'll", "²"]
+    texts = ["İ$", "क़#", "कÅİ#", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(8000)]]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids([t.encode() for t in texts])]
+    want = [e.ids + [1] for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_packing_in_small_stretches(spark, monkeypatch):
     rng = random.Random(6)
     encoder = packing.Encoder(tokenizer_file())
