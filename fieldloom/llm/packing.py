@@ -50,7 +50,8 @@ def _letters(word: bytes) -> str:
     text = word.decode()
     if not text.isalpha():
         return ""
-    lower = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+    text = unicodedata.normalize("NFC", text)
+    lower = text.lower() if "Σ" not in text else "".join(map(str.lower, text))  # the vocabulary knows no final form
     return lower if lower.isalpha() else ""
 
 
@@ -69,14 +70,16 @@ class Encoder:
         self.sentence_ends = np.zeros(max(words.values()) + 1, bool)
         self.sentence_ends[[words[t] for t in (".</w>", "!</w>", "?</w>", "...</w>", ".", "!", "?") if t in words]] = True
 
-    def _encode(self, words: list[bytes]) -> None:
-        """Learns words; one of letters alone is a single word to the vocabulary and goes to its merges directly."""
+    def _encode(self, words: dict[bytes, str | None]) -> None:
+        """Learns words, given with their letters or None; one of letters alone is a single word to the vocabulary and goes to its merges directly."""
         known, merge, alone = self.known, self.model.tokenize, []
-        for w in words:
+        for w, letters in words.items():
+            if w in known:
+                continue
             if w.isalpha():
                 letters = w.lower().decode()
             else:
-                letters = _letters(w)
+                letters = _letters(w) if letters is None else letters
                 if not letters:
                     alone.append((w, w.decode()))
                     continue
@@ -88,20 +91,22 @@ class Encoder:
     def _learn(self, missing: list[bytes]) -> None:
         if len(self.known) > KNOWN:
             self.known, self.before = {}, self.known
-        known, before, plain, tailed = self.known, self.before, set(), []
+        known, before, tailed = self.known, self.before, []
+        plain: dict[bytes, str | None] = {}
         for w in missing:
             if w in before:
                 known[w] = before[w]
                 continue
             # marks after letters are a word of their own to the vocabulary, whose words are letters or marks alone
             core = w.rstrip(MARKS)
-            if len(core) < len(w) and core and (core.isalpha() or _letters(core)):
-                tailed.append((w, core, w[len(core) :]))
-                plain.add(core)
-                plain.add(w[len(core) :])
+            letters = None
+            if len(core) < len(w) and core and (core.isalpha() or (letters := _letters(core))):
+                tail = w[len(core) :]
+                tailed.append((w, core, tail))
+                plain[core], plain[tail] = letters, ""
             else:
-                plain.add(w)
-        self._encode([w for w in plain if w not in known])
+                plain[w] = None
+        self._encode(plain)
         for w, core, tail in tailed:
             known[w] = known[core] + known[tail]
 
