@@ -1,10 +1,10 @@
 """Main text of web pages by template deduction over pages of one host.
 
 A page becomes a sequence of tokens: tags, told apart by the containers they stand in, and stretches
-of text. Over a group of pages each token has a vector of how often it occurs in every page; tokens
-that share a vector form an equivalence class. A class is valid if its tokens occur once in each
-page and in one order; valid classes nest into the template, whose gaps are the slots. Text that is
-itself template (the same on every differing page) falls away. The main slots are those inside the
+of text. Over a group's differing pages, less those without tokens, the tokens that occur once and in
+one order on more than half of the pages, and on TEMPLATE_PAGES at least, form the template's class,
+so an odd page (null, cut off, an error) costs no other page its template. Text that is itself
+template falls away. The main slots are those inside the
 article or main container, or else the ones that hold the most text outside menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments, and their text comes out by blocks.
 
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,60 +105,49 @@ def _content(page: Page, only_main: bool) -> bool:
     return any(k == "t" and (m or not only_main) and not a and t.strip() for k, _, t, a, m in page.tokens)
 
 
-def _classes(pages: list[Page]) -> tuple[list[list[str]], list[dict[str, list[int]]]]:
-    """The valid equivalence classes as ordered tokens, and each page's places of each token."""
-    places: list[dict[str, list[int]]] = []
-    vectors: dict[str, dict[int, int]] = defaultdict(dict)
-    for n, page in enumerate(pages):
-        own: dict[str, list[int]] = defaultdict(list)
-        for at, token in enumerate(page.tokens):
-            if token[1]:
-                own[token[1]].append(at)
-        places.append(own)
-        for key, found in own.items():
-            vectors[key][n] = len(found)
-    grouped: dict[tuple, list[str]] = defaultdict(list)
-    for key, vector in vectors.items():
-        if len(vector) == len(pages):
-            grouped[tuple(vector[n] for n in range(len(pages)))].append(key)
-    valid = []
-    for vector, keys in grouped.items():
-        if set(vector) != {1} or len(keys) < 2:
-            continue
-        keys.sort(key=lambda k: places[0][k][0])
-        rank = {k: i for i, k in enumerate(keys)}
-        # of tokens whose order differs between pages none is template
-        unsteady: set[str] = set()
-        for own in places[1:]:
-            seen = sorted(keys, key=lambda k: own[k][0])
-            unsteady.update(k for i, k in enumerate(seen) if rank[k] != i)
-        steady = [k for k in keys if k not in unsteady]
-        if len(steady) > 1:
-            valid.append(steady)
-    return valid, places
+def _in_order(ranks: list[int]) -> set[int]:
+    """The places of a longest rising run of ranks."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = []
+    for i, rank in enumerate(ranks):
+        k = bisect_left(ends, rank)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [rank], [i]
+    found, i = set(), last[-1] if last else -1
+    while i >= 0:
+        found.add(i)
+        i = before[i]
+    return found
 
 
 def template(pages: list[Page]) -> set[str]:
-    """The template's tokens: valid classes that nest in the largest one, over pages that differ."""
+    """The tokens that stand once and in one order on most of the pages that differ; pages without tokens don't count."""
     distinct: dict[tuple, Page] = {}
     for page in pages:
-        distinct.setdefault(tuple(t[1] for t in page.tokens if t[0] == "t" and t[4]) or tuple(t[1] for t in page.tokens if t[0] == "t"), page)
-    sample = list(distinct.values())
-    if len(sample) < TEMPLATE_PAGES:
-        return set()
-    valid, places = _classes(sample)
-    if not valid:
+        if page.tokens:
+            distinct.setdefault(tuple(t[1] for t in page.tokens if t[0] == "t" and t[4]) or tuple(t[1] for t in page.tokens if t[0] == "t"), page)
+    if len(distinct) < TEMPLATE_PAGES:
         return set()
-    root = max(valid, key=len)
-    found = set(root)
-    for other in valid:
-        if other is root:
-            continue
-        # nested: all its tokens lie in one and the same gap of the root on every page
-        gaps = {sum(own[r][0] < own[k][0] for r in root) for own in places for k in other}
-        if len(gaps) == 1:
-            found.update(other)
-    return found
+    need = max(TEMPLATE_PAGES, len(distinct) // 2 + 1)
+    places: list[dict[str, int]] = []
+    for page in distinct.values():
+        many = Counter(t[1] for t in page.tokens if t[1])
+        places.append({t[1]: at for at, t in enumerate(page.tokens) if many[t[1]] == 1})
+    support = Counter(k for own in places for k in own)
+    keys = {k for k, n in support.items() if n >= need}
+    seen = sorted((sorted(keys & own.keys(), key=own.get) for own in places), key=len, reverse=True)
+    order = list(seen[0])
+    known = set(order)
+    for own in seen[1:]:  # a token that the fullest page lacks comes after the one that it follows elsewhere
+        for k, key in enumerate(own):
+            if key not in known:
+                order.insert(order.index(own[k - 1]) + 1 if k else 0, key)
+                known.add(key)
+    rank = {k: i for i, k in enumerate(order)}
+    steady = Counter(own[i] for own in seen for i in _in_order([rank[k] for k in own]))
+    found = {k for k, n in steady.items() if n >= need}
+    return found if len(found) > 1 else set()
 
 
 def main_text(page: Page, fixed: set[str]) -> str:
