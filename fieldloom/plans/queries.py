@@ -515,11 +515,10 @@ def stream_daily_counts(spark, sf_dir):
 
     from fieldloom.streaming import daily_counts
 
-    schema = table(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/") if not sf_dir.startswith("viewfs") else None
-    if files is None:
-        e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-        return e.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    schema, path = table(spark, sf_dir, "events").schema, spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    files = spark.readStream.schema(schema)  # a stream reads folders, so a single file is picked by its name
+    files = files.parquet(f"{sf_dir}/events.parquet") if folder else files.option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/")
     name = f"daily_{uuid.uuid4().hex}"
     counts = daily_counts(files.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"])
     counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
