@@ -1,7 +1,7 @@
 """WARC archives: a writer, and a reader that verifies record boundaries by their chain.
 
 A scan task finds every place that could start a record (the magic, a header with a length, the
-closing blank lines) and emits it with the offset of its successor. A payload may hold such text
+closing blank lines before and after) and emits it with the offset of its successor. A payload may hold such text
 itself, so candidates prove nothing alone: pointer jumping from each file's start keeps only those
 that the chain of successors reaches. Candidates are pairs of numbers; payloads stay with their task.
 
@@ -27,8 +27,6 @@ END = "\r\n\r\n"
 REVISIT_BYTES = 1000
 #: Records in one archive file, and so the rounds of pointer jumping and the bytes of a scan task.
 FILE_RECORDS = 1024
-#: A header may not be longer.
-HEADER_BYTES = 1 << 16
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
@@ -72,7 +70,7 @@ def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS
 
 def _record_at(data: bytes, start: int) -> tuple[int, int, int, dict[str, str]] | None:
     """Payload start and end, successor and header of what could be a record at start."""
-    close = data.find(b"\r\n\r\n", start, start + HEADER_BYTES)
+    close = data.find(b"\r\n\r\n", start)
     if close < 0:
         return None
     head = {}
@@ -109,7 +107,8 @@ def _scan(with_payload: bool):
     def candidates(path: str, data: bytes) -> Iterator[dict]:
         at = data.find(MAGIC)
         while at >= 0:
-            if found := _record_at(data, at):
+            # a record follows a closing, so headers of candidates never overlap and need no bound
+            if (not at or data[at - 4 : at] == b"\r\n\r\n") and (found := _record_at(data, at)):
                 begin, end, after, head = found
                 kind = head.get("warc-type", "")
                 said = head.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -154,10 +153,15 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives under path that the boundary chain confirms."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    found = stored(files.mapInArrow(_scan(with_payload), CANDIDATE_DDL).withColumn("file", F.xxhash64("path")), "record-candidates")
-    kept = reachable(cut(found.select("file", "at", "next")))
+    """The records of all archives under path that the boundary chain confirms; a file whose chain stops before its end is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    found = stored(files.select("path", "content").mapInArrow(_scan(with_payload), CANDIDATE_DDL).withColumn("file", F.xxhash64("path")), "record-candidates")
+    links = cut(found.select("file", "at", "next"))
+    kept = reachable(links)
+    ends = links.join(kept, ["file", "at"], "left_semi").groupBy("file").agg(F.max("next").alias("end"))
+    torn = files.select("path", "length", F.xxhash64("path").alias("file")).join(ends, "file", "left").where(F.coalesce("end", F.lit(0)) != F.col("length")).first()
+    if torn:
+        raise ValueError(f"{torn.path}: records end at byte {torn.end or 0} of {torn.length}")
     return found.join(kept, ["file", "at"], "left_semi").drop("file")
 
 
