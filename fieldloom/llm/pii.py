@@ -33,7 +33,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of further candidates, in the order in which their kinds are listed.
 GENERATORS = {
     "access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}+",
-    "credential": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.!@#$%-]{6,128}+",
+    "credential": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.!@#$%-]{6,}+",
     "national_phone": r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}",
     "social_number": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "bank_account": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?",
@@ -146,9 +146,10 @@ def _examples(seed: int, per_kind: int) -> list[dict]:
     word = lambda: pick(string.ascii_lowercase, rng.randint(2, 9))
     named = lambda xs: rng.choice([*xs, "", "", ""])
     code = string.ascii_uppercase + string.digits
+    secret = lambda: pick("0123456789abcdef", rng.randint(8, 40)) if rng.random() < 0.7 else pick(string.ascii_letters + string.digits + "-_.", rng.randint(60, 900))
     good = {
         "access_key": lambda: (named(["key ", "access key: "]), rng.choice(["AKIA", "ASIA"]) + pick(code, 16)),
-        "credential": lambda: ("", rng.choice(["password=", "token = \"", "secret: ", "api_key=", "pwd: ", "Password: "]) + pick("0123456789abcdef", rng.randint(8, 40))),
+        "credential": lambda: ("", rng.choice(["password=", "token = \"", "secret: ", "api_key=", "pwd: ", "Password: "]) + secret()),
         "national_phone": lambda: (named(["phone ", "call ", "tel. ", "fax "]), rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {}-{}"]).format(rng.choice("23456789") + num(2), rng.choice("23456789") + num(2), num(4))),
         "social_number": lambda: (named(["ssn ", "social security "]), f"{rng.randint(101, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
         "bank_account": lambda: (named(["iban ", "account "]), rng.choice(["DE", "FR", "ES", "GB"]) + num(2) + "".join(rng.choice([" ", ""]) + num(4) for _ in range(rng.randint(4, 6)))),

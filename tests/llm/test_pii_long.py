@@ -1,0 +1,16 @@
+import random
+import string
+
+from fieldloom.llm import pii
+
+from .util import docs
+
+
+def test_long_secrets_are_covered_whole(spark):
+    rng = random.Random(3)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    sizes = [20, 128, 129, 200, 700, 5000, 30000]
+    rows = [(k, f"see token={pick(string.hexdigits, n)} end") for k, n in enumerate(sizes)]
+    rows += [(50 + k, f"see token={pick(string.ascii_letters + string.digits + '-_.', n)} end") for k, n in enumerate(sizes)]
+    got = {r.doc_id: r.text for r in pii.redacted(docs(spark, rows)).collect()}
+    assert got == {i: "see [credential] end" for i, _ in rows}
