@@ -3,30 +3,37 @@
 A scan task finds every place that could start a record (the magic, a header with a length, the
 closing blank lines before and after) and emits it with the offset of its successor. A payload may hold such text
 itself, so candidates prove nothing alone: pointer jumping from each file's start keeps only those
-that the chain of successors reaches. Candidates are pairs of numbers; payloads stay with their task.
+that the chain of successors reaches. A chain never leaves its file, so the pairs of numbers are dealt
+by file once and all rounds of jumping run on one file's arrays; payloads are no part of that.
+
+An archive is bounded in bytes by the writer (FILE_BYTES, or one record if that is larger), so what a
+scan task and a chain hold is bounded too.
 
 Null html is an empty payload; a null url leaves its header out; rows that share a payload and the
-largest page_id are all responses; an empty table gives no archive and no record.
+largest page_id are all responses; an empty table gives no archive and no record; a file whose chain
+does not end at its last byte is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import cut, scratch, small, stored
+from fieldloom.llm.common import scratch, small, stored
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Payloads shorter than this are written again instead of being referred to.
 REVISIT_BYTES = 1000
-#: Records in one archive file, and so the rounds of pointer jumping and the bytes of a scan task.
-FILE_RECORDS = 1024
+#: More than a header has besides its url.
+HEADER_BYTES = 1024
+#: Records and bytes in one archive file; a longer record has a file to itself.
+FILE_RECORDS, FILE_BYTES = 1024, 1 << 28
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
@@ -37,8 +44,8 @@ def with_digests(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """One record per page into text files whose row separator closes a WARC record."""
+def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """One record per page into text files under path whose row separator closes a WARC record."""
     rows = with_digests(pages)
     groups = (
         rows.where(F.col("payload_bytes") >= revisit_bytes)
@@ -65,7 +72,14 @@ def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS
         F.lit("\r\n"),
     )
     record = F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    # Spark's writer counts records, not bytes: long ones are written apart, fewer to a file
+    size = F.col("payload_bytes") + F.coalesce(F.octet_length(url), F.lit(0)) + HEADER_BYTES
+    plain = max(1, file_bytes // file_records)
+    write = lambda df, at, n: df.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", n).text(f"{path}/{at}")
+    write(rows.where(size <= plain), "plain", file_records)
+    longest = pages.select(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 3 * F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0]
+    if longest is not None and longest + HEADER_BYTES > plain:
+        write(rows.where(size > plain), "long", max(1, file_bytes // (longest + HEADER_BYTES)))
 
 
 def _record_at(data: bytes, start: int) -> tuple[int, int, int, dict[str, str]] | None:
@@ -92,6 +106,8 @@ def _page(urn: str | None) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
+#: In place of an offset: the row that tells a file's size.
+FILE_END = -1
 CANDIDATE = pa.schema([
     ("path", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -125,44 +141,67 @@ def _scan(with_payload: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                rows = []
-                for row in candidates(path.as_py(), content.as_py()):
+                data = content.as_py()
+                rows, held = [{"path": path.as_py(), "at": FILE_END, "next": len(data)}], 0
+                for row in candidates(path.as_py(), data):
                     rows.append(row)
-                    if len(rows) == 4096:
+                    held += len(row["payload"] or b"")
+                    if len(rows) == 4096 or held > 1 << 24:
                         yield pa.RecordBatch.from_pylist(rows, CANDIDATE)
-                        rows = []
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, CANDIDATE)
 
     return scan
 
 
+def chained(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each candidate of a file, rising in at, whether the chain from offset 0 reaches it, by pointer jumping.
+
+    After k rounds the pointers jump 2^k records and the first 2^k of the chain are known.
+    """
+    n = len(at)
+    known = np.zeros(n + 1, bool)  # place n is the end of every chain
+    if n and at[0] == 0:
+        known[0] = True
+        place = np.searchsorted(at, after)
+        jump = np.r_[np.where(at[np.minimum(place, n - 1)] == after, place, n), n]
+        while (jump[known] != n).any():
+            known[jump[known]] = True
+            jump = jump[jump]
+    return known[:n]
+
+
+def _reached(links: pa.Table) -> pa.Table:
+    at, after = (links.column(c).to_numpy() for c in ("at", "next"))
+    order = np.argsort(at, kind="stable")
+    at, after = at[order], after[order]
+    size = after[0] if len(at) and at[0] == FILE_END else -1
+    at, after = at[at >= 0], after[at >= 0]
+    kept = chained(at, after)
+    end = after[kept].max() if kept.any() else 0
+    torn = size >= 0 and end != size
+    path = links.column("path")[0].as_py()
+    found = np.r_[at[kept], [FILE_END] * int(torn)]
+    return pa.table({"path": [path] * len(found), "at": found.astype(np.int64), "end": np.full(len(found), end, np.int64), "size": np.full(len(found), size, np.int64)})
+
+
 def reachable(links: DataFrame) -> DataFrame:
-    """links(file, at, next) -> the (file, at) that the chain from offset 0 reaches, by pointer jumping.
+    """links(path, at, next) -> (path, at, end, size) that the chain from offset 0 reaches.
 
-    After k rounds the pointers jump 2^k records and the first 2^k of each file are known.
+    A link at FILE_END tells a file's size; a file whose chain ends elsewhere gets a row at FILE_END.
     """
-    most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    known = links.where("at = 0").select("file", "at")
-    jump = links
-    for _ in range(math.ceil(math.log2(most + 1)) if most else 0):
-        ahead = known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        known = cut(known.unionByName(ahead))
-        step = jump.select("file", F.col("at").alias("next"), F.col("next").alias("then"))
-        jump = cut(jump.join(step, ["file", "next"]).select("file", "at", F.col("then").alias("next")))
-    return known
+    return links.select("path", "at", "next").groupBy("path").applyInArrow(_reached, "path string, at long, end long, size long")
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The records of all archives under path that the boundary chain confirms; a file whose chain stops before its end is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    found = stored(files.select("path", "content").mapInArrow(_scan(with_payload), CANDIDATE_DDL).withColumn("file", F.xxhash64("path")), "record-candidates")
-    links = cut(found.select("file", "at", "next"))
-    kept = reachable(links)
-    ends = links.join(kept, ["file", "at"], "left_semi").groupBy("file").agg(F.max("next").alias("end"))
-    torn = files.select("path", "length", F.xxhash64("path").alias("file")).join(ends, "file", "left").where(F.coalesce("end", F.lit(0)) != F.col("length")).first()
+    found = stored(files.select("path", "content").mapInArrow(_scan(with_payload), CANDIDATE_DDL), "record-candidates")
+    kept = stored(reachable(found.select("path", "at", "next")), "record-offsets")
+    torn = kept.where(F.col("at") == FILE_END).first()
     if torn:
-        raise ValueError(f"{torn.path}: records end at byte {torn.end or 0} of {torn.length}")
-    return found.join(kept, ["file", "at"], "left_semi").drop("file")
+        raise ValueError(f"{torn.path}: records end at byte {torn.end} of {torn.size}")
+    return found.join(kept.select("path", "at"), ["path", "at"], "left_semi")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.llm import warc
@@ -35,7 +37,27 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
 
 
 def test_pointer_jumping_equals_a_walk(spark):
-    rows = [(1, 0, 5), (1, 5, 9), (1, 7, 9), (1, 9, 20), (1, 12, 15), (2, 3, 9), (3, 0, 4)]
-    links = spark.createDataFrame(rows, "file long, at long, next long")
-    got = {(r.file, r["at"]) for r in warc.reachable(links).collect()} & {(f, a) for f, a, _ in rows}
-    assert got == {(1, 0), (1, 5), (1, 9), (3, 0)}
+    rows = [("a", 0, 5), ("a", 5, 9), ("a", 7, 9), ("a", 9, 20), ("a", 12, 15), ("b", 3, 9), ("c", 0, 4)]
+    links = spark.createDataFrame(rows, "path string, at long, next long")
+    got = {(r.path, r["at"]) for r in warc.reachable(links).collect()}
+    assert got == {("a", 0), ("a", 5), ("a", 9), ("c", 0)}
+
+
+def test_long_chains_equal_a_walk():
+    rng = random.Random(4)
+    for n in (1, 2, 3, 64, 65, 5000):
+        at = np.cumsum([0] + [rng.randint(1, 9) for _ in range(n)])
+        after = np.array([rng.choice(at[k + 1 : k + 4]) if rng.random() < 0.99 else at[k] + 1 for k in range(n)])
+        want, here = set(), 0
+        while here in (places := dict(zip(at[:n].tolist(), after.tolist()))):
+            want.add(here)
+            here = places[here]
+        assert set(at[:n][warc.chained(at[:n], after)].tolist()) == want
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rows = [(i, "u", "x" * (40_000 if i % 10 == 0 else 300)) for i in range(200)]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "w"), file_records=50, file_bytes=150_000)
+    files = list((tmp_path / "w").rglob("*.txt"))
+    assert max(f.stat().st_size for f in files) <= 150_000
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(200))

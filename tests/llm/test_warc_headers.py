@@ -13,7 +13,7 @@ def test_long_urls_keep_their_file(spark, tmp_path):
 
 def test_a_broken_chain_is_an_error(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "u", "abc"), (2, "u", "def")], PAGES).coalesce(1), str(tmp_path / "w"))
-    whole = next((tmp_path / "w").glob("*.txt")).read_bytes()
+    whole = next((tmp_path / "w").rglob("*.txt")).read_bytes()
     (tmp_path / "cut").mkdir()
     (tmp_path / "cut" / "a.txt").write_bytes(whole[:-9])
     with pytest.raises(ValueError, match="records end at byte"):
