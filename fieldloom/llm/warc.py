@@ -182,7 +182,7 @@ def _reached(links: pa.Table) -> pa.Table:
     torn = size >= 0 and end != size
     path = links.column("path")[0].as_py()
     found = np.r_[at[kept], [FILE_END] * int(torn)]
-    return pa.table({"path": [path] * len(found), "at": found.astype(np.int64), "end": np.full(len(found), end, np.int64), "size": np.full(len(found), size, np.int64)})
+    return pa.table({"path": pa.array([path] * len(found), pa.string()), "at": found.astype(np.int64), "end": np.full(len(found), end, np.int64), "size": np.full(len(found), size, np.int64)})
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     torn = kept.where(F.col("at") == FILE_END).first()
     if torn:
         raise ValueError(f"{torn.path}: records end at byte {torn.end} of {torn.size}")
-    return found.join(kept.select("path", "at"), ["path", "at"], "left_semi")
+    return found.join(kept.select("path", "at").hint("merge"), ["path", "at"], "left_semi")  # offsets grow with the input: never broadcast
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
