@@ -24,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if root is None and current.isDefined():
         root = current.get()
+    if root is None and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if root is None:
         root = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
     if not current.isDefined():
@@ -47,6 +49,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Removes a path of scratch() that nothing reads any more."""
+    _remove(spark, path)
+
+
+def packed(df: DataFrame, *named: Column) -> DataFrame:
+    """df with all its columns in one, `row`, beside the named ones, so that no names clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *named)
+
+
+def unpacked(df: DataFrame) -> list[Column]:
+    """The columns of df's `row`."""
+    return [F.col("row").getField(c).alias(c) for c in df.schema["row"].dataType.names]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, name)

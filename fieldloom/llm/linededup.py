@@ -17,13 +17,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import BLANKS, ascii_lower, lines_without, scratch, stored, without
+from fieldloom.llm.common import BLANKS, ascii_lower, lines_without, packed, release, scratch, stored, unpacked, without
 
 #: Batches the table is taken in, and runs of a level that are compacted together.
 BATCHES, FANOUT = 4, 2
 #: Code points of the shortest key that counts.
 KEY_CHARS = 10
 NO_ID = -(2**63)
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 OUT = ("n_lines", "n_dropped")
 
 
@@ -40,16 +41,26 @@ class Runs:
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = []
         self.tag = uuid.uuid4().hex[:12]
-        self.made = 0
+        self.paths: dict[str, str] = {}
 
     def _write(self, hashes: DataFrame) -> str:
-        self.made += 1
-        name = f"line_run_{self.tag}_{self.made}"
-        path = scratch(self.spark, name)
+        name = f"line_run_{self.tag}_{len(self.paths)}"
+        self.paths[name] = scratch(self.spark, name)
         dealt = hashes.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        before = self.spark.conf.get(ORDERED, None)
+        self.spark.conf.set(ORDERED, "true")  # a bucket is one file here, so its order is the scan's and no join sorts a run again
+        try:
+            dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
+        finally:
+            self.spark.conf.unset(ORDERED) if before is None else self.spark.conf.set(ORDERED, before)
         return name
 
+    def drop(self) -> None:
+        """Takes the runs out of the catalogue and the shared folder."""
+        for name, path in self.paths.items():
+            self.spark.sql(f"drop table if exists {name}")
+            release(self.spark, path)
+
     def add(self, keys: DataFrame) -> DataFrame:
         """keys(h1, h2, first, last) of a batch -> the same with `seen`, now also in the runs."""
         seen = F.lit(False)
@@ -77,36 +88,38 @@ class Runs:
 def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """documents with repeated lines taken out of text, and n_lines (before) and n_dropped."""
     spark = documents.sparkSession
-    docs = without(documents, *OUT)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    lines = docs.select(doc.alias("_doc"), F.xxhash64(text).alias("_row"), F.posexplode(_keys(text)).alias("_at", "_key"))
-    lines = lines.where("_key is not null").select("_doc", "_row", "_at", F.col("_key.h1").alias("h1"), F.col("_key.h2").alias("h2"))
+    lines = documents.select(doc.alias("doc"), F.xxhash64(text).alias("hash"), F.posexplode(_keys(text)).alias("at", "key"))
+    lines = lines.where("key is not null").select("doc", "hash", "at", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"))
 
-    cuts = docs.select(F.percentile_approx(doc, [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    cuts = documents.select(F.percentile_approx(doc, [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     edges = sorted(set(cuts or []))
     number = F.lit(0)
     for edge in edges:
-        number = number + (F.col("_doc") > F.lit(edge)).cast("int")
-    lines = stored(lines.withColumn("_batch", number), "line-hashes")
+        number = number + (F.col("doc") > F.lit(edge)).cast("int")
+    held = scratch(spark, "line-hashes")
+    lines.withColumn("batch", number).write.parquet(held)
+    lines = spark.read.parquet(held)
 
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     repeated = None
     for k in range(len(edges) + 1):
-        found = runs.add(lines.where(F.col("_batch") == k).groupBy("h1", "h2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")))
-        hit = found.where("seen or first <> last").select(F.lit(k).alias("_batch"), "h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("_keeper"))
+        found = runs.add(lines.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+        hit = found.where("seen or first <> last").select(F.lit(k).alias("batch"), "h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("keeper"))
         repeated = hit if repeated is None else repeated.unionByName(hit)
 
     gone = (
-        lines.join(repeated, ["_batch", "h1", "h2"])
-        .where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
-        .groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_at")).alias("_gone"))
-    )
-    docs = docs.withColumn("_doc", doc).withColumn("_row", F.xxhash64(text))
-    joined = docs.join(gone, ["_doc", "_row"], "left")
-    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
-    kept = lines_without(text, F.col("_gone"))
-    return joined.select(
-        *[F.col(f"`{c}`") if c.lower() != "text" else F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) for c in docs.columns if c not in ("_doc", "_row")],
-        (breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        lines.join(repeated, ["batch", "h1", "h2"])
+        .where(~F.col("doc").eqNullSafe(F.col("keeper")))
+        .groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     )
+    gone = stored(gone, "repeated-lines")
+    runs.drop()
+    release(spark, held)
+    own = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    joined = packed(without(documents, *OUT), doc.alias("doc"), F.xxhash64(text).alias("hash")).join(gone, ["doc", "hash"], "left")
+    breaks = F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n")))
+    kept = F.when(F.col("gone").isNull(), own).otherwise(lines_without(own, F.col("gone")))
+    columns = [kept.alias(c) if c.lower() == "text" else column for c, column in zip(without(documents, *OUT).columns, unpacked(joined))]
+    return joined.select(*columns, (breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -41,3 +41,12 @@ def test_repeated_rows_clashing_columns_and_empty(spark):
     assert "h1" in out.columns and out.columns.count("n_lines") == 1
     assert [(r.doc_id, r.n_dropped) for r in out.orderBy("doc_id").collect()] == [(1, 0), (1, 0), (2, 1), (3, 0)]
     assert dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_clashing_names_pass(spark):
+    names = ["_doc", "_row", "_gone", "doc", "hash", "gone", "row", "key", "at", "h1", "batch", "_text", "_host"]
+    df = docs(spark, [(1, "one repeated line\nx"), (2, "one repeated line\ny")]).selectExpr("*", *[f"doc_id * {k + 2} as {n}" for k, n in enumerate(names)])
+    out = sorted(dedup_lines(df).collect())
+    assert [r.text for r in out] == ["one repeated line\nx", "y"]
+    assert all(r[n] == r.doc_id * (k + 2) for r in out for k, n in enumerate(names))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
