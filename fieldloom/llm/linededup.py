@@ -121,5 +121,6 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     joined = packed(without(documents, *OUT), doc.alias("doc"), F.xxhash64(text).alias("hash")).join(gone, ["doc", "hash"], "left")
     breaks = F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n")))
     kept = F.when(F.col("gone").isNull(), own).otherwise(lines_without(own, F.col("gone")))
-    columns = [kept.alias(c) if c.lower() == "text" else column for c, column in zip(without(documents, *OUT).columns, unpacked(joined))]
-    return joined.select(*columns, (breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    counts = [(breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")]
+    out = joined.select("row", F.struct(kept.alias("text"), *counts).alias("new"))
+    return out.select(*[F.col("new.text").alias(c) if c.lower() == "text" else column for c, column in zip(out.schema["row"].dataType.names, unpacked(out))], "new.n_lines", "new.n_dropped")

@@ -66,8 +66,8 @@ ln as (select doc_id, s, t, unnest(string_split(t, chr(10))) l from d),
 fl as (select * from ln where regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g') <> ''),
 dup as (select doc_id, count(*) - count(distinct l) n from fl group by doc_id),
 nl as (select doc_id, s, t, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) k from fl),
-hosts as (select s, count(distinct t) n from d group by s),
-above as (select nl.s, k from nl join hosts using (s) group by nl.s, k, hosts.n having count(distinct t) > 20 and count(distinct t) > hosts.n * 0.1),
+hosts as (select s, count(distinct coalesce(doc_id, -1)) n from d group by s),
+above as (select nl.s, k from nl join hosts using (s) group by nl.s, k, hosts.n having count(distinct coalesce(doc_id, -1)) > 20 and count(distinct coalesce(doc_id, -1)) > hosts.n * 0.1),
 gone as (select doc_id, count(*) n, sum(len(string_split(k, ' '))) w from nl join above using (s, k) group by doc_id),
 m as (
   select w.doc_id, cast(len(w.w) as bigint) n_words, cast(length(array_to_string(w.w, '')) as bigint) word_chars,

@@ -59,10 +59,23 @@ def test_lines_above_the_limit_deplete(spark):
     assert quality(docs(spark, [])).count() == 0
 
 
-def test_exact_copies_count_once(spark):
+def test_exact_copies_are_documents_of_their_own(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    out = quality(docs(spark, [(i, text, "en", "h") for i in range(200)])).collect()
+    own = lambda k: " ".join(f"x{k}y{i}" for i in range(60))
+    out = quality(docs(spark, [(i, text, "en", "h") for i in range(30)] + [(100 + k, own(k), "en", "h") for k in range(100)])).collect()
+    assert all(r.n_common_lines == 1 and not r.kept for r in out if r.doc_id < 30) and all(r.kept for r in out if r.doc_id >= 100)
+    out = quality(docs(spark, [(i, text, "en", "h") for i in range(30)] + [(100 + k, own(k), "en", "h") for k in range(300)])).collect()
     assert all(r.kept and r.n_common_lines == 0 for r in out)
+    out = quality(docs(spark, [(7, text, "en", "h")] * 200 + [(None, text, "en", "h")] * 200)).collect()
+    assert all(r.kept and r.n_common_lines == 0 for r in out)
+
+
+def test_clashing_names_pass_the_rules(spark):
+    names = ["_doc", "_row", "_gone", "_text", "_host", "_sum", "_words", "host", "doc", "hash", "gone", "sum", "rows", "row", "line"]
+    text = " ".join(f"w{i}" for i in range(60))
+    df = docs(spark, [(1, text), (2, None)]).selectExpr("*", *[f"doc_id * {k + 2} as {n}" for k, n in enumerate(names)])
+    out = quality(df, with_text=True).collect()
+    assert all(r[n] == r.doc_id * (k + 2) for r in out for k, n in enumerate(names)) and {r.doc_id: r.kept for r in out} == {1: True, 2: False}
 
 
 def test_decontamination_edges(spark):

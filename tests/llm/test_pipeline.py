@@ -24,10 +24,10 @@ def brute_quality(rows):
     texts, held = defaultdict(set), defaultdict(set)
     for i, t, _, _ in rows:
         t = t or ""
-        texts[host[i]].add(t)
+        texts[host[i]].add(i)
         for line in t.split("\n"):
             if key(line):
-                held[host[i], key(line)].add(t)
+                held[host[i], key(line)].add(i)
     above = {k for k, v in held.items() if len(v) > 20 and len(v) > 0.1 * len(texts[k[0]])}
     out = []
     for i, t, lang, s in rows:
