@@ -2,11 +2,13 @@
 
 The index is a table of postings (term, document, position), stored in the shared folder for the
 terms that searches start from. A test phrase's terms are ranked by how often the corpus holds them.
-The lists of its two rarest terms, each less the term's place in the phrase, are intersected; what
-is left are exact alignments, and the rest of the phrase is compared there, against the text. With
-a slop, alignments that differ by a few words also come out, as proximity matches. Every document
-and every posting of those terms is covered; the longest lists, of frequent words, are only read
-for phrases that hold nothing rarer. All of it is DataFrame expressions.
+The lists of its two rarest terms, each less the term's place in the phrase, are intersected with a
+slop: they meet where they differ by at most that many words. At each meeting the whole phrase is
+compared with the text: an exact match has its words one after another, a proximity match has them
+in order within at most size + slop consecutive words. Only texts with a meeting move; those of all
+other documents stay where they are read. Every document and every posting of those terms is
+covered; the longest lists, of frequent words, are only read for phrases that hold nothing rarer.
+All of it is DataFrame expressions.
 
 Null or wordless items and documents match nothing; repeated document rows each get their result;
 items without an item_id are passed over; an empty table gives no rows, an empty benchmark no hits.
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import ascii_lower, covered, let, small, stored
 
-#: What separates words, once A-Z is lower-cased.
+#: What separates words, once A-Z is lower-cased, and a word before that.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-PHRASE_WORDS = 10
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]++"
+#: Words of a phrase, and words that may stand between those of a proximity match.
+PHRASE_WORDS, SLOP = 10, 1
 
 
 def words_of(text: Column) -> Column:
@@ -38,13 +42,14 @@ def phrases(benchmark: DataFrame, size: int = PHRASE_WORDS) -> DataFrame:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc, hash, text): a row's key and its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"), F.xxhash64(text).alias("_row"), words_of(text).alias("_words"))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, _doc, _row, at) of every place where one of terms(term) stands."""
-    placed = docs.select("_doc", "_row", F.posexplode("_words").alias("at", "term"))
+    """(term, doc, hash, at) of every place where one of terms(term) stands."""
+    placed = docs.select("doc", "hash", F.posexplode(words_of(F.col("text"))).alias("at", "term"))
     return placed.join(small(terms), "term")
 
 
@@ -60,47 +65,96 @@ def rarest_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def alignments(docs: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
-    """(_doc, _row, phrase, n, start, drift): where the lists of each phrase's rarest terms meet."""
+    """(doc, hash, phrase, n, start): where the lists of each phrase's rarest terms meet, give or take slop words."""
     anchors = stored(rarest_terms(docs, wanted), "anchors")
     index = stored(postings(docs, anchors.select(F.explode(F.array("a", "b")).alias("term")).distinct()), "postings")
     anchors = small(anchors)
-    start = lambda term, at: index.join(anchors, index["term"] == anchors[term]).select("_doc", "_row", "phrase", "n", (F.col("at") - F.col(at)).alias("start")).distinct()
+    start = lambda term, at: index.join(anchors, index["term"] == anchors[term]).select("doc", "hash", "phrase", "n", (F.col("at") - F.col(at)).alias("start")).distinct()
     first, second = start("a", "a_at"), start("b", "b_at")
+    key = ["doc", "hash", "phrase", "n"]
     if not slop:
-        return first.join(second, ["_doc", "_row", "phrase", "n", "start"], "left_semi").where("start >= 0").withColumn("drift", F.lit(0))
-    other = second.withColumnRenamed("start", "_then")
-    near = first.join(other, ["_doc", "_row", "phrase", "n"]).withColumn("drift", F.col("_then") - F.col("start"))
-    return near.where(F.abs("drift") <= slop).drop("_then")
+        return first.join(second, [*key, "start"], "left_semi").where("start >= 0")
+    # lists meet in cells of the offset: a start looks into the cells that a word less or more than slop away may lie in
+    width = 8 * slop
+    cell = lambda c: F.floor(c / width)
+    reach = F.sequence(cell(F.col("start") - slop), cell(F.col("start") + slop))
+    first = first.select("*", F.explode(reach).alias("cell"))
+    second = second.select(*key, cell(F.col("start")).alias("cell"), F.col("start").alias("then"))
+    near = first.join(second, [*key, "cell"]).where(F.abs(F.col("then") - F.col("start")) <= slop)
+    return near.select(*key, "start").distinct()
 
 
-def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int, size: int = PHRASE_WORDS) -> DataFrame:
-    """(doc_id, item_id, start, drift) where a phrase's two rarest terms stand as in the phrase, give or take slop words."""
-    windows = phrases(benchmark, size)
-    found = alignments(_keyed(documents), windows.select("phrase", "terms").dropDuplicates(["phrase"]), slop)
-    return found.join(windows.select("phrase", "item_id"), "phrase").select(F.col("_doc").alias("doc_id"), "item_id", "start", "drift").distinct()
+def _near(words: Column, terms: Column, start: Column, slop: int) -> Column:
+    """(start, length) of the proximity matches that begin at start or up to slop words before."""
+    low = F.greatest(start - slop, F.lit(0))
+
+    def from_first(head: Column) -> Column:
+        reach = F.least(head + F.size(terms) + slop, F.size(words))  # one past the last place allowed
+
+        def step(at: Column, term: Column) -> Column:
+            found = F.array_position(F.slice(words, at + 1, F.greatest(reach - at, F.lit(0))), term).cast("int")
+            return F.when((at < 0) | (found == 0), F.lit(-1)).otherwise(at + found)
+
+        end = F.when(F.get(words, head) == F.get(terms, 0), F.aggregate(F.slice(terms, 2, F.size(terms)), (head + 1).cast("int"), step)).otherwise(F.lit(-1))
+        return F.struct(head.cast("int").alias("start"), (end - head).cast("int").alias("length"), end.alias("end"))
+
+    tried = F.transform(F.sequence(low, F.greatest(start, low)), from_first)
+    return F.filter(tried, lambda m: m["end"] > 0)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as strings) of every document row, and the key (_doc, _row)."""
+def matches(documents: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
+    """(doc, hash, exact, near) of the rows with any match, and the windows; exact and near are arrays of (start, length, phrase)."""
     windows = phrases(benchmark, size)
     docs = _keyed(documents)
-    met = alignments(docs, windows.select("phrase", "terms").dropDuplicates(["phrase"]))
-    at = met.groupBy("_doc", "_row").agg(F.collect_set(F.struct("start", F.col("n").alias("length"), "phrase")).alias("_met"))
-    # one string of words moves in half the bytes of an array of them
-    told = docs.select("_doc", "_row", F.array_join("_words", " ").alias("_told"))
-    words = F.when(F.col("_told") == "", F.array().cast("array<string>")).otherwise(F.split("_told", " ", -1))
-    joined = told.join(at, ["_doc", "_row"], "left")
+    wanted = windows.select("phrase", "terms").dropDuplicates(["phrase"])
+    met = alignments(docs, wanted, slop)
+    if slop:
+        met = met.join(small(wanted), "phrase")
+    else:
+        met = met.withColumn("terms", F.lit(None).cast("array<string>"))
+    at = stored(met.groupBy("doc", "hash").agg(F.collect_set(F.struct("start", F.col("n").alias("length"), "phrase", "terms")).alias("met")), "meetings")
+    texts = docs.join(small(at.select("doc", "hash")), ["doc", "hash"], "left_semi").dropDuplicates(["doc", "hash"])
+    joined = at.join(texts, ["doc", "hash"])
 
     def verify(words: Column) -> Column:
-        same = lambda m: F.xxhash64(F.array_join(F.slice(words, m["start"] + 1, m["length"]), " ")) == m["phrase"]
-        return F.struct(F.size(words).cast("long").alias("n"), F.filter("_met", same).alias("m"))
-
-    checked = joined.select("_doc", "_row", let(words, verify).alias("_v"))
-    hits = F.coalesce(covered(F.array_sort(F.transform("_v.m", lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))))), F.lit(0).cast("long"))
-    phrase_ids = F.array_distinct(F.transform("_v.m", lambda m: m["phrase"]))
-    checked = stored(checked.select("_doc", "_row", F.col("_v.n").alias("n_words"), hits.alias("n_hit"), phrase_ids.alias("_phrases")), "hits")
-    of_doc = checked.where("n_hit > 0").select("_doc", "_row", F.explode("_phrases").alias("phrase")).distinct()
-    items = of_doc.join(small(windows.select("phrase", "item_id")), "phrase").groupBy("_doc", "_row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = checked.join(items, ["_doc", "_row"], "left")
-    empty = F.array().cast("array<string>")
-    return out.select(F.when(F.col("_doc") > -(2**63), F.col("_doc")).alias("doc_id"), "n_words", "n_hit", F.coalesce("items", empty).alias("items"), "_doc", "_row")
+        same = lambda m: (m["start"] >= 0) & (F.xxhash64(F.array_join(F.slice(words, F.greatest(m["start"], F.lit(0)) + 1, m["length"]), " ")) == m["phrase"])
+        told = lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"), m["phrase"].alias("phrase"))
+        exact = F.transform(F.filter("met", same), told)
+        if not slop:
+            return F.struct(exact.alias("exact"), F.filter(exact, lambda m: F.lit(False)).alias("near"))
+        loose = lambda m: F.transform(_near(words, m["terms"], m["start"], slop), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), m["phrase"].alias("phrase")))
+        near = F.array_distinct(F.flatten(F.transform(F.filter("met", lambda m: m["length"] > 1), loose)))
+        return F.struct(exact.alias("exact"), near.alias("near"))
+
+    checked = joined.select("doc", "hash", let(words_of(F.col("text")), verify).alias("v"))
+    # a match with nothing between its words is the exact one
+    return checked.select("doc", "hash", "v.exact", F.array_except("v.near", "v.exact").alias("near")).where("size(exact) + size(near) > 0"), windows
+
+
+def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP, size: int = PHRASE_WORDS) -> DataFrame:
+    """(doc_id, item_id, start, length): where a phrase's words stand in order with 1 to slop others between them."""
+    found, windows = matches(documents, benchmark, size, slop)
+    near = found.select("doc", F.inline("near"))
+    return near.join(windows.select("phrase", "item_id"), "phrase").select(F.col("doc").alias("doc_id"), "item_id", "start", "length").distinct()
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, items and near_items (sorted as strings; the latter by proximity) of every document row, and its key (_doc, _row)."""
+    found, windows = matches(documents, benchmark, size, slop)
+    covers = lambda spans: F.coalesce(covered(F.array_sort(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))))), F.lit(0).cast("long"))
+    of = lambda name: F.array_distinct(F.transform(name, lambda m: m["phrase"]))
+    checked = stored(found.select("doc", "hash", covers(F.col("exact")).alias("n_hit"), of("exact").alias("exact"), of("near").alias("near")), "hits")
+    pairs = lambda name: checked.select("doc", "hash", F.explode(name).alias("phrase"), F.lit(name).alias("kind"))
+    named = pairs("exact").unionByName(pairs("near")).join(small(windows.select("phrase", "item_id")), "phrase")
+    ids = lambda name: F.array_sort(F.collect_set(F.when(F.col("kind") == name, F.col("item_id").cast("string"))))
+    items = named.groupBy("doc", "hash").agg(ids("exact").alias("items"), ids("near").alias("near_items"))
+    hits = checked.select("doc", "hash", "n_hit").join(items, ["doc", "hash"])
+    n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("hash"), n_words.alias("n_words"))
+    out = rows.join(small(hits), ["doc", "hash"], "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"),
+        F.array_except(F.coalesce("near_items", none), F.coalesce("items", none)).alias("near_items"), F.col("doc").alias("_doc"), F.col("hash").alias("_row"),
+    )

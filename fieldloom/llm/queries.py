@@ -87,6 +87,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join("near_items", ",").cast("binary"), 256).alias("near_items_sha256"),
     )
 
 
@@ -99,9 +100,14 @@ ks as (select distinct k from iw),
 dw as (select id doc, i, k, array_to_string(w[i:i+k-1], ' ') g from (select id, w, k, unnest(range(1, len(w) - k + 2)) i from w, ks where kind = 'd' and len(w) >= k) q),
 hit as (select doc, i, dw.k, item from dw join iw on dw.k = iw.k and dw.g = iw.g),
 pos as (select doc, count(distinct p) n from (select doc, unnest(range(i, i + k)) p from hit) q group by doc),
-its as (select doc, count(distinct item) n, string_agg(distinct cast(item as varchar), ',' order by cast(item as varchar)) s from hit group by doc)
-select w.id doc_id, cast(len(w.w) as bigint) n_words, coalesce(pos.n, 0) n_hit, coalesce(its.n, 0) n_items, sha256(coalesce(its.s, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated
-from w left join pos on pos.doc = w.id left join its on its.doc = w.id where kind = 'd'
+its as (select doc, count(distinct item) n, string_agg(distinct cast(item as varchar), ',' order by cast(item as varchar)) s from hit group by doc),
+lw as (select id doc, i, k, j, array_to_string(list_concat(w[i:i+j-1], w[i+j+1:i+k]), ' ') g
+  from (select id, w, k, j, unnest(range(1, len(w) - k + 1)) i from (select id, w, k, unnest(range(1, k)) j from w, ks where kind = 'd' and len(w) > k)) q),
+loose as (select distinct doc, item from lw join iw on lw.k = iw.k and lw.g = iw.g),
+nits as (select doc, count(*) n, string_agg(cast(item as varchar), ',' order by cast(item as varchar)) s from (from loose except select doc, item from hit) q group by doc)
+select w.id doc_id, cast(len(w.w) as bigint) n_words, coalesce(pos.n, 0) n_hit, coalesce(its.n, 0) n_items, sha256(coalesce(its.s, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated,
+  coalesce(nits.n, 0) n_near_items, sha256(coalesce(nits.s, '')) near_items_sha256
+from w left join pos on pos.doc = w.id left join its on its.doc = w.id left join nits on nits.doc = w.id where kind = 'd'
 """
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,37 @@ def test_decontamination_edges(spark):
     assert contamination(docs(spark, rows), bench.where("item_id = 0")).where("n_hit > 0").count() == 0
     assert contamination(docs(spark, []), bench).count() == 0
     near = proximity_matches(docs(spark, [(1, "two and three four"), (2, "four two")]), bench.where("item_id = 10"), 1)
-    assert {(r.doc_id, r.item_id) for r in near.collect()} == {(1, 10)}
+    assert {tuple(r) for r in near.collect()} == {(1, 10, 0, 4)}
+
+
+@pytest.mark.parametrize("slop", [1, 3])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = random.Random(slop)
+    word = lambda: rng.choice("abcdefghijkl")
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 4, 5, 6])))) for i in range(8)]
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(30)]
+    for i, (k, t) in enumerate(items):
+        w = t.split()
+        for _ in range(rng.randint(0, slop)):
+            w.insert(rng.randint(1, len(w)), word())
+        rows.append((100 + i, f"{word()} {' '.join(w)} {word()}"))
+    rows.append((None, items[3][1].replace(" ", " z ", 1)))
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for k, phrase in items:
+            p = phrase.split()
+            for head in (h for h, x in enumerate(w) if x == p[0]):
+                at = head + 1
+                for x in p[1:]:
+                    at = w.index(x, at) + 1 if at is not None and x in w[at:] else None
+                    if at is None:
+                        break
+                if at is not None and len(p) < at - head <= len(p) + slop:
+                    want.add((i, k, head, at - head))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(None if r.doc_id == -(2**63) else r.doc_id, r.item_id, r.start, r.length) for r in proximity_matches(docs(spark, rows), bench, slop).collect()}
+    assert want and got == want
 
 
 def pii_base(text):
