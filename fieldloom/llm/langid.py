@@ -31,21 +31,24 @@ REJECT, MARGIN = 0.01, 0.05
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are neither ASCII letters nor part of other characters count as a space.
-FOLD = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122) | (np.arange(256) >= 128), np.arange(256), 32).astype(np.uint32)
+FOLD = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122) | (np.arange(256) >= 128), np.arange(256), 32).astype(np.uint8)
 MIX = np.uint32(2654435761)
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 20
 
 
 def counts(text: str) -> np.ndarray:
-    raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
-    folded = FOLD[raw]
+    """How often each bucket's n-grams occur; a long text is hashed in blocks."""
+    folded = FOLD[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
     space = folded == 32
     folded = folded[~(space & np.r_[False, space[:-1]])]
-    grams, code = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint32)
-    for size in range(1, 5):
-        if len(folded) < size:
-            break
-        code = folded.copy() if size == 1 else (code[: len(folded) - size + 1] * np.uint32(257) + folded[size - 1 :])
-        grams += np.bincount(((code + np.uint32(size)) * MIX) >> np.uint32(20), minlength=BUCKETS)
+    grams, n = np.zeros(BUCKETS, np.int64), len(folded)
+    for low in range(0, n, BLOCK):
+        code = np.zeros(0, np.uint32)
+        for size in range(1, min(4, n) + 1):
+            part = folded[low + size - 1 : min(low + BLOCK, n - size + 1) + size - 1].astype(np.uint32)
+            code = part if size == 1 else code[: len(part)] * np.uint32(257) + part
+            grams += np.bincount(((code + np.uint32(size)) * MIX) >> np.uint32(20), minlength=BUCKETS)
     return grams
 
 
@@ -103,7 +106,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     weight = (np.log((1 + rows) / (1 + df)) + 0.1).astype(np.float32)
     each = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    near = taught.withColumn("_draw", draw).join(small(each), "lang").where(F.col("_draw") * F.col("_n") < F.lit(2.0 * sample * (1 << 30)))
+    near = taught.withColumn("_draw", draw).join(small(each), "lang").where(F.col("_draw") / float(1 << 30) < F.lit(2.0 * sample) / F.col("_n"))
     order = Window.partitionBy("lang").orderBy("_draw", "doc_id")
     chosen = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "text")
     got = chosen.mapInArrow(_sampled(weight), "lang string, vector binary").collect()
