@@ -1,13 +1,14 @@
 """A quality classifier over random-indexing word vectors.
 
 Every word gives two tokens, its lower-cased letters and its shape (upper, lower, digit, other
-letters and marks, runs shortened), and a third where it repeats the word before. A token's index
+letters and marks, runs shortened), and a third where it repeats the word before. A word longer than
+PIECE characters (text without white space, encoded data) counts as its pieces of that length, all of them. A token's index
 vector is sparse, ternary and drawn from its hash; its word vector is the sum of the index vectors
 that stand near it, normalised. A document is the mean of its tokens' vectors, and a two-layer
 network in numpy, with a temperature fitted on rows set aside, gives the probability of label 1.
 
 The network and the word vectors are fitted on at most SAMPLE labelled rows of at most LONGEST
-characters; scoring covers every whole text, long ones too. Null and empty texts score the network's
+characters (of rows that repeat a doc_id, the least text); scoring covers every whole text, long ones too. Null and empty texts score the network's
 value of an empty mean; where both labels are not there to learn from, the score is the share of
 label 1 (or one half); repeated rows score alike; an empty table gives no rows.
 """
@@ -31,8 +32,8 @@ SIZE, MARKS, REACH = 64, 6, 3
 MOST_WORDS, LEAST_COUNT = 20_000, 3
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 24, 300, 0.01, 1e-3, 3
 THRESHOLD = 0.3
-#: Words whose tokens a worker remembers.
-REMEMBERED = 400_000
+#: Characters of the longest word that counts as one, and words whose tokens a worker remembers; so a bound in bytes, too.
+PIECE, REMEMBERED = 48, 400_000
 
 _CLASSES = [(re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_]+"), None)]
 _RUN = re.compile(r"(.)\1+", re.S)
@@ -44,15 +45,20 @@ def shape(word: str) -> str:
         w = m[0]
         return "X" if len(w) > 1 and w.isupper() else "Xx" if w[0].isupper() else "x"
 
-    return _RUN.sub(r"\1\1", _LETTERS.sub(kind, re.sub(r"[0-9]+", "9", word[:64])))[:12]
+    return _RUN.sub(r"\1\1", _LETTERS.sub(kind, re.sub(r"[0-9]+", "9", word)))
+
+
+def pieces(word: str) -> list[str]:
+    return [word] if len(word) <= PIECE else [word[low : low + PIECE] for low in range(0, len(word), PIECE)]
 
 
 def tokens(word: str) -> tuple[str, ...]:
+    """The tokens of a word of at most PIECE characters."""
     body, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
     if body.isalpha() and body.isascii():  # the same as below, for most words
         kind = "X" if len(body) > 1 and body.isupper() else "Xx" if body[0].isupper() else "x"
-        return body.lower()[:48], f"\x01{kind if len(word) <= 64 else shape(word)[:2]}{mark if len(word) <= 64 else ''}"
-    return ("".join(_LETTERS.findall(word)).lower()[:48], "\x01" + shape(word))
+        return body.lower(), f"\x01{kind}{mark}"
+    return "".join(_LETTERS.findall(word)).lower(), "\x01" + shape(word)
 
 
 AGAIN = "\x02"
@@ -61,7 +67,8 @@ AGAIN = "\x02"
 def _stream(text: str) -> list[str]:
     out, last = [], None
     for word in text.split():
-        out += tokens(word)
+        for piece in pieces(word):
+            out += tokens(piece)
         if word == last:
             out.append(AGAIN)
         last = word
@@ -152,11 +159,13 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_seen": {}}
 
-    def _learn(self, words: set[str]) -> None:
+    def _rows(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The rows of words not met before; long ones are not remembered."""
         if len(self._seen) > REMEMBERED:
             self._seen = {}
-        for w in words:
-            self._seen[w] = tuple(self.row[t] for t in tokens(w) if t in self.row)
+        new = {w: tuple(self.row[t] for p in pieces(w) for t in tokens(p) if t in self.row) for w in words}
+        self._seen.update((w, r) for w, r in new.items() if len(w) <= PIECE)
+        return new
 
     def document(self, text: str) -> np.ndarray:
         """The mean of the vectors of the text's tokens."""
@@ -165,10 +174,11 @@ class Model:
             part = words[low : low + (1 << 14)]
             rows = list(map(self._seen.get, part))
             if None in rows:
-                self._learn({w for w, r in zip(part, rows) if r is None} | set(part) if len(self._seen) > REMEMBERED else {w for w, r in zip(part, rows) if r is None})
-                rows = [self._seen[w] for w in part]
+                new = self._rows({w for w, r in zip(part, rows) if r is None})
+                rows = [new[w] if r is None else r for w, r in zip(part, rows)]
             ids = np.fromiter(chain.from_iterable(rows), np.int64)
-            total += self.vectors[ids].sum(axis=0)
+            for k in range(0, len(ids), 1 << 16):
+                total += self.vectors[ids[k : k + (1 << 16)]].sum(axis=0)
             n += len(ids)
         if AGAIN in self.row and (again := sum(map(str.__eq__, words, words[1:]))):
             total, n = total + again * self.vectors[self.row[AGAIN]], n + again
@@ -190,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = marked.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("_y"))
     ids = ids.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
     texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", F.col("text").cast("string").alias("_t"))
-    rows = sorted(texts.join(F.broadcast(ids), "doc_id").limit(2 * sample).collect())
+    rows = sorted(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y")).collect())
     share = float(np.mean([r._y for r in rows])) if rows else 0.5
     streams = [_stream(r._t) for r in rows]
     row, vectors = word_vectors(streams)
