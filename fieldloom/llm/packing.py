@@ -35,8 +35,8 @@ SENTENCE_CUT, OTHER_CUT, NEW_WINDOW = 2.0, 12.0, 0.5
 CUT_EVERY = 256
 STRETCH = 1 << 19
 SHORT = tuple(1 << k for k in range(5, 11))
-#: Pieces of text whose ids a worker remembers.
-KNOWN = 600_000
+#: Pieces of text whose ids a worker remembers, and the bytes of the longest; so a bound in bytes, too.
+KNOWN, KNOWN_BYTES = 600_000, 64
 #: Marks that may follow a word; the apostrophe is not among them, as it opens contractions.
 MARKS = b".,!?;:&$%*#|()-\""
 END = np.array([END_ID], "<u4").tobytes()
@@ -88,7 +88,8 @@ class Encoder:
         for (w, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
 
-    def _learn(self, missing: list[bytes]) -> None:
+    def _learn(self, missing: list[bytes]) -> list[bytes]:
+        """Learns words; gives those too long to be remembered after this once."""
         if len(self.known) > KNOWN:
             self.known, self.before = {}, self.known
         known, before, tailed = self.known, self.before, []
@@ -109,6 +110,7 @@ class Encoder:
         self._encode(plain)
         for w, core, tail in tailed:
             known[w] = known[core] + known[tail]
+        return [w for w in chain(missing, plain) if len(w) > KNOWN_BYTES]
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """Of UTF-8 texts the ids, each with the end id."""
@@ -118,9 +120,11 @@ class Encoder:
         here = dict.fromkeys(chain.from_iterable(words))
         found = list(map(self.known.get, here))
         if None in found:
-            self._learn([w for w, f in zip(here, found) if f is None])
+            long = self._learn([w for w, f in zip(here, found) if f is None])
             known = self.known
             found = [known[w] if f is None else f for w, f in zip(here, found)]
+            for w in long:
+                known.pop(w, None)
         here = dict(zip(here, found))
         return [b"".join(map(here.__getitem__, w)) + END for w in words]
 

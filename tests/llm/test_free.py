@@ -62,6 +62,67 @@ def test_quality(spark):
     assert {r.predicted for r in alone} == {1}
 
 
+def slow_counts(text):
+    raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {text.lower()} ".encode()]
+    raw = [b for k, b in enumerate(raw) if b != 32 or k == 0 or raw[k - 1] != 32]
+    out = [0] * langid.BUCKETS
+    for size in range(1, 5):
+        for k in range(len(raw) - size + 1):
+            code = 0
+            for b in raw[k : k + size]:
+                code = (code * 257 + b) % 2**32
+            out[((code + size) * 2654435761 % 2**32) >> 20] += 1
+    return np.array(out)
+
+
+def test_grams_equal_plain_python_in_any_blocks(monkeypatch):
+    rng = random.Random(7)
+    texts = ["", "a", " 12 ", "Éa 日", *["".join(rng.choice("ab éß1 .日") for _ in range(rng.randint(1, 120))) for _ in range(40)]]
+    for block in (1, 2, 7, 1 << 20):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert all((langid.counts(t) == slow_counts(t)).all() for t in texts)
+
+
+def test_language_equals_plain_cosine(spark):
+    rng = random.Random(9)
+    rows = [(i, speak(rng, ["sea", "sky", "haus", "über", "niño"][k : k + 3], rng.randint(1, 30)), f"l{k}") for i, k in enumerate(rng.choice([0, 1, 2]) for _ in range(90))] + EDGES
+    model = langid.fit(docs(spark, rows))
+    for r in langid.identify(docs(spark, [x for x in rows if x[0] != 5 or len(x) > 2]), model).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id) or ""
+        own = np.log1p(slow_counts(text[:3000] if len(text) > 9999 else text)) * model["weight"]
+        if len(text) > 9999 or r.lang_pred == "und":
+            continue
+        near = [float(own @ c) / float(np.linalg.norm(own)) for c in model["centres"]]
+        assert model["langs"][model["of"][int(np.argmax(near))]] == r.lang_pred and r.score == pytest.approx(max(near), abs=1e-5)
+
+
+def test_quality_equals_a_plain_scorer(spark):
+    rng = random.Random(6)
+    rows = [(i, speak(rng, ["Sea", "sky,", "$$", "x" * 70, "WORD"] if i % 2 else ["one", "two", "Three."], rng.randint(1, 40))) for i in range(200)] + EDGES
+    told = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs(spark, rows), told)
+    net, rng = model.network, random.Random(1)
+    for r in rng.sample(quality_classifier.classify(docs(spark, [x for k, x in enumerate(rows) if x[0] != 5 or k == 5]), told, model).collect(), 60):
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        vectors = [model.vectors[model.row[t]] for t in quality_classifier._stream(text) if t in model.row]
+        x = np.mean(vectors, axis=0) if vectors else np.zeros(quality_classifier.SIZE)
+        hidden = [np.tanh(sum((x[i] - net.middle[i]) / net.spread[i] * net.w[0][i, j] for i in range(len(x))) + net.w[1][j]) for j in range(len(net.w[1]))]
+        logit = sum(h * w for h, w in zip(hidden, net.w[2])) + net.w[3][0]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=1e-4)
+
+
+def test_every_piece_of_a_long_word_counts():
+    one, two = (quality_classifier._stream("a" * 48 + x) for x in ("zzzz", "qqqq"))
+    assert one != two and len(quality_classifier._stream("日" * 1000)) == 2 * -(-1000 // quality_classifier.PIECE)
+
+
+def test_long_words_are_not_remembered():
+    encoder = packing.Encoder(tokenizer_file())
+    first = encoder.ids([b"short " + b"x" * 5000 + b" " + b"y" * 90 + b"., end"])
+    assert all(len(w) <= packing.KNOWN_BYTES for w in encoder.known) and b"short" in encoder.known
+    assert encoder.ids([b"short " + b"x" * 5000 + b" " + b"y" * 90 + b"., end"]) == first
+
+
 def test_plan_is_optimal():
     rng = random.Random(4)
     for _ in range(30):
