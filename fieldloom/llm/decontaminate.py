@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import ascii_lower, covered, let, small, stored
 
-#: What separates words, once A-Z is lower-cased, and a word before that.
+#: What separates words, once A-Z is lower-cased, and before that.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]++"
+NOT_WORD_YET = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Words of a phrase, and words that may stand between those of a proximity match.
 PHRASE_WORDS, SLOP = 10, 1
 
@@ -149,7 +149,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = PHRASE
     ids = lambda name: F.array_sort(F.collect_set(F.when(F.col("kind") == name, F.col("item_id").cast("string"))))
     items = named.groupBy("doc", "hash").agg(ids("exact").alias("items"), ids("near").alias("near_items"))
     hits = checked.select("doc", "hash", "n_hit").join(items, ["doc", "hash"])
-    n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    # only the first and the last piece can be empty
+    pieces = lambda p: F.size(p) - (F.get(p, 0) == "").cast("int") - ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")
+    n_words = let(F.split("text", NOT_WORD_YET, -1), pieces).cast("long")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("hash"), n_words.alias("n_words"))
     out = rows.join(small(hits), ["doc", "hash"], "left")
