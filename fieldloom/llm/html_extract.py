@@ -1,12 +1,22 @@
 """Main text of web pages by template deduction over pages of one host.
 
 A page becomes a sequence of tokens: tags, told apart by the containers they stand in, and stretches
-of text. Over a group's differing pages, less those without tokens, the tokens that occur once and in
-one order on more than half of the pages, and on TEMPLATE_PAGES at least, form the template's class,
-so an odd page (null, cut off, an error) costs no other page its template. Text that is itself
-template falls away. The main slots are those inside the
-article or main container, or else the ones that hold the most text outside menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments, and their text comes out by blocks.
+of text. Over a group's differing pages, less those without tokens, each token has an occurrence
+vector. Tokens that occur equally often on most pages are told apart by their number on the page;
+those that then stand in one order on more than half of the pages (two at least) are the outer
+class. Other tokens with one and the same vector are a class if they follow one another in a fixed
+turn and each turn lies inside one gap of the outer class; such classes nest in the template. An odd page
+(null, cut off, an error) costs no other page its template.
+
+What stands between template tokens are the slots. Over all pages of the group a slot has so much
+text, in links or not; a region (a container that the template opens) has what its slots have. The
+main region is the innermost one with REGION_SHARE of all; its slots less the ones that are mostly
+links (and, where the region is the whole page or a table, the ones that are nothing beside the
+largest) are the main text, and text that is itself template falls away. Names of
+elements, roles and classes weigh a slot (main or apart), and what they set apart inside a main slot
+goes. A region marked as article or main keeps all its slots but those set apart, and a text there is
+template only if TEMPLATE_PAGES pages share it. Where nothing can be compared (one page, or a page that lacks the region)
+names alone decide.
 
 A group is at most about GROUP pages of a host, dealt by a hash: a host with a third of all pages
 becomes many groups, each with a template of its own, and no task holds more than a group at once.
@@ -19,7 +29,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,14 +39,21 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import small
 
 GROUP = 64
-#: Differing pages that must share a text at the same place before it counts as template.
+#: Differing pages that must share a text inside a marked article before it counts as template.
 TEMPLATE_PAGES = 8
+#: Times a token may stand on each page to be told apart by its number there.
+NUMBERED = 64
+#: The share of the group's text that the main region holds; of a slot's text in links that makes it a menu; of the largest slot's text that a slot needs in a region that is a whole page or table.
+REGION_SHARE, LINK_SHARE, LEAST_SHARE = 0.6, 0.6, 0.05
+#: How names weigh a slot's text.
+WEIGH_MAIN, WEIGH_APART = 4.0, 0.125
 
 # Element names of the HTML standard, by what they mean for extraction.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "xmp", "noembed", "noframes")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINER = {"html", "head", "body", "nav", "header", "footer", "aside", "article", "main", "section", "div", "form", "figure", "ul", "ol", "dl", "table", "blockquote", "dialog", "menu", "details", "button", "fieldset"}
 BLOCK = CONTAINER | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "tr", "td", "th", "caption", "figcaption", "address", "hr", "summary", "legend", "thead", "tbody", "tfoot", "center", "option", "search", "hgroup"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 APART = {"head", "nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMED = re.compile(
@@ -45,6 +62,9 @@ NAMED = re.compile(
     re.I,
 )
 
+#: Classes of a layout that only say what it has beside it.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:with|has|no|is|show|hide)[-_]\S*|\S*[-_](?:enabled|disabled|on|off))(?=\s|$)", re.I)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(?P<cut>/?[a-zA-Z][^>]*)\Z",
@@ -56,53 +76,83 @@ SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """Tokens of one page: (kind, key, text, apart, main); kind t is text, b a block border, o a tag inside a block."""
+    """Tokens of one page: (kind, key, text, box, link, heading); kind t is text, b a block border, o a tag inside a block.
+
+    A box is a container: apart and main tell by names whether its text is set apart or main, opens is its opening token.
+    """
 
     def __init__(self, source: str | None):
-        self.tokens: list[tuple[str, str, str, bool, bool]] = []
-        stack: list[tuple[str, bool, bool]] = []
-        path, apart, main, at = "", False, False, 0
+        self.tokens: list[tuple[str, str, str, int, bool, bool]] = []
+        self.parent, self.nature, self.named, self.inner, self.opens = [-1], [False], [False], [False], [-1]
+        stack: list[tuple[str, int]] = []
+        path, box, at, link, heading = "", 0, 0, 0, False
         source = source or ""
         for m in TOKEN.finditer(source):
             if m.start() > at:
-                self._text(source[at : m.start()], path, apart, main)
+                self._text(source[at : m.start()], path, box, link > 0, heading)
             at = m.end()
             name = (m["name"] or "").lower()
             if not name:
                 continue
             if name not in CONTAINER:
-                self.tokens.append(("b" if name in BLOCK else "o", f"{path}<{m['end']}{name}", "", apart, main))
+                if name == "a":
+                    link = 0 if m["end"] else 1
+                elif name in HEADINGS:
+                    heading = not m["end"]
+                self.tokens.append(("b" if name in BLOCK else "o", f"{path}<{m['end']}{name}", "", box, False, False))
                 if name == "br":
-                    self.tokens.append(("t", "", " ", apart, main))
+                    self.tokens.append(("t", "", " ", box, False, False))
                 continue
+            link, heading = 0, False
             if m["end"]:
                 if any(s[0] == name for s in stack):
                     while stack and stack[-1][0] != name:
                         stack.pop()
-                    self.tokens.append(("b", f"{path}</{name}", "", apart, main))
+                    self.tokens.append(("b", f"{path}</{name}", "", box, False, False))
                     stack.pop()
             else:
-                told = {a.lower(): q or s or u for a, q, s, u in ATTRIBUTE.findall(m["rest"])} if m["rest"] else {}
-                label = f"{told.get('class', '')} {told.get('id', '')}".strip()
-                top = name in ("html", "body")
-                off = name in APART and not (name == "header" and main) or not top and bool(NAMED.search(label)) and name not in ("article", "main") or told.get("role", "").lower() in ROLES
-                off = off or bool(m["rest"]) and (re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", m["rest"]) is not None or HIDDEN.search(told.get("style", "")) is not None)
-                inner = name in ("article", "main") or told.get("role", "").lower() in ("main", "article")
-                self.tokens.append(("b", f"{path}<{name} {label}", "", apart, main))
-                if not m["rest"].endswith("/") or name not in VOID:
-                    stack.append((name, apart or off, main or inner))
+                self._open(name, m["rest"], path, box, stack)
             path = "/".join(s[0] for s in stack[-6:]) + "/"
-            apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            box = stack[-1][1] if stack else 0
         if at < len(source):
-            self._text(source[at:], path, apart, main)
+            self._text(source[at:], path, box, link > 0, heading)
+        self._judge()
 
-    def _text(self, raw: str, path: str, apart: bool, main: bool) -> None:
-        text = html.unescape(raw) if "&" in raw else raw
-        self.tokens.append(("t", f"{path}#{SPACE.sub(' ', text).strip()}", text, apart, main))
+    def _open(self, name: str, rest: str, path: str, box: int, stack: list[tuple[str, int]]) -> None:
+        told = {a.lower(): q or s or u for a, q, s, u in ATTRIBUTE.findall(rest)} if rest else {}
+        label = f"{told.get('class', '')} {told.get('id', '')}".strip()
+        role = told.get("role", "").lower()
+        within = any(self.inner[s[1]] for s in stack)
+        nature = name in APART and not (name == "header" and within) or role in ROLES
+        nature = nature or bool(rest) and (re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest) is not None or HIDDEN.search(told.get("style", "")) is not None)
+        named = bool(label) and name not in ("html", "body", "article", "main") and NAMED.search(MODIFIER.sub("", label)) is not None
+        self.tokens.append(("b", f"{path}<{name} {label}", "", box, False, False))
+        if not rest.endswith("/") or name not in VOID:
+            self.parent.append(box)
+            self.nature.append(nature)
+            self.named.append(named)
+            self.inner.append(name in ("article", "main") or role in ("main", "article"))
+            self.opens.append(len(self.tokens) - 1)
+            stack.append((name, len(self.parent) - 1))
 
+    def _text(self, raw: str, path: str, box: int, link: bool, heading: bool) -> None:
+        text = html.unescape(raw) if "&" in raw else raw
+        self.tokens.append(("t", f"{path}#{SPACE.sub(' ', text).strip()}", text, box, link, heading))
 
-def _content(page: Page, only_main: bool) -> bool:
-    return any(k == "t" and (m or not only_main) and not a and t.strip() for k, _, t, a, m in page.tokens)
+    def _judge(self) -> None:
+        """A box named like something apart is none if it holds all articles of the page: the name is its layout's."""
+        n = len(self.parent)
+        articles, held = [b for b in range(n) if self.inner[b]], Counter()
+        for b in articles:
+            while b > 0:
+                held[b] += 1
+                b = self.parent[b]
+        self.apart, self.main = [False] * n, [False] * n
+        for b in range(1, n):
+            up = self.parent[b]
+            named = self.named[b] and not (articles and held[b] == len(articles))
+            self.apart[b] = self.apart[up] or self.nature[b] or named
+            self.main[b] = self.main[up] or self.inner[b]
 
 
 def _in_order(ranks: list[int]) -> set[int]:
@@ -121,55 +171,227 @@ def _in_order(ranks: list[int]) -> set[int]:
     return found
 
 
-def template(pages: list[Page]) -> set[str]:
-    """The tokens that stand once and in one order on most of the pages that differ; pages without tokens don't count."""
+class Template:
+    """What a group's pages share: outer tokens by (key, number on the page), and nested classes of tokens that repeat."""
+
+    def __init__(self) -> None:
+        self.often: dict[str, int] = {}
+        self.outer: dict[tuple[str, int], int] = {}
+        self.nested: dict[str, int] = {}
+        self.region = -1
+        self.marked = False
+        self.slots: set[tuple[int, str]] = set()
+        self.support: Counter = Counter()
+
+    def places(self, page: Page) -> list[int]:
+        """For each token of the page its number among the outer ones, or -1."""
+        many, met, out = Counter(t[1] for t in page.tokens), Counter(), []
+        for t in page.tokens:
+            key = t[1]
+            if key and self.often.get(key) == many[key]:
+                out.append(self.outer.get((key, met[key]), -1))
+                met[key] += 1
+            else:
+                out.append(-1)
+        return out
+
+
+def _differing(pages: list[Page]) -> list[Page]:
     distinct: dict[tuple, Page] = {}
     for page in pages:
         if page.tokens:
-            distinct.setdefault(tuple(t[1] for t in page.tokens if t[0] == "t" and t[4]) or tuple(t[1] for t in page.tokens if t[0] == "t"), page)
-    if len(distinct) < TEMPLATE_PAGES:
-        return set()
-    need = max(TEMPLATE_PAGES, len(distinct) // 2 + 1)
-    places: list[dict[str, int]] = []
-    for page in distinct.values():
-        many = Counter(t[1] for t in page.tokens if t[1])
-        places.append({t[1]: at for at, t in enumerate(page.tokens) if many[t[1]] == 1})
-    support = Counter(k for own in places for k in own)
-    keys = {k for k, n in support.items() if n >= need}
-    seen = sorted((sorted(keys & own.keys(), key=own.get) for own in places), key=len, reverse=True)
-    order = list(seen[0])
-    known = set(order)
-    for own in seen[1:]:  # a token that the fullest page lacks comes after the one that it follows elsewhere
+            distinct.setdefault(tuple(t[1] for t in page.tokens if t[0] == "t"), page)
+    return list(distinct.values())
+
+
+def _outer(found: Template, pages: list[Page], many: list[Counter], need: int) -> None:
+    """The tokens that stand equally often and in one order on most pages."""
+    vectors: dict[str, Counter] = defaultdict(Counter)
+    for own in many:
+        for key, n in own.items():
+            vectors[key][n] += 1
+    for key, counts in vectors.items():
+        n, pages_with = counts.most_common(1)[0]
+        if key and n <= NUMBERED and pages_with >= need:
+            found.often[key] = n
+    seen = []
+    for page, own in zip(pages, many):
+        met, order = Counter(), []
+        for t in page.tokens:
+            key = t[1]
+            if key and found.often.get(key) == own[key]:
+                order.append((key, met[key]))
+                met[key] += 1
+        seen.append(order)
+    by_size = sorted(seen, key=len, reverse=True)
+    order, known = list(by_size[0]), set(by_size[0])
+    for own in by_size[1:]:  # a token that the fullest page lacks comes after the one that it follows elsewhere
         for k, key in enumerate(own):
             if key not in known:
                 order.insert(order.index(own[k - 1]) + 1 if k else 0, key)
                 known.add(key)
     rank = {k: i for i, k in enumerate(order)}
     steady = Counter(own[i] for own in seen for i in _in_order([rank[k] for k in own]))
-    found = {k for k, n in steady.items() if n >= need}
-    return found if len(found) > 1 else set()
+    found.outer = {k: rank[k] for k, n in steady.items() if n >= need}
+    found.support = Counter({rank[k]: n for k, n in steady.items()})
+    found.often = {k: n for k, n in found.often.items() if any((k, i) in found.outer for i in range(n))}
 
 
-def main_text(page: Page, fixed: set[str]) -> str:
-    """The text of the page's main slots, by blocks."""
-    only_main = _content(page, True)
-    runs: list[tuple[bool, list[str]]] = []
+def _nested(found: Template, pages: list[Page], many: list[Counter], marks: list[list[int]], need: int) -> None:
+    """Classes of tags with one vector whose turns each lie in one gap of the outer class."""
+    vectors: dict[str, list[int]] = {}
+    for k, (page, own) in enumerate(zip(pages, many)):
+        for key in {t[1] for t in page.tokens if t[0] != "t"}:
+            if key not in found.often:
+                vectors.setdefault(key, [0] * len(pages))[k] = own[key]
+    classes: dict[tuple, list[str]] = defaultdict(list)
+    for key, vector in vectors.items():
+        if sum(v > 0 for v in vector) >= need:
+            classes[tuple(vector)].append(key)
+    gaps = []
+    for own in marks:
+        gap, out = -1, []
+        for m in own:
+            gap = m if m >= 0 else gap
+            out.append(gap)
+        gaps.append(out)
+    for keys in classes.values():
+        members, turn = set(keys), None
+        for page, gap in zip(pages, gaps):
+            at = [i for i, t in enumerate(page.tokens) if t[1] in members]
+            names = [page.tokens[i][1] for i in at]
+            turn = turn or names[: len(keys)] or None
+            if turn and (names != turn * (len(at) // len(keys)) or any(gap[at[i]] != gap[at[i + len(keys) - 1]] for i in range(0, len(at), len(keys)))):
+                break
+        else:
+            found.nested |= {k: len(keys) for k in keys}
+
+
+def template(pages: list[Page]) -> Template | None:
+    """What the pages that differ share, its main region and main slots; None where there is nothing to compare."""
+    distinct = _differing(pages)
+    if len(distinct) < 2:
+        return None
+    found, need = Template(), max(2, len(distinct) // 2 + 1)
+    many = [Counter(t[1] for t in p.tokens) for p in distinct]
+    _outer(found, distinct, many, need)
+    if len(found.outer) < 2:
+        return None
+    marks = [found.places(p) for p in distinct]
+    _nested(found, distinct, many, marks, need)
+    _choose(found, distinct, marks)
+    return found if found.region >= 0 else None
+
+
+def _slots(found: Template, page: Page, marks: list[int]) -> Iterator[tuple[int, tuple[int, str], tuple[int, ...]]]:
+    """(token, slot, regions from the outermost) of the page's texts that are not template."""
+    chains: dict[int, tuple[int, ...]] = {0: ()}
+    last, turn = -1, ""
+    for i, (kind, key, _, box, _, _) in enumerate(page.tokens):
+        if marks[i] >= 0:
+            last, turn = marks[i], ""
+            if kind != "t":
+                continue
+        elif key in found.nested:
+            turn = key
+        if kind == "t":
+            todo = []
+            b = box
+            while b not in chains:
+                todo.append(b)
+                b = page.parent[b]
+            for b in reversed(todo):
+                own = marks[page.opens[b]]
+                chains[b] = (*chains[page.parent[b]], own) if own >= 0 else chains[page.parent[b]]
+            yield i, (last, turn), chains[box]
+
+
+def _choose(found: Template, pages: list[Page], marks: list[list[int]]) -> None:
+    """Sets the main region and slots by what they hold over all pages."""
+    held: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])  # text, in links, headings, main, apart
+    for page, own in zip(pages, marks):
+        for i, slot, chain in _slots(found, page, own):
+            _, _, text, box, link, heading = page.tokens[i]
+            n = len(text.strip())
+            if n and own[i] < 0 and chain:
+                h = held[slot, chain]
+                for k, is_so in enumerate((True, link, heading, page.main[box], page.apart[box])):
+                    h[k] += n * is_so
+    score = {}
+    for key, (text, links, _, main, apart) in held.items():
+        weight = WEIGH_APART if 2 * apart > text else WEIGH_MAIN if 2 * main > text else 1.0
+        score[key] = max(0.0, text - 2 * links if weight == 1.0 else text) * weight
+    whole, sums, depth, marked = sum(score.values()), Counter(), {}, Counter()
+    if not whole:
+        return
+    for (slot, chain), s in score.items():
+        for k, region in enumerate(chain):
+            sums[region] += s
+            depth[region] = max(k, depth.get(region, 0))
+            marked[region] += s * (2 * held[slot, chain][3] > held[slot, chain][0])
+    fit = [r for r, s in sums.items() if s >= REGION_SHARE * whole]
+    if not fit:
+        return
+    found.region = max(fit, key=lambda r: (depth[r], sums[r]))
+    found.marked = 2 * marked[found.region] > sums[found.region]
+    inside = {k: h for k, h in held.items() if found.region in k[1]}
+    opened = next(key for (key, _), r in found.outer.items() if r == found.region)
+    flat = opened.rpartition("<")[2].split(" ")[0] in ("html", "body", "table")
+    most = max(h[0] for k, h in inside.items() if score[k] > 0) if flat else 0
+    for (slot, chain), (text, links, headings, main, apart) in inside.items():
+        if 2 * apart > text:
+            continue
+        if found.marked or main or links <= LINK_SHARE * text and (text >= LEAST_SHARE * most or 2 * headings > text):
+            found.slots.add(slot)
+
+
+def _blocks(tokens: list, wanted: set[int]) -> str:
+    out: list[str] = []
     block: list[str] = []
-    for kind, key, text, apart, main in [*page.tokens, ("b", "", "", False, True)]:
-        if kind == "b":
-            joined = SPACE.sub(" ", "".join(block)).strip()
-            if joined:
-                runs.append((True, [joined]))
+    for i, t in enumerate(tokens):
+        if t[0] == "b":
+            out.append("".join(block))
             block = []
-        elif kind == "t" and not apart and (main or not only_main) and not (key in fixed and text.strip()):
-            block.append(text)
-    return "\n\n".join(b for _, bs in runs for b in bs)
+        elif i in wanted:
+            block.append(t[2])
+    out.append("".join(block))
+    return "\n\n".join(b for b in (SPACE.sub(" ", b).strip() for b in out) if b)
+
+
+def by_names(page: Page) -> str:
+    """The text of the marked article, or else all that no name sets apart."""
+    texts = [i for i, t in enumerate(page.tokens) if t[0] == "t" and not page.apart[t[3]]]
+    if any(page.main[page.tokens[i][3]] and page.tokens[i][2].strip() for i in texts):
+        texts = [i for i in texts if page.main[page.tokens[i][3]]]
+    return _blocks(page.tokens, set(texts))
+
+
+def main_text(page: Page, found: Template | None) -> str:
+    """The text of the page's main slots, by blocks."""
+    if found is None:
+        return by_names(page)
+    marks = found.places(page)
+    wanted, present = set(), False
+    for i, slot, chain in _slots(found, page, marks):
+        if found.region not in chain:
+            continue
+        box, text = page.tokens[i][3], page.tokens[i][2]
+        if page.apart[box]:
+            continue
+        if text.strip():
+            present = True
+            if marks[i] >= 0 and (not page.main[box] or found.support[marks[i]] >= TEMPLATE_PAGES):
+                continue
+            if marks[i] < 0 and slot not in found.slots:
+                continue
+        wanted.add(i)
+    return _blocks(page.tokens, wanted) if present else by_names(page)
 
 
 def extract_group(sources: list[str | None]) -> list[str]:
     pages = [Page(s) for s in sources]
-    fixed = template(pages)
-    return [main_text(p, fixed) for p in pages]
+    found = template(pages)
+    return [main_text(p, found) for p in pages]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
