@@ -30,20 +30,27 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Generators of further candidates, in the order in which their kinds are listed.
+#: Generators of further candidates, in the order in which their kinds are listed. Runs are open, so no value is cut short.
 GENERATORS = {
     "access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}+",
     "credential": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.!@#$%-]{6,}+",
     "national_phone": r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}",
     "social_number": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "bank_account": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?",
-    "spelled_email": r"(?i)[A-Za-z0-9._%+-]{1,64}+\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,64}\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z]{2,10}",
+    "spelled_email": r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]++\s?(?:\.|[\[(]\s?dot\s?[\])])|\x20at\x20[A-Za-z0-9-]++\x20dot\x20)\s?[A-Za-z]{2,10}",
+    "service_token": r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)[A-Za-z0-9_-]{16,}+",
+    "web_token": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?",
+    "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----)?",
+    "ipv6": r"(?:\G|(?<![0-9A-Za-z:.]))(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})",
+    "trunk_phone": r"(?:\G|(?<![0-9A-Za-z]))\(?0[0-9]{1,4}\)?[\x20/-][0-9]{2,8}(?:[\x20-][0-9]{2,6}){0,4}",
 }
 KINDS = (*BASE, *GENERATORS)
 CONTEXT = {
     "phone": "(?i)phone|tel|call|fax|mobile", "id": "(?i)ssn|social|passport|taxpayer", "bank": "(?i)iban|account|bank|transfer",
     "secret": "(?i)password|passwd|secret|token|key|login", "mail": "(?i)mail|contact|write", "count": "(?i)version|order|item|total|page|row|score",
 }
+#: How addresses end.
+DOMAIN_END = "(?i)(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu)$"
 #: Synthetic examples per generator, and what they teach.
 EXAMPLES, SEED, ROUNDS, DEPTH, RATE, PRECISION = 160, 11, 16, 3, 0.4, 0.95
 LEFT_CHARS = 24
@@ -122,14 +129,18 @@ def features(text: Column, generator: Column, span: Column) -> Column:
     return F.array(
         generator.cast("double"), F.length(value).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[\\x20().-]"),
         truth(before.rlike("[A-Za-z0-9]")), truth(after.rlike("[A-Za-z0-9]")), F.regexp_count(tail, F.lit("[0-9]")).cast("double"),
-        truth(value.rlike("^(?:000|666|9)")), truth(before.isin("#", "$", "-", ".", "/")), *near,
+        truth(value.rlike("^(?:000|666|9)")), truth(before.isin("#", "$", "-", ".", "/")), truth(value.rlike(DOMAIN_END)), *near,
     )
 
 
 def candidates(text: Column) -> Column:
     """All generators' spans with generator number and features."""
     digit = text.rlike("[0-9]")
-    hints = {"access_key": text.rlike("A[KS]IA"), "credential": text.rlike("[=:]"), "spelled_email": text.rlike("(?i)[\\[(]\\s?at\\s?[\\])]")}
+    hints = {
+        "access_key": text.rlike("A[KS]IA"), "credential": text.rlike("[=:]"), "spelled_email": text.rlike("(?i)[\\[(]\\s?at\\s?[\\])]| dot [a-z]"),
+        "service_token": text.rlike("gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_|sk-|AIza"), "web_token": F.contains(text, F.lit("eyJ")),
+        "private_key": F.contains(text, F.lit("PRIVATE KEY-----")), "ipv6": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]"), "trunk_phone": text.rlike("0[0-9]{1,4}[)]?[ /-][0-9]"),
+    }
     each = []
     for k, (name, pattern) in enumerate(GENERATORS.items()):
         found = matches(text, pattern, hints.get(name, digit))
@@ -146,6 +157,7 @@ def _examples(seed: int, per_kind: int) -> list[dict]:
     word = lambda: pick(string.ascii_lowercase, rng.randint(2, 9))
     named = lambda xs: rng.choice([*xs, "", "", ""])
     code = string.ascii_uppercase + string.digits
+    hexed = lambda: pick("0123456789abcdef", rng.randint(1, 4))
     secret = lambda: pick("0123456789abcdef", rng.randint(8, 40)) if rng.random() < 0.7 else pick(string.ascii_letters + string.digits + "-_.", rng.randint(60, 900))
     good = {
         "access_key": lambda: (named(["key ", "access key: "]), rng.choice(["AKIA", "ASIA"]) + pick(code, 16)),
@@ -153,7 +165,12 @@ def _examples(seed: int, per_kind: int) -> list[dict]:
         "national_phone": lambda: (named(["phone ", "call ", "tel. ", "fax "]), rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {}-{}"]).format(rng.choice("23456789") + num(2), rng.choice("23456789") + num(2), num(4))),
         "social_number": lambda: (named(["ssn ", "social security "]), f"{rng.randint(101, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
         "bank_account": lambda: (named(["iban ", "account "]), rng.choice(["DE", "FR", "ES", "GB"]) + num(2) + "".join(rng.choice([" ", ""]) + num(4) for _ in range(rng.randint(4, 6)))),
-        "spelled_email": lambda: (named(["mail ", "write "]), f"{word()}{rng.choice([' ', ''])}{rng.choice(['[at]', '(at)', '( at )'])}{rng.choice([' ', ''])}{word()}{rng.choice(['.', ' [dot] ', '(dot)'])}{rng.choice(['com', 'org', 'net'])}"),
+        "spelled_email": lambda: (named(["mail ", "write "]), rng.choice([f"{word()}{rng.choice([' ', ''])}{rng.choice(['[at]', '(at)', '( at )'])}{rng.choice([' ', ''])}{word()}{rng.choice(['.', ' [dot] ', '(dot)'])}", f"{word()} at {word()} dot "]) + rng.choice(["com", "org", "net"])),
+        "service_token": lambda: (named(["Bearer ", "token ", "key "]), rng.choice(["ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "sk_live_", "sk-", "AIza"]) + pick(string.ascii_letters + string.digits, rng.randint(20, 90))),
+        "web_token": lambda: (named(["Bearer ", "Authorization: Bearer ", "session="]), "eyJ" + pick(string.ascii_letters + string.digits + "_-", rng.randint(12, 60)) + ".eyJ" + pick(string.ascii_letters + string.digits + "_-", rng.randint(20, 300)) + rng.choice(["", "." + pick(string.ascii_letters + string.digits + "_-", rng.randint(20, 90))])),
+        "private_key": lambda: ("", f"-----BEGIN {(kind := rng.choice(['RSA ', 'EC ', 'OPENSSH ', '']))}PRIVATE KEY-----" + rng.choice(["", f" {pick(string.ascii_letters + string.digits + '+/', rng.randint(60, 400))} -----END {kind}PRIVATE KEY-----"])),
+        "ipv6": lambda: (named(["host ", "address ", "from "]), rng.choice([":".join(hexed() for _ in range(8)), "2001:db8:" + ":".join(hexed() for _ in range(rng.randint(0, 2))) + "::" + hexed(), f"fe80::{hexed()}:{hexed()}:{hexed()}"]).replace(":::", "::")),
+        "trunk_phone": lambda: (rng.choice(["phone ", "call ", "tel. ", "fax ", "mobile "]), rng.choice([f"0{num(2)} {num(7)}", f"0{rng.choice('1234567')} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(6)}", f"(0{num(3)}) {num(6)}"])),
     }
     bad = {
         "access_key": lambda: (pick(code, 3), "AKIA" + pick(code, 16)),
@@ -161,7 +178,12 @@ def _examples(seed: int, per_kind: int) -> list[dict]:
         "national_phone": lambda: (rng.choice(["order ", "version ", "#", num(3), "total $", "row 7."]), f"{num(3)}{rng.choice('. -')}{num(3)}{rng.choice('. -')}{num(4)}"),
         "social_number": lambda: (rng.choice(["item ", num(2), "order 4-", "page #"]), rng.choice(["000", "666", "9" + num(2), num(3)]) + f"-{num(2)}-{num(4)}"),
         "bank_account": lambda: (rng.choice(["item ", "", pick(code, 2)]), pick(string.ascii_uppercase, 2) + num(2) + "".join(" " + pick(string.ascii_uppercase, 4) for _ in range(4))),
-        "spelled_email": lambda: ("score ", f"{num(3)} (at) {num(2)}.{pick(string.ascii_lowercase, 3)}"),
+        "spelled_email": lambda: ("score ", rng.choice([f"{num(3)} (at) {num(2)}.{pick(string.ascii_lowercase, 3)}", f"{num(3)} at {num(2)} dot {pick(string.ascii_lowercase, 3)}", f"{word()} at {word()} dot {word()}x"])),
+        "service_token": lambda: (pick(string.ascii_lowercase, 3), rng.choice(["sk-", "sk-", "AIza"]) + "-".join(word() for _ in range(6)) + "-" + pick(string.ascii_lowercase, 12)),
+        "web_token": lambda: (pick(string.ascii_letters, 6), "eyJ" + pick(string.ascii_lowercase, 9) + "." + pick(string.ascii_lowercase, 9)),
+        "private_key": lambda: ("", "-----BEGIN PUBLIC KEY-----"),
+        "ipv6": lambda: (rng.choice(["at ", "time ", "ratio "]), f"{rng.randint(1, 12)}:{num(2)}::{num(2)}"),
+        "trunk_phone": lambda: (rng.choice(["order ", "version ", "item ", "total ", "", "page "]), rng.choice([f"0{num(1)}-{num(2)}-{num(4)}", f"0{num(2)} {num(3)}", f"0{num(1)} {num(2)}", f"0{num(3)}-{num(2)}-{num(2)}"])),
     }
     rows = []
     for name in GENERATORS:
@@ -257,7 +279,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
         free = c["start"] >= acc["reach"]
         return F.when(free, F.struct(F.concat(acc["kept"], F.array(span)).alias("kept"), (-c["end"]).alias("reach"))).otherwise(acc)
 
-    added = F.when(text.rlike("[0-9=:@(\\[]"), F.aggregate(own, nothing, sweep)["kept"]).otherwise(nothing["kept"])
+    added = F.when(text.rlike("[0-9=:@(\\[-]| dot "), F.aggregate(own, nothing, sweep)["kept"]).otherwise(nothing["kept"])
     return found.select("doc_id", "_text", *[F.col(f"_{k}").alias(k) for k in BASE], "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 

@@ -5,7 +5,9 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from fieldloom.llm import pii, queries
@@ -155,6 +157,45 @@ def test_pii_base_equals_python(spark):
     assert kinds[10] == ["national_phone", "social_number"] and kinds[11] == ["spelled_email"] and kinds[12] == []
 
 
+def pii_added(text, base, trees, least):
+    """Spans beyond the base ones, judged one by one."""
+    found = []
+    for gen, pattern in enumerate(pii.GENERATORS.values()):
+        for m in regex.finditer(pattern, text):
+            value, count = m[0], lambda p: len(re.findall(p, m[0]))  # noqa: B023
+            left, before, after = text[max(0, m.start() - pii.LEFT_CHARS) : m.start()], text[m.start() - 1 : m.start()] if m.start() else " ", text[m.end() : m.end() + 1]
+            tail = re.search(r"[A-Za-z0-9+/_.!@#$%-]+$", value)
+            x = [gen, len(value), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[\\x20().-]"), bool(re.search("[A-Za-z0-9]", before)), bool(re.search("[A-Za-z0-9]", after))]
+            x += [len(re.findall("[0-9]", tail[0])) if tail else 0, bool(re.match("000|666|9", value)), before in tuple("#$-./"), bool(re.search(pii.DOMAIN_END, value))]
+            x += [bool(re.search(p, left)) for p in pii.CONTEXT.values()]
+            margin = sum(float(pii._apply(t, np.array([x], float))[0]) for t in trees)
+            if margin >= least[gen] and not any(s < m.end() and m.start() < e for s, _, e in base):
+                found.append((m.start(), -m.end(), gen))
+    out, reach = [], -1
+    for start, end, gen in sorted(found):
+        if start >= reach:
+            out.append((start, gen + 4, -end))
+            reach = -end
+    return out
+
+
+def test_pii_added_spans_equal_plain_python(spark):
+    trees, least = pii.fitted(spark)
+    rng = random.Random(3)
+    texts = [e["text"] for e in pii._examples(99, 12)] + PII[:13]
+    texts += [" ".join(rng.sample([t for t in texts if t and len(t) < 999], 3)) for _ in range(40)]
+    texts += ["token=" + "a1b2" * 60, "john at example dot com", "meet at noon dot matrix now", "time 12:30:45", "-----BEGIN PUBLIC KEY-----"]
+    out = {r.doc_id: r for r in pii.personal_data(docs(spark, list(enumerate(texts)))).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        base = pii_base(text)
+        want = sorted(base + pii_added(text or "", base, trees, least))
+        assert [tuple(s) for s in out[i].spans] == want, text
+        added += len(want) - len(base)
+    assert added > 60 and len(out[len(texts) - 5].spans) == 1 and out[len(texts) - 5].spans[0].end == 246
+    assert out[len(texts) - 4].spans and not any(out[len(texts) - k].spans for k in (1, 2, 3))
+
+
 def test_pii_digest_and_redaction(spark):
     df = docs(spark, [(1, "to a@b.co or 9.9.9.9."), (2, None)])
     found = {r.doc_id: r for r in pii.personal_data(df).select("doc_id", pii.joined(F.col("base")).alias("j")).collect()}
