@@ -1,16 +1,20 @@
-"""Near copies by the share of five-word shingles, for corpus stages.
+"""SimHash near-duplicates at a similarity, for corpus stages: BK-trees over fingerprints, every link proven.
 
-Two texts are linked if their sets of shingles have a Jaccard similarity of at least 0.8; classes are
-what links join. Candidates come from MinHash: 128 least values in 32 bands of four, so a pair at 0.8
-shares no band with a probability of 5e-8, and one above it with less. Every link is then proven
-on the shingles themselves, so no false candidate joins a class.
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8;
+classes are what links join. At that similarity a 64-bit fingerprint of the shingles differs in some
+ten bits, so blocks of equal bits would lose links, and no radius alone separates copies from others.
+Shards are therefore dealt by 32 MinHash bands of four values (a pair at 0.8 shares none with a
+probability of 5e-8). Each shard's fingerprints stand in a BK-tree, a search follows only the edges
+within RADIUS (24 bits, over four standard deviations above what such a pair differs by), and each
+link found is proven on the shingles themselves, so no false one joins a class.
 
-Only the texts of buckets with several members travel, and of buckets with the same members one. A
-bucket's members are compared in the task that holds it; of a class that a member already belongs to
-no further one is tried, so a dense group costs about its size.
+Only the texts of shards with several members travel, and of shards with the same members one. A
+subtree that lies wholly in the searcher's class is passed over, so a dense group costs about its
+size. A shard of more than BLOCK members is compared in pairs of blocks, so no task holds more than
+two blocks of one.
 
 Null and blank texts have no shingle and link with each other; a text of fewer words than a shingle is
-one shingle; exact copies are compared once; an empty table gives no rows.
+one shingle; texts with the same shingles are compared once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import small, stored
-from fieldloom.llm.simhash import components
+from fieldloom.llm.simhash import Forest, components, majority
 
-SHINGLE_WORDS, SEED, BANDS, BAND_ROWS = 5, 42, 32, 4
+SHINGLE_WORDS, SEED, BANDS, BAND_ROWS, RADIUS = 5, 42, 32, 4, 24
+#: Members of a shard that are compared at once, and those of several shards that share a forest.
+BLOCK, TOGETHER = 2048, 1024
 
 _RNG = np.random.default_rng(SEED)
 _XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
@@ -62,45 +68,38 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * min(len(a), len(b)) >= need and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def joins(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Pairs of alike members that join all classes among them."""
-    classes: list[list[int]] = []
-    for i, own in enumerate(sets):
-        mine, others = [i], []
-        for c in classes:
-            j = next((j for j in c if alike(own, sets[j])), None)
-            if j is None:
-                others.append(c)
-            else:
-                yield j, i
-                c.extend(mine)
-                mine = c
-        classes = [mine, *others]
+def joins(shard: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the place of the first of its class; links lie inside a shard, and shard is sorted."""
+    prints = np.array([majority(own, len(own)) for own in sets], np.uint64)
+    return Forest(shard, prints, RADIUS, lambda i, j: alike(sets[i], sets[j])).link_all()
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
-            keys = pa.array([bands(shingles(t)) for t in part.column(2).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys], names=["digest", "doc_id", "bands"])
+            sets = [shingles(t) for t in part.column(2).to_pylist()]
+            told = pa.array([xxhash.xxh128_digest(own.tobytes()) for own in sets], pa.binary())
+            keys = pa.array([bands(own) for own in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), told, keys], names=["digest", "doc_id", "told", "bands"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, names, sets = None, [], []
+    shards, names, sets = [], [], []
 
     def done() -> pa.RecordBatch:
-        pairs = list(joins(sets))
-        ends = [pa.array([names[p[k]] for p in pairs], pa.binary()) for k in (0, 1)]
+        label = joins(np.array(shards, np.int64), sets)
+        tied = np.flatnonzero(label != np.arange(len(label))).tolist()
+        ends = [pa.array([names[k] for k in side], pa.binary()) for side in (label[tied].tolist(), tied)]
         return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
-            for bucket, name, text in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns)):
-                if bucket != key and names:
+            for shard, name, text in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns)):
+                if len(names) >= TOGETHER and shard != shards[-1]:
                     yield done()
-                    names, sets = [], []
-                key = bucket
+                    shards, names, sets = [], [], []
+                shards.append(shard)
                 names.append(name)
                 sets.append(shingles(text))
     yield done()
@@ -110,18 +109,22 @@ def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id and component_id, the class's smallest doc_id, of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "doc_id", "text")
-    rows = stored(docs.mapInArrow(_banded, "digest binary, doc_id long, bands array<long>"), "bands")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    keys = rows.dropDuplicates(["digest"]).select("digest", F.explode("bands").alias("key"))
+    rows = stored(docs.mapInArrow(_banded, "digest binary, doc_id long, told binary, bands array<long>"), "bands")
+    # of texts with the same shingles one stands for all
+    texts = stored(rows.groupBy("told").agg(F.min("digest").alias("digest"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "shingle-sets")
+    keys = texts.select("digest", F.explode("bands").alias("key"))
     told = [F.bit_xor(F.xxhash64(F.lit(k), "digest")).alias(f"x{k}") for k in (0, 1)]
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *told).where("n > 1")
-    buckets = stored(buckets.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "buckets")
-    members = stored(keys.join(small(buckets), "key"), "members")
+    buckets = stored(buckets.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = keys.join(small(buckets), "key").select("digest", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("digest"), blocks).alias("own"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least("own", o), F.greatest("own", o)))
+    members = stored(members.select("digest", F.explode(pairs).alias("shard")), "members")
     wanted = small(stored(members.select("digest").distinct(), "digests"))
     own = docs.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text")
-    dealt = members.join(own, "digest").select("key", "digest", "text").repartition("key").sortWithinPartitions("key", "digest")
+    dealt = members.join(own, "digest").select("shard", "digest", "text").repartition("shard").sortWithinPartitions("shard", "digest")
     links = components(dealt.mapInArrow(_linked, "a binary, b binary").distinct())
-    rooted = texts.join(links.withColumnRenamed("v", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rooted = texts.select("told", "digest", "least").join(links.withColumnRenamed("v", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("digest", "component_id")
-    return rows.select("digest", "doc_id").join(named, "digest").select("doc_id", "component_id")
+    named = rooted.join(of_root, "root").select("told", "component_id")
+    return rows.select("told", "doc_id").join(named, "told").select("doc_id", "component_id")

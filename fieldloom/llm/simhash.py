@@ -18,7 +18,7 @@ and the class's smallest doc_id; repeated rows stay; an empty table gives no row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +38,16 @@ FRONTIER = 1 << 19
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(hashes: np.ndarray, n: int, counts: np.ndarray | None = None) -> int:
+    """The bits that are set in more than half of n hashes; counts are those of hashes before."""
+    counts = np.zeros((8, 8), np.int64) if counts is None else counts
+    columns = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        counts[k] += np.bincount(columns[:, k], minlength=256) @ _BYTE_BITS
+    bits = (2 * counts.reshape(64) > n).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words_in: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """Bits set in more than half of the hashes of the text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -54,12 +64,8 @@ def fingerprint(text: str | None, words_in: int = SHINGLE_WORDS, seed: int = SEE
     for low in range(0, n, 1 << 16):
         high = min(n, low + (1 << 16))
         pairs = zip(starts[low:high].tolist(), ends[low + words_in - 1 : high + words_in - 1].tolist())
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, high - low).astype("<u8")
-        columns = hashes.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            counts[k] += np.bincount(columns[:, k], minlength=256) @ _BYTE_BITS
-    bits = (2 * counts.reshape(64) > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        found = majority(np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, high - low), n, counts)
+    return found
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +95,11 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class Forest:
-    """BK-trees over the distinct fingerprints of many shards, one tree for each shard."""
+    """BK-trees over the fingerprints of many shards, one tree for each shard."""
 
-    def __init__(self, shard: np.ndarray, prints: np.ndarray, radius: int):
-        """shard is sorted."""
-        self.prints, self.radius, n = prints, radius, len(prints)
+    def __init__(self, shard: np.ndarray, prints: np.ndarray, radius: int, proof: Callable[[int, int], bool] | None = None):
+        """shard is sorted; with a proof, fingerprints within the radius link only if it holds for their places."""
+        self.prints, self.radius, self.proof, n = prints, radius, proof, len(prints)
         first = np.r_[True, shard[1:] != shard[:-1]] if n else np.zeros(0, bool)
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
         self.label = np.arange(n)
@@ -103,7 +109,7 @@ class Forest:
         while len(waiting):
             apart = self._apart(waiting, at)
             near = apart <= radius
-            _merge(self.label, waiting[near], at[near])
+            self._link(waiting[near], at[near])
             key, index, back = np.unique(at * 65 + apart, return_index=True, return_inverse=True)
             child = waiting[index]
             keys.append(key)
@@ -116,6 +122,24 @@ class Forest:
         self.edge = np.concatenate(keys)[order] if keys else np.zeros(0, np.int64)
         self.child = np.concatenate(children)[order] if keys else np.zeros(0, np.int64)
 
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
+        if self.proof:
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            proven = []
+            for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+                x, y = top(int(self.label[i])), top(int(self.label[j]))
+                if x != y and self.proof(i, j):
+                    up[max(x, y)] = min(x, y)
+                    proven.append(k)
+            a, b = a[proven], b[proven]
+        _merge(self.label, a, b)
+
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.prints[a] ^ self.prints[b]).astype(np.int64)
 
@@ -145,7 +169,7 @@ class Forest:
                 q, node = q[todo], node[todo]
                 apart = self._apart(q, node)
                 near = apart <= self.radius
-                _merge(self.label, q[near], node[near])
+                self._link(q[near], node[near])
                 start = np.searchsorted(self.edge, node * 65 + np.maximum(apart - self.radius, 0))
                 stop = np.searchsorted(self.edge, node * 65 + np.minimum(apart + self.radius, 64), side="right")
                 many = stop - start

@@ -58,23 +58,40 @@ def test_stage_drops_near_copies_down_to_four_fifths(spark):
     assert corpus_pipeline.near_dedup(spark, docs(spark, []), "").count() == 0
 
 
+def test_hot_shards_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    test_stage_drops_near_copies_down_to_four_fifths(spark)
+
+
 def test_joins_equal_all_pairs():
     rng = random.Random(2)
-    sets = []
-    for _ in range(12):
-        base = rng.sample(range(1 << 40), 60)
-        for k in range(6):
-            sets.append(base[k * 3 :] + rng.sample(range(1 << 40), k * 2))
-    rng.shuffle(sets)
-    arrays = [neardup.np.array(sorted(s), neardup.np.uint64) for s in sets]
-    label = list(range(len(sets)))
-    for i, j in neardup.joins(arrays):
-        old, new = label[i], label[j]
-        label = [new if x == old else x for x in label]
-    want = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            if jaccard(set(sets[i]), set(sets[j])) >= 0.8:
-                old, new = want[i], want[j]
-                want = [new if x == old else x for x in want]
-    assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
+    for size in (4, 9, 60, 300):
+        sets, shard = [], []
+        for _ in range(30):
+            base = [rng.getrandbits(64) for _ in range(size)]
+            for k in range(6):
+                gone = k * size // 40
+                sets.append(base[gone:] + [rng.getrandbits(64) for _ in range(gone // 2 + (k == 5))])
+        order = list(range(len(sets)))
+        rng.shuffle(order)
+        sets = [sets[i] for i in order]
+        shard = neardup.np.sort(neardup.np.array([rng.randint(0, 2) for _ in sets]))
+        label = neardup.joins(shard, [neardup.np.array(sorted(s), neardup.np.uint64) for s in sets]).tolist()
+        want = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if shard[i] == shard[j] and jaccard(set(sets[i]), set(sets[j])) >= 0.8:
+                    old, new = max(want[i], want[j]), min(want[i], want[j])
+                    want = [new if x == old else x for x in want]
+        assert label == want
+
+
+def test_the_radius_loses_no_pair_at_four_fifths():
+    rng, most = random.Random(3), 0
+    for shared in (4, 8, 16, 40, 80, 200, 400):
+        for _ in range(1500 if shared < 100 else 300):
+            a = neardup.np.array([rng.getrandbits(64) for _ in range(shared + shared // 4)], neardup.np.uint64)
+            left = rng.randint(0, shared // 4)
+            one, two = neardup.np.r_[a[:shared], a[shared : shared + left]], neardup.np.r_[a[:shared], a[shared + left :]]
+            most = max(most, (neardup.majority(one, len(one)) ^ neardup.majority(two, len(two))).bit_count())
+    assert most <= neardup.RADIUS
