@@ -88,6 +88,43 @@ def centroid(ring: Column) -> Column:
     return F.struct(moment("x1", "x2").alias("x"), moment("y1", "y2").alias("y"))
 
 
+def representative_point(ring: Column) -> Column:
+    """A point surely inside: the middle of the widest stretch of a scan line between two levels of corners.
+
+    The line runs halfway between the two neighbouring levels of corners that stand nearest to the middle of the box.
+    """
+    sides, ys = edges(ring), F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    middle = (F.array_min(ys) + F.array_max(ys)) / 2
+
+    def levels(v: Column) -> Column:
+        halves = F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: (F.get(v, i - 1) + F.get(v, i)) / 2)
+        return F.array_min(F.transform(halves, lambda h: F.struct(F.abs(h - middle).alias("off"), h.alias("y"))))["y"]
+
+    def on_line(y: Column) -> Column:
+        hit = F.filter(sides, lambda e: (e["y1"] > y) != (e["y2"] > y))
+        xs = F.array_sort(F.transform(hit, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+
+        def widest(v: Column) -> Column:
+            spans = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda k: F.struct((F.get(v, 2 * k + 1) - F.get(v, 2 * k)).alias("wide"), (-(F.get(v, 2 * k) + F.get(v, 2 * k + 1)) / 2).alias("x")))
+            return -F.array_max(spans)["x"]
+
+        return F.struct(F.get(F.transform(F.array(xs), widest), 0).alias("x"), y.alias("y"))
+
+    flat = F.struct(F.get(ring, 0)["x"].cast("double").alias("x"), F.get(ring, 0)["y"].cast("double").alias("y"))
+    return F.when(F.size(ys) < 2, flat).otherwise(F.get(F.transform(F.array(levels(ys)), on_line), 0))
+
+
+def segments(line: Column) -> Column:
+    """Of an open line its sides from corner to corner: array of struct(x1, y1, x2, y2)."""
+    return F.slice(edges(line), 1, F.greatest(F.size(line) - 1, F.lit(0)))
+
+
+def assert_crs(found: str | None, wanted: str) -> None:
+    """An error if a layer's reference system, as its file names it, is not the one wanted."""
+    if (found or "").strip().upper() != wanted.strip().upper():
+        raise ValueError(f"the layer is in {found!r}, not in {wanted!r}")
+
+
 def line_length(line: Column) -> Column:
     """Of an open line the sum of its segments."""
     return F.aggregate(F.slice(edges(line), 1, F.size(line) - 1), F.lit(0.0), lambda s, e: s + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))

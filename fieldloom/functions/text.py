@@ -16,8 +16,6 @@ ADMIN_SUFFIXES = (
     r"lga", r"senatorial\s*district", r"district", r"state",
 )
 EDGE_MARKS = " .,;:-–—"
-#: Endings may follow each other; a name longer than this many of them keeps the rest.
-SUFFIX_PASSES = 6
 
 
 @F.pandas_udf(T.StringType())
@@ -26,24 +24,29 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def clean_text(c: Column, unicode_forms: bool = False) -> Column:
-    """Null to '', white space collapsed, marks at the ends gone; unicode_forms also folds compatibility forms (an Arrow UDF)."""
+    """Null to '', white space of any script collapsed, marks at the ends gone; unicode_forms also folds compatibility forms (an Arrow UDF)."""
     s = F.coalesce(c.cast("string"), F.lit(""))
     s = _nfkc(s) if unicode_forms else s
-    return F.btrim(F.btrim(F.regexp_replace(s, r"[\s\x{00A0}]+", " ")), F.lit(EDGE_MARKS))
+    return F.btrim(F.btrim(F.regexp_replace(s, r"(?U)[\s\x{001C}-\x{001F}]+", " ")), F.lit(EDGE_MARKS))
 
 
 def title_case_admin(c: Column) -> Column:
     """Lower case with a capital after each space and hyphen."""
-    hyphened = lambda part: F.array_join(F.transform(F.split(part, "-", -1), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "-")
+    hyphened = lambda part: F.array_join(F.transform(F.split(part, "-", -1), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "-")
     return F.array_join(F.transform(F.split(F.lower(clean_text(c)), " ", -1), hyphened), " ")
 
 
-def match_key(c: Column, strip_suffix: bool = True) -> Column:
-    """The join key of a name: endings off, letters and digits alone, upper case."""
-    s = clean_text(c)
+def match_key(c: Column, strip_suffix: bool = True, unicode_forms: bool = False) -> Column:
+    """The join key of a name: endings off one after another until none is left, letters and digits alone, upper case.
+
+    Each turn shortens a name by a word at least, so as many turns as it has words reach the end; the
+    turns stop working, and cost next to nothing, once a name has no ending.
+    """
     ending = rf"(?i)\b(?:{'|'.join(ADMIN_SUFFIXES)})\b\s*$"
-    for _ in range(SUFFIX_PASSES if strip_suffix else 0):
-        s = F.btrim(F.regexp_replace(s, ending, ""))
+    s = clean_text(c, unicode_forms)
+    if strip_suffix:
+        words = F.sequence(F.lit(1), F.regexp_count(s, F.lit(r"\w+")) + 1)
+        s = F.aggregate(words, s, lambda name, _: F.when(name.rlike(ending), F.btrim(F.regexp_replace(name, ending, ""))).otherwise(name))
     return F.upper(F.regexp_replace(s, "[^A-Za-z0-9]+", ""))
 
 

@@ -45,6 +45,31 @@ def filled_forward(df: DataFrame, order: list, columns: list[str]) -> DataFrame:
     return out.drop("_part", "_at", *[f"_b_{c}" for c in columns])
 
 
+def group_quantile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """The exact quantile of each group, interpolated linearly, nulls left out: a group may span all ranges of the order.
+
+    Equal values are counted first; ranges of (group, value) know how many rows stand before them, so
+    only the one or two values at the quantile's place are picked, and no task sees a whole group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = cut(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part", *by).agg(F.sum("_n").alias("_all"))
+    over = Window.partitionBy(*by)
+    before = over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumns({"_start": F.coalesce(F.sum("_all").over(before), F.lit(0)), "_total": F.sum("_all").over(over)})
+    starts = starts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b_{c}") for c in by], "_start", "_total")
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    placed = dealt.join(F.broadcast(starts), same)  # a row per range and group in it
+    near = F.sum("_n").over(Window.partitionBy("_part", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("_last", F.col("_start") + near - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    place = (F.col("_total") - 1) * q
+    at = lambda k: F.max(F.when((F.col("_first") <= k) & (k <= F.col("_last")), F.col("_v")))
+    found = placed.groupBy(*by).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.max(place - F.floor(place)).alias("_f"))
+    return found.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key: an aggregation that combines before it shuffles, not a window."""
     whole = F.struct(*df.columns)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.numeric import chi2_tail
+
 
 @dataclass(frozen=True)
 class Constraint:
@@ -94,6 +97,12 @@ def gate(rows: DataFrame, rules: dict[str, Column], strict: bool = False) -> Dat
     return out.withColumn("valid", F.coalesce(~broken, F.lit(False))).withColumn("gate", first.otherwise("PASS"))
 
 
+AGE_INDICES = (
+    "n long, residue_index double, anchor_index double, chi2 double, chi2_p double, dissimilarity double,"
+    " n_at_end long, end_excess double, n_below long, n_above long"
+)
+
+
 def overlaps(rows: DataFrame, gap_minutes: float) -> DataFrame:
     """rows(who, start, end, id): those that begin less than gap_minutes after the one before ended."""
     by = Window.partitionBy("who").orderBy("start", "id")
@@ -128,6 +137,30 @@ def digit_preference(values: DataFrame, column: str, base: int = 10) -> DataFram
     return full.crossJoin(F.broadcast(total)).select("digit", "n", F.try_divide("n", "_t").alias("share"), F.try_divide((F.col("n") - expected) * (F.col("n") - expected), expected).alias("chi2_part"))
 
 
+def age_heaping(children: DataFrame, low: int = 9, high: int = 59, anchors: tuple[int, ...] = (12, 24, 36, 48)) -> DataFrame:
+    """children(age in months) -> one row of indices: by remainder, at whole years, against equal shares, against a smooth curve, at the upper end.
+
+    Only counts per month leave the table; the indices come from those few numbers.
+    """
+    counts = {int(r.age): r.n for r in children.where(F.col("age").isNotNull()).groupBy(F.col("age").cast("long").alias("age")).agg(F.count(F.lit(1)).alias("n")).where(F.col("age").between(low - 1200, high + 1200)).collect()}
+    seen = np.array([counts.get(a, 0) for a in range(low, high + 1)], float)
+    n, months = seen.sum(), high - low + 1
+    if not n:
+        return children.sparkSession.createDataFrame([], AGE_INDICES)
+    parts = np.array([sum(c for a, c in counts.items() if low <= a <= high and a % 12 == r) for r in range(12)]) / n
+    held = [a for a in anchors if low <= a <= high]
+    at = sum(counts.get(a, 0) for a in held)
+    chi2 = float(((seen - n / months) ** 2 / (n / months)).sum())
+    smooth = np.array([np.median(seen[max(0, k - 2) : k + 3]) for k in range(months)])
+    apart = float(np.abs(seen / n - smooth / smooth.sum()).sum() / 2) if smooth.sum() else None
+    beside = float(seen[-6:-2].mean())
+    row = (
+        int(n), float(np.abs(100 * parts - 100 / 12).sum() / 2), float(at / (n * len(held) / months)) if held else None, chi2, chi2_tail(chi2, months - 1), apart,
+        int(seen[-1]), float(seen[-1] / beside) if beside else None, sum(c for a, c in counts.items() if a < low), sum(c for a, c in counts.items() if a > high),
+    )
+    return children.sparkSession.createDataFrame([row], AGE_INDICES)
+
+
 def robust_zs(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """rows with a column per name of columns(name -> column): how far it is from the median in scaled median absolute deviations.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.geo import bbox, edges, intersects, within
+from fieldloom.functions.geo import bbox, edges, intersects, representative_point, within
 from fieldloom.operators.ordering import numbered
 from fieldloom.session import cut
 
@@ -58,12 +58,50 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rounds: in
         if open_.isEmpty() or not total:
             break
         far *= 2
+    else:
+        raise ValueError(f"no {k} neighbours within {far} after {rounds} rounds; take a larger radius")
     return reduce(DataFrame.unionByName, found)
 
 
+def connectors(left: DataFrame, right: DataFrame, k: int, limit: float, radius: float) -> DataFrame:
+    """The k nearest of right to each of left, none further than limit; rings go no further than that."""
+    pairs = within_distance(left, right, min(radius, limit))
+    order = Window.partitionBy("i").orderBy("dist2", "j")
+    ranked = lambda p: p.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = ranked(pairs)
+    if radius >= limit:
+        return near
+    full = near.where(F.col("rank") == k).select("i")
+    rest = left.join(full, "i", "left_anti")
+    return near.join(full, "i", "left_semi").unionByName(ranked(within_distance(rest, right, limit)))
+
+
+def misplaced(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
+    """points(key, x, y) that do not lie within the polygon (key, ring) that they name."""
+    named = points.join(polygons.select(key, edges(F.col("ring")).alias("_e")), key)
+    return named.where(~within(F.col("_e"), F.col("x"), F.col("y"))).drop("_e")
+
+
+def access_sweep(distance: DataFrame, zones: DataFrame, thresholds: list[float], speeds: list[float], unknown: dict[str, bool]) -> DataFrame:
+    """distance(i, metres, state, pop, zone): the share of people covered for every threshold, speed and treatment of unknown sites.
+
+    distance holds each demand point's nearest adequate and nearest unassessed site (state 'adequate' or
+    'unknown'); distances are measured once, and parameters are a small table beside them.
+    """
+    spark = distance.sparkSession
+    grid = [(float(t), float(s), n, u) for t in thresholds for s in speeds for n, u in unknown.items()]
+    table = spark.createDataFrame(grid, "threshold double, kmh double, treatment string, counts boolean")
+    reached = distance.crossJoin(F.broadcast(table)).where((F.col("state") == "adequate") | F.col("counts"))
+    minutes = F.min(F.col("metres") / 1000 / F.col("kmh") * 60)
+    best = reached.groupBy("threshold", "kmh", "treatment", "i").agg(minutes.alias("m"), F.first("pop").alias("pop"))
+    people = best.groupBy("threshold", "kmh", "treatment").agg(F.sum(F.when(F.col("m") <= F.col("threshold"), F.col("pop")).otherwise(0.0)).alias("covered"))
+    whole = zones.agg(F.sum("pop").alias("all"))
+    return people.crossJoin(F.broadcast(whole)).select("threshold", "kmh", "treatment", "covered", F.try_divide("covered", "all").alias("share"))
+
+
 def hot_spots(points: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
     """Getis-Ord Gi* of points(id, v) over neighbours(i, j), each with k, itself among them."""
-    world = points.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("v").alias("m"), F.sqrt(F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v")).alias("s"))
+    world = points.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     local = neighbours.join(points.select(F.col("id").alias("j"), "v"), "j").groupBy("i").agg(F.sum("v").alias("total"))
     spread = F.col("s") * F.sqrt((F.col("n") * k - k * k) / (F.col("n") - 1))
     z = F.when(spread == 0, F.lit(0.0)).otherwise((F.col("total") - k * F.col("m")) / spread)
@@ -116,28 +154,26 @@ def _relax(start: DataFrame, edge: DataFrame, step, value: str, every: int, roun
         now = cut(now)
         said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", value).cast("decimal(38,0)"))).first()
         if said == before:
-            break
+            return now
         before = said
-    return now
+    raise ValueError(f"still changing after {rounds} rounds of {every} steps")
 
 
-def components(edge: DataFrame, every: int = 4, rounds: int = 1000) -> DataFrame:
+def components(edge: DataFrame, every: int = 4, rounds: int = 100_000) -> DataFrame:
     """(node, component) by spreading the least node name."""
     nodes = edge.select(F.col("src").alias("node")).union(edge.select(F.col("dst").alias("node"))).distinct()
     return _relax(nodes.withColumn("component", F.col("node")), edge.select("src", "dst"), lambda: F.col("component"), "component", every, rounds)
 
 
-def travel_times(edge: DataFrame, sources: DataFrame, every: int = 4, rounds: int = 1000) -> DataFrame:
+def travel_times(edge: DataFrame, sources: DataFrame, every: int = 4, rounds: int = 100_000) -> DataFrame:
     """(node, minutes) from the nearest of sources(node, minutes), whatever the number of sources."""
     return _relax(sources.select("node", "minutes"), edge.select("src", "dst", F.col("minutes").alias("_cost")), lambda: F.col("minutes") + F.col("_cost"), "minutes", every, rounds)
 
 
 def demand_grid(zones: DataFrame) -> DataFrame:
-    """zones(zone, ring in metres, km2) -> sample points (zone, x, y), spacing by area, the centre where none falls inside."""
-    from fieldloom.functions.geo import centroid
-
+    """zones(zone, ring in metres, km2) -> sample points (zone, x, y), spacing by area, a point surely inside where none falls there."""
     step = F.least(F.greatest(F.sqrt(F.col("km2") / 30) * 1000, F.lit(700.0)), F.lit(12000.0))
-    z = zones.withColumn("_s", step).withColumn("_b", bbox(F.col("ring"))).withColumn("_e", edges(F.col("ring"))).withColumn("_c", centroid(F.col("ring")))
+    z = zones.withColumn("_s", step).withColumn("_b", bbox(F.col("ring"))).withColumn("_e", edges(F.col("ring"))).withColumn("_c", representative_point(F.col("ring")))
     along = lambda low, high: F.transform(F.sequence(F.lit(0), F.floor((F.col(high) - F.col(low)) / F.col("_s")).cast("int")), lambda i: F.col(low) + F.col("_s") * (i + 0.5))
     grid = z.withColumn("x", F.explode(along("_b.minx", "_b.maxx"))).withColumn("y", F.explode(along("_b.miny", "_b.maxy")))
     kept = grid.where(within(F.col("_e"), F.col("x"), F.col("y"))).select("zone", "x", "y")

@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import t_quantile
-from fieldloom.operators.ordering import small
+from fieldloom.operators.ordering import group_quantile, small
+
+
+#: Clusters of a design that a bootstrap takes: 24 MB of totals.
+MOST_CLUSTERS = 1_000_000
 
 
 def stack_domains(rows: DataFrame, domains: dict[str, Column]) -> DataFrame:
@@ -64,6 +68,8 @@ def bootstrap(rows: DataFrame, reps: int = 2000, seed: int = 20260805, level: fl
     """rows(y, w, h, i): rescaled bootstrap over cluster totals; a replicate's draws depend on its number alone."""
     kept = rows.where(F.col("y").isNotNull() & F.col("w").isNotNull())
     psu = kept.groupBy("h", "i").agg(F.sum(F.col("w") * F.col("y")).cast("double").alias("wy"), F.sum("w").cast("double").alias("sw"))
+    if psu.count() > MOST_CLUSTERS:
+        raise ValueError(f"a replicate is drawn in one task, so a design may have {MOST_CLUSTERS} clusters at most")
     totals = psu.orderBy("h", "i").toPandas()  # a row per sampled cluster, never per respondent
     strata = [g[["wy", "sw"]].to_numpy() for _, g in totals.groupby("h", sort=True)]
 
@@ -96,8 +102,15 @@ def base_weights(frame: DataFrame, take: float = 20.0) -> DataFrame:
     return frame.withColumn("w_base", w).withColumn("listing_ratio", F.try_divide("listed", "census"))
 
 
-def response_weights(households: DataFrame) -> DataFrame:
-    """households(cluster, w, eligible, responded): the weight of respondents raised by their cluster's response."""
+def response_weights(households: DataFrame, strict: bool = False) -> DataFrame:
+    """households(cluster, w, eligible, responded): the weight of respondents raised by their cluster's response.
+
+    A cluster of which nobody responded has no factor; strict makes that an error.
+    """
+    if strict:
+        silent = households.groupBy("cluster").agg(F.count_if("eligible").alias("e"), F.count_if(F.col("eligible") & F.col("responded")).alias("r")).where("e > 0 and r = 0").limit(5).collect()
+        if silent:
+            raise ValueError(f"no respondents in clusters {[c.cluster for c in silent]}")
     by = Window.partitionBy("cluster")
     e, r = F.sum(F.col("eligible").cast("int")).over(by), F.sum((F.col("eligible") & F.col("responded")).cast("int")).over(by)
     factor = F.try_divide(e, r)
@@ -107,9 +120,10 @@ def response_weights(households: DataFrame) -> DataFrame:
 def trimmed(rows: DataFrame, times: float = 4.0) -> DataFrame:
     """rows(h, w): weights cut at some times their stratum's median and scaled to keep its total.
 
-    The median is aggregated and joined, so no window holds a stratum in one task.
+    The median comes from ranges of the order and is joined, so no task holds a stratum.
     """
-    medians = rows.groupBy("h").agg((F.percentile("w", F.lit(0.5)) * times).alias("_cap"), F.sum("w").alias("_sum"))
+    medians = group_quantile(rows, ["h"], "w", 0.5, "_m").select("h", (F.col("_m") * times).alias("_cap"))
+    medians = medians.join(rows.groupBy("h").agg(F.sum("w").alias("_sum")), "h")
     cut = rows.join(small(medians), "h").withColumn("_cut", F.least("w", "_cap"))
     sums = cut.groupBy("h").agg(F.sum("_cut").alias("_cut_sum"))
     return cut.join(small(sums), "h").withColumn("w_trimmed", F.col("_cut") * F.col("_sum") / F.col("_cut_sum")).drop("_cap", "_sum", "_cut", "_cut_sum")
@@ -133,3 +147,17 @@ def reported_sweep(rows: DataFrame, rates: list[float]) -> DataFrame:
     sweep = rows.sparkSession.createDataFrame([(float(r),) for r in rates], "rate double")
     y = F.when(F.col("recalled") & (F.col("y") == 1), 1 - F.col("rate")).otherwise(F.col("y").cast("double"))
     return rows.crossJoin(F.broadcast(sweep)).withColumn("y", y).withColumn("domain", F.format_string("%.2f", F.col("rate")))
+
+
+def variants(rows: DataFrame, table: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """Each row once per variant that keeps it: table has (keep, y, w) by name, all in one pass over rows(h, i, ...)."""
+    each = [F.when(keep, F.struct(F.lit(name).alias("domain"), y.cast("double").alias("y"), w.cast("double").alias("w"))) for name, (keep, y, w) in table.items()]
+    return rows.select("h", "i", F.explode(F.array_compact(F.array(*each))).alias("v")).select("v.domain", "h", "i", "v.y", "v.w")
+
+
+def sensitivity(rows: DataFrame, table: dict[str, tuple[Column, Column, Column]], headline: str, target: float, fpc: DataFrame | None = None) -> DataFrame:
+    """The variants' estimates, how far each is from the headline in points, and whether its interval reaches the target."""
+    each = with_intervals(proportions(variants(rows, table), fpc))
+    first = each.where(F.col("domain") == headline).select(F.col("p").alias("_p"))
+    out = each.crossJoin(F.broadcast(first))  # one row
+    return out.withColumn("shift_pp", 100 * (F.col("p") - F.col("_p"))).withColumn("target", F.when(F.col("high") >= target, "reached").otherwise("below")).drop("_p")

@@ -26,20 +26,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def shared(name: str, sql: str) -> None:
-    """A query that one text expresses for both engines: plain relational operators."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import re
-
-        body = sql
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
-            body = re.sub(rf"\b(from|join)\s+{t}\b", lambda m, t=t: f"{m[1]} parquet.`{sf_dir}/{t}.parquet` {t}" if not re.match(r"\s+(?!where|join|left|group|order|on|using|cross|union|limit|\))[a-z]\w*", body[m.end():]) else f"{m[1]} parquet.`{sf_dir}/{t}.parquet`", body)
-        return spark.sql(body)
-
-    QUERIES[name], ORACLES[name] = run, sql
-
-
 def r(c, n: int = 6):
     return F.round(c, n)
 
@@ -270,17 +256,18 @@ def name_match_key(spark, sf_dir):
     return _names(spark, sf_dir).select("p_partkey", text.match_key(F.col("raw")).alias("key"))
 
 
-@query(f"with n as ({_NAMES}), a as (select distinct trim(trim(regexp_replace(p_name, '\\s+', ' ', 'g')), ' .,;:-') name from part), k as (select {_KEY.format('name')} key, max(name) by_key from a group by 1), q as (select distinct raw, trim(trim(regexp_replace(raw, '\\s+', ' ', 'g')), ' .,;:-') clean, {_KEY.format(_stripped('raw'))} key from n) select raw, coalesce(a.name, by_key) resolved, case when a.name is not null then 'exact' else 'normalised' end \"method\" from q left join a on a.name = clean left join k using (key) where a.name is not null or by_key is not null")
+@query(f"with n as ({_NAMES}), a as (select distinct trim(trim(regexp_replace(p_name, '\\s+', ' ', 'g')), ' .,;:-') name from part), k as (select {_KEY.format('name')} key, max(name) by_key from a group by 1), q as (select distinct raw, trim(trim(regexp_replace(raw, '\\s+', ' ', 'g')), ' .,;:-') clean, {_KEY.format(_stripped('raw'))} key from n) select raw, coalesce(a.name, by_key) resolved, case when a.name is not null then 'exact' else 'normalised' end \"method\", 1.0 confidence from q left join a on a.name = clean left join k using (key)")
 def match_cascade(spark, sf_dir):
     out = reconcile.cascade(_names(spark, sf_dir).select("raw"), table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
-    return out.where(F.col("method").isin("exact", "normalised")).select("raw", "resolved", "method")
+    return out
 
 
 @query()
 def match_fuzzy(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    raw = table(spark, sf_dir, "nation").select(F.concat(F.col("n_name"), F.lit("X")).alias("raw"))
-    return reconcile.ledger(reconcile.cascade(raw, nations), "crosswalk", "nation")
+    """Every supplier's name with two digits turned round, against all names: ties are many, and the first counts."""
+    names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    turned = F.concat(F.substring("name", 1, 14), F.lit("x"), F.reverse(F.substring("name", 15, 4)))
+    return reconcile.ledger(reconcile.cascade(names.select(turned.alias("raw")), names), "crosswalk", "supplier")
 
 
 _COORD = "case o_orderkey % 6 when 0 then cast(5 + (o_orderkey % 700) / 100.0 as varchar) when 1 then '9,06' || lpad(cast(o_orderkey % 10000 as varchar), 4, '0') when 2 then cast(o_orderkey % 12 as varchar) || '°38''33.6\"E' when 3 then 'n/a' when 4 then 'abc' else cast(o_orderkey % 12 as varchar) || 'd15m0sS' end"
@@ -385,7 +372,7 @@ def gap_typology(spark, sf_dir):
     return out.select("zone", r(F.col("closure")).alias("closure"), "gap_type", F.col("priority_rank").cast("long").alias("priority_rank"))
 
 
-_ROADS = "e as (select n_nationkey a, (n_nationkey*3+1)%25 b, 1.0+n_nationkey%4 m from nation where n_nationkey < 18)"
+_ROADS = "e as (select s_suppkey a, case when s_suppkey % 5 = 0 then -s_suppkey else s_suppkey // 2 end b, 1.0 + s_suppkey % 4 m from supplier)"
 
 
 @query(f"with recursive {_ROADS}, u as (select a, b from e union select b, a from e), w(s, t) as (select a, a from u union select s, b from w join u on u.a = w.t) select cast(s as varchar) node, min(cast(t as varchar)) component from w group by s")
@@ -394,13 +381,14 @@ def road_components(spark, sf_dir):
 
 
 def _roads(spark, sf_dir):
-    n = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").where(n < 18).select(n.cast("string").alias("src"), ((n * 3 + 1) % 25).cast("string").alias("dst"), (1.0 + n % 4).alias("minutes"))
+    n = F.col("s_suppkey")
+    to = F.when(n % 5 == 0, -n).otherwise(F.floor(n / 2).cast("long"))
+    return table(spark, sf_dir, "supplier").select(n.cast("string").alias("src"), to.cast("string").alias("dst"), (1.0 + n % 4).alias("minutes"))
 
 
-@query(f"with recursive {_ROADS}, u as (select a, b, m from e union all select b, a, m from e), w(t, c, d) as (select 0, 0.0::double, 0 union select u.b, w.c+u.m, w.d+1 from w join u on u.a = w.t where w.d < 12) select cast(t as varchar) node, min(c) as \"minutes\" from w group by t")
+@query(f"with recursive {_ROADS}, u as (select a, b, m from e union all select b, a, m from e), w(t, c, d) as (select 1::bigint, 0.0::double, 0 union select u.b, w.c+u.m, w.d+1 from w join u on u.a = w.t where w.d < 12) select cast(t as varchar) node, min(c) as \"minutes\" from w group by t")
 def travel_time(spark, sf_dir):
-    return spatial.travel_times(_roads(spark, sf_dir), spark.createDataFrame([("0", 0.0)], "node string, minutes double"))
+    return spatial.travel_times(_roads(spark, sf_dir), spark.createDataFrame([("1", 0.0)], "node string, minutes double"))
 
 
 @query(f"with g(zone, x0, y0, x1, y1) as (values {', '.join(str((z, 9000 * a, 9000 * b, 9000 * c, 9000 * d)) for z, a, b, c, d in _SQUARES)}), s as (select *, least(greatest(sqrt((x1-x0)*(y1-y0)/1e6/30)*1000, 700), 12000) s from g), a as (select zone, y0, y1, s, x0, x1, unnest(generate_series(0, cast(floor((x1-x0)/s) as bigint))) i from s), b as (select *, unnest(generate_series(0, cast(floor((y1-y0)/s) as bigint))) j from a) select zone, round(x0 + s*(i+0.5), 4) x, round(y0 + s*(j+0.5), 4) y from b where x0 + s*(i+0.5) < x1 and y0 + s*(j+0.5) < y1")
@@ -410,30 +398,14 @@ def demand_points(spark, sf_dir):
     return points.select("zone", r(F.col("x"), 4).alias("x"), r(F.col("y"), 4).alias("y"))
 
 
-# --- plain relational operators, one text for both engines -------------------------------------
+# --- orders -----------------------------------------------------------------------------------
 
-shared("visitation_status", "select c.c_custkey, case when a.k is not null then 'V' when b.k is not null then 'V' else 'NV' end vis_status, case when a.k is not null then 'GTS' when b.k is not null then 'eTally' else 'Non' end vis_source from customer c left join (select distinct o_custkey k from orders where o_orderstatus = 'F') a on a.k = c.c_custkey left join (select distinct o_custkey k from orders where o_orderstatus = 'O') b on b.k = c.c_custkey")
-shared("ward_coverage", "select n.n_name ward, count(*) total, count(case when c.c_acctbal > 0 then 1 end) visited, round(cast(100 as double) * count(case when c.c_acctbal > 0 then 1 end) / count(*), 2) percent from customer c join nation n on n.n_nationkey = c.c_nationkey group by n.n_name")
-shared("spearman", "with a as (select l_suppkey, sum(l_quantity) x, sum(l_discount) y from lineitem group by l_suppkey), b as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from a) select round(corr(rx, ry), 6) rho from b")
-shared("ols_slope", "select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 3) icept from lineitem group by l_returnflag")
 @query("select event_id, last_value(v ignore nulls) over (order by event_id rows between unbounded preceding and current row) filled from (select event_id, case when event_id % 7 = 0 then event_type end v from events) q")
 def header_ffill(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.col("event_type")).alias("filled"))
     return ordering.filled_forward(e, ["event_id"], ["filled"])
 
 
-shared("equal_interval_class", "with m as (select min(p_retailprice) lo, (max(p_retailprice) - min(p_retailprice)) / 3 s from part) select p.p_partkey, case when p.p_retailprice <= lo + s then 'low' when p.p_retailprice <= lo + 2 * s then 'medium' else 'high' end class from part p cross join m")
-shared("conversation_sequence", "select conv_id, turn, role, row_number() over (partition by conv_id order by turn) line, lag(role) over (partition by conv_id order by turn) before_role from conversations")
-shared("pivot_supply", "select n.n_name, count(case when o.o_orderstatus = 'F' then 1 end) f, count(case when o.o_orderstatus = 'O' then 1 end) o, count(case when o.o_orderstatus = 'P' then 1 end) p from orders o join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey group by n.n_name")
-shared("doc_quality_profile", "select d.lang, count(*) docs, count(l.quality) labelled, round(avg(l.quality), 6) quality, round(avg(cast(case when l.doc_id is null then 1 else 0 end as double)), 6) unlabelled from documents d left join labels l on l.doc_id = d.doc_id group by d.lang")
-shared("grouping_sets", "select l_linestatus, l_returnflag, count(*) n, round(sum(l_quantity), 2) qty from lineitem group by grouping sets ((), (l_linestatus), (l_linestatus, l_returnflag))")
-shared("top_k_deficit", "select c_custkey, c_acctbal, row_number() over (order by c_acctbal desc, c_custkey) priority_rank from customer order by c_acctbal desc, c_custkey limit 25")
-shared("set_operations", "select c_nationkey k, 'both' side from customer c intersect select s_nationkey, 'both' from supplier s union all (select c_nationkey, 'customer' from customer c except select s_nationkey, 'customer' from supplier s)")
-shared("dedup_exact", "select doc_id, n_copies from (select doc_id, count(*) over (partition by text) n_copies, row_number() over (partition by text order by doc_id) rn from documents) q where rn = 1")
-shared("weighted_average", "select s_nationkey, coalesce(round(sum(s_acctbal * s_suppkey) / nullif(sum(s_suppkey), 0), 4), 0) w_avg from supplier group by s_nationkey")
-shared("staffing_norms", "with m(cat, need) as (select * from (values ('PROMO', 20), ('STANDARD', 30), ('ECONOMY', 10)) q(cat, need)) select p.p_partkey, case when m.cat is null then 'unknown' when p.p_size >= m.need then 'adequate' else 'inadequate' end state, case when p.p_size < m.need then concat(m.cat, ':', cast(p.p_size as varchar(9)), '/', cast(m.need as varchar(9))) else '' end shortfall from part p left join m on p.p_type like concat(m.cat, '%')")
-shared("totals_reconciliation", "with a as (select l_orderkey k, count(*) n from lineitem group by l_orderkey), b as (select o_orderkey k, o_orderkey % 7 + 1 m from orders) select coalesce(a.k, b.k) k, coalesce(n, 0) n, coalesce(m, 0) m from a full outer join b on a.k = b.k where coalesce(n, 0) <> coalesce(m, 0)")
-shared("reallocation", "select take, cast(floor(1800.0 / take) as bigint) clusters, round(cast(1 as double) + (take - 1) / cast(20 as double), 4) deff, round(cast(1800 as double) / (1 + (take - 1) / cast(20 as double)), 2) n_eff from (values (30), (20), (16), (12), (8), (6)) q(take)")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events")
@@ -665,9 +637,6 @@ def lookup_problems(spark, sf_dir):
     return transfer.lookup_problems(table(spark, sf_dir, "part").select(F.col("p_size").alias("code")), ("46", "48", "49"))
 
 
-shared("cutoff_sweep", "with z as (select c_nationkey zone, sum(case when c_acctbal > 0 then c_acctbal else 0 end) deficit, cast(avg(case when c_acctbal > 4000 then 1.0 else 0.0 end) as double) closure from customer group by c_nationkey) select k cutoff, count(case when closure >= k then 1 end) staffing, count(case when closure < k then 1 end) absent, round(sum(case when closure >= k then deficit else 0 end), 2) by_staffing from z cross join (values (cast(0.10 as double)), (cast(0.15 as double)), (cast(0.25 as double)), (cast(0.40 as double)), (cast(0.60 as double))) c(k) group by k")
-shared("crowded_covered", "with z as (select s_nationkey zone, avg(s_acctbal) staff, count(*) n from supplier group by s_nationkey), p as (select percentile_cont(0.1) within group (order by staff) p10 from z) select zone, round(staff, 6) staff from z cross join p where n >= 1 and staff <= p10")
-shared("hybrid_travel", "with d as (select o_orderkey k, o_totalprice / 1000 direct, o_custkey % 60 walk, o_orderkey % 200 net from orders) select k, round(least(direct, walk + net), 6) as minutes, case when walk + net < direct then 'network' else 'direct' end how from d")
 
 
 @query("with p as (select l_orderkey k, count(*) n, count(*) filter (where l_returnflag = 'R') back, count(distinct l_linenumber) lines from lineitem group by 1), h as (select o_orderkey, o_orderstatus s, o_orderpriority p, cast(o_orderdate as date) d, coalesce(n, 0) n, coalesce(back, 0) back from orders left join p on k = o_orderkey) select o_orderkey, 'size' field, 'constraint' enforcement, 'constraint' violation from h where not (n >= 1 and n <= 5) union all select o_orderkey, 'returns', 'gate', 'answered_but_skipped' from h where s <> 'F' and back > 0 union all select o_orderkey, 'returns', 'gate', 'missing' from h where s = 'F' and back = 0 union all select o_orderkey, 'returns', 'gate', 'constraint' from h where s = 'F' and back > 2 union all select o_orderkey, 'day', 'constraint', 'constraint' from h where not (d >= date '1993-01-01' and d <= date '1997-06-30')")
@@ -700,3 +669,6 @@ def planted_fabricator(spark, sf_dir):
 def layer_checks(spark, sf_dir):
     per = table(spark, sf_dir, "customer").where("c_nationkey <> 3").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
     return quality.layer_checks(table(spark, sf_dir, "nation"), ordering.numbered(per, [F.desc("n"), "n_nationkey"], "rank"), "n_nationkey", "rank")
+
+
+from fieldloom.plans import measures  # noqa: E402,F401  registers its queries

@@ -17,6 +17,34 @@ def text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
 
 
+def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV read by a schema, matched by name whatever the order of its columns; a byte order mark is no part of a name.
+
+    Cells that are not of their type are null, and `_unread` holds such a row's text.
+    """
+    names = spark.read.csv(path, header=True).columns
+    wanted = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
+    lost = set(wanted) - {n.lstrip("\ufeff") for n in names}
+    if lost:
+        raise ValueError(f"{path} lacks {sorted(lost)}")
+    fields = [T.StructField(n.lstrip("\ufeff"), wanted.get(n.lstrip("\ufeff"), T.StringType())) for n in names]
+    whole = spark.read.schema(T.StructType([*fields, T.StructField("_unread", T.StringType())])).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_unread")
+    return whole.select(*wanted, "_unread")
+
+
+def staged(df, name: str, spark: SparkSession) -> DataFrame:
+    """A frame, of pandas or of Spark, as a view of that name for SQL."""
+    view = df if isinstance(df, DataFrame) else spark.createDataFrame(df)
+    view.createOrReplaceTempView(name)
+    return spark.table(name)
+
+
+def replace_table(df: DataFrame, name: str, format: str = "parquet") -> DataFrame:
+    """The table of that name made anew from df, which may not read it."""
+    df.write.format(format).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def csv_union(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Several CSV files by column name, whatever their order; names that a file lacks are null."""
     parts = []
@@ -55,10 +83,13 @@ def mif_points(spark: SparkSession, path: str, names: list[str], delimiter: str
 
 
 def markdown(df: DataFrame, formats: dict[str, str] | None = None, rows: int = 1000) -> str:
-    """A table of at most `rows` rows for a report; numbers by format, null as nothing."""
+    """A table of at most `rows` rows for a report, more are an error; numbers by format, null as nothing."""
     show = lambda c, v: "" if v is None or v != v else (formats or {}).get(c, "{}").format(v)
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} rows are no table for a report")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(show(c, v).replace("|", "\\|") for c, v in zip(df.columns, r)) + " |" for r in df.limit(rows).collect()]
+    lines += ["| " + " | ".join(show(c, v).replace("|", "\\|") for c, v in zip(df.columns, r)) + " |" for r in found]
     return "\n".join(lines)
 
 
