@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.session import cut, shared_root  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What the contracts call white space: space and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,22 +18,6 @@ BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a local one only where that is unset."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if root is None and current.isDefined():
-        root = current.get()
-    if root is None and not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-    if not current.isDefined():
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_root(spark)}/fieldloom-{uuid.uuid4().hex}/{name}"
@@ -71,12 +56,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count proves that it has at most that many rows; else df as it is."""
     return F.broadcast(df) if df.count() <= rows else df
