@@ -110,6 +110,8 @@ class Encoder:
         self._encode(plain)
         for w, core, tail in tailed:
             known[w] = known[core] + known[tail]
+        if max(map(len, missing)) <= KNOWN_BYTES:
+            return []
         return [w for w in chain(missing, plain) if len(w) > KNOWN_BYTES]
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
