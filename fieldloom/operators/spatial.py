@@ -82,6 +82,12 @@ def misplaced(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     return named.where(~within(F.col("_e"), F.col("x"), F.col("y"))).drop("_e")
 
 
+def counterfactual(run, sites: DataFrame, state: str = "state", to: str = "adequate") -> DataFrame:
+    """run(sites) as things are and, by the same function, with every site raised to one state; `scenario` tells them apart."""
+    base = run(sites).withColumn("scenario", F.lit("base"))
+    return base.unionByName(run(sites.withColumn(state, F.lit(to))).withColumn("scenario", F.lit("upgraded")))
+
+
 def access_sweep(distance: DataFrame, zones: DataFrame, thresholds: list[float], speeds: list[float], unknown: dict[str, bool]) -> DataFrame:
     """distance(i, metres, state, pop, zone): the share of people covered for every threshold, speed and treatment of unknown sites.
 

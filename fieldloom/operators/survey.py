@@ -30,9 +30,27 @@ def proportions(rows: DataFrame, fpc: DataFrame | None = None) -> DataFrame:
     for the degrees of freedom. fpc(h, f) gives first-stage fractions. The tables after the first
     aggregation have a row per cluster.
     """
+    return _estimated(_cluster_totals(rows, ["domain"]), fpc)
+
+
+def proportions_by(rows: DataFrame, domains: dict[str, Column], fpc: DataFrame | None = None) -> DataFrame:
+    """proportions() of rows(y, w, h, i, ...) for every level of every domain, as stack_domains() names them.
+
+    Rows are summed by cluster and levels before they are stacked, so each row is read and shuffled once.
+    """
+    named = rows.withColumns({f"_d{k}": c.cast("string") for k, c in enumerate(domains.values())})
+    levels = [f"_d{k}" for k in range(len(domains))]
+    stacked = stack_domains(_cluster_totals(named, levels), {n: F.col(c) for n, c in zip(domains, levels)})
+    return _estimated(stacked.groupBy("domain", "h", "i").agg(*[F.sum(c).alias(c) for c in ("wy", "sw", "sww", "n")]), fpc)
+
+
+def _cluster_totals(rows: DataFrame, by: list[str]) -> DataFrame:
     kept = rows.where(F.col("y").isNotNull() & F.col("w").isNotNull())
     y, w = F.col("y").cast("double"), F.col("w").cast("double")
-    psu = kept.groupBy("domain", "h", "i").agg(F.sum(w * y).alias("wy"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.count(F.lit(1)).alias("n"))
+    return kept.groupBy(*by, "h", "i").agg(F.sum(w * y).alias("wy"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.count(F.lit(1)).alias("n"))
+
+
+def _estimated(psu: DataFrame, fpc: DataFrame | None) -> DataFrame:
     total = psu.groupBy("domain").agg(*[F.sum(c).alias(f"t_{c}") for c in ("wy", "sw", "sww", "n")])
     z = psu.join(total, "domain").withColumn("z", (F.col("wy") - F.col("t_wy") / F.col("t_sw") * F.col("sw")) / F.col("t_sw"))
     strata = z.groupBy("domain", "h").agg(F.count(F.lit(1)).alias("nh"), F.var_samp("z").alias("vz"))

@@ -44,8 +44,10 @@ def category_score(rows: DataFrame, by: list[str], category: str, weights: dict[
     return rows.groupBy(*by).agg((F.sum(value) / F.count(F.lit(1))).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
-def snapped(outside: DataFrame, polygons: DataFrame, reach: float, rounds: int = 40) -> DataFrame:
-    """outside(id, x, y) with the nearest of polygons(zone, ring) and its distance, ties by zone.
+def snapped(outside: DataFrame, polygons: DataFrame, reach: float, rounds: int = 40, ties: bool = False) -> DataFrame:
+    """outside(id, x, y) with the nearest of polygons(zone, ring), its distance, and what a ledger says of it.
+
+    Of polygons equally near the least zone counts; with ties each of them gives a row.
 
     Polygons are dealt to the cells of their box; a point looks in rings of cells that double until
     the nearest is no farther than the ring, so neither side is paired with all of the other.
@@ -54,7 +56,7 @@ def snapped(outside: DataFrame, polygons: DataFrame, reach: float, rounds: int =
 
     found, open_, far = [], outside.select("id", "x", "y"), reach
     if polygons.isEmpty():
-        return open_.limit(0).select("id", F.lit(None).cast("string").alias("zone"), F.lit(0.0).alias("distance"))
+        return open_.limit(0).select("id", F.lit(None).cast("string").alias("zone"), F.lit(0.0).alias("distance"), F.lit("").alias("outcome"), F.lit(0.0).alias("confidence"))
     kept = cut(polygons.select("zone", bbox(F.col("ring")).alias("_b"), edges(F.col("ring")).alias("_edges")))
     for _ in range(rounds):
         cell = lambda c, d=far: F.floor(c / d).cast("long")
@@ -62,13 +64,20 @@ def snapped(outside: DataFrame, polygons: DataFrame, reach: float, rounds: int =
         dealt = dealt.withColumn("_cy", F.explode(F.sequence(cell(F.col("_b.miny") - far), cell(F.col("_b.maxy") + far))))
         placed = open_.withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
         pairs = placed.join(dealt, ["_cx", "_cy"]).select("id", "zone", edge_distance(F.col("_edges"), F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= far)
-        near = cut(pairs.groupBy("id").agg(F.min(F.struct("distance", "zone")).alias("_m")).select("id", "_m.zone", "_m.distance"))
+        if ties:
+            least = pairs.groupBy("id").agg(F.min("distance").alias("_d"))
+            near = cut(pairs.join(least, "id").where(F.col("distance") == F.col("_d")).drop("_d"))
+        else:
+            near = cut(pairs.groupBy("id").agg(F.min(F.struct("distance", "zone")).alias("_m")).select("id", "_m.zone", "_m.distance"))
         found.append(near)
         open_ = cut(open_.join(near.select("id"), "id", "left_anti"))
         if open_.isEmpty():
             break
         far *= 2
-    return reduce(DataFrame.unionByName, found)
+    else:
+        raise ValueError(f"no polygon within {far} after {rounds} rounds; take a larger reach")
+    whole = reduce(DataFrame.unionByName, found)
+    return whole.withColumn("outcome", F.lit("resolved_review")).withColumn("confidence", F.lit(0.7))
 
 
 def preferred(full: DataFrame, other: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:

@@ -345,6 +345,17 @@ def access_sweep(spark, sf_dir):
     return out.select("threshold", "kmh", "treatment", r(F.col("covered"), 2).alias("covered"), r(F.col("share")).alias("share"))
 
 
+@query(f"with {_SITES}, z(scenario, least) as (values ('base', 4000), ('upgraded', -10000)), n as (select scenario, p.i, min(p.d) d from p join s using (j) cross join z where s.cap >= z.least group by 1, 2) select scenario, zone, round(sum(case when d <= 60 then pop else 0 end) / sum(pop), 6) covered from c join n using (i) group by 1, 2")
+def counterfactual_coverage(spark, sf_dir):
+    demand, supply = _sites(spark, sf_dir)
+
+    def covered(sites):
+        near = spatial.nearest(demand, sites.where("state = 'adequate'"), 1, 100.0).select("i", "dist2")
+        return demand.join(near, "i").groupBy("zone").agg(r(F.sum(F.when(F.col("dist2") <= 3600, F.col("pop")).otherwise(0)) / F.sum("pop")).alias("covered"))
+
+    return spatial.counterfactual(covered, supply.withColumn("state", F.when(F.col("cap") >= 4000, "adequate").otherwise("inadequate")))
+
+
 # --- survey ------------------------------------------------------------------------------------
 
 

@@ -57,8 +57,8 @@ def svy_prop_national(spark, sf_dir):
 
 @query(_SVY.format(rows="select 'flag='||l_returnflag domain, l_linestatus h, l_suppkey i, case when l_discount>=0.05 then 1.0 else 0.0 end y, l_quantity w from lineitem union all select 'National', l_linestatus, l_suppkey, case when l_discount>=0.05 then 1.0 else 0.0 end, l_quantity from lineitem"))
 def svy_prop_by_domain(spark, sf_dir):
-    rows = survey.stack_domains(_sample(spark, sf_dir, F.col("l_discount") >= 0.05), {"": F.lit("National"), "flag": F.col("l_returnflag")})
-    return _estimates(survey.proportions(rows))
+    rows = _sample(spark, sf_dir, F.col("l_discount") >= 0.05)
+    return _estimates(survey.proportions_by(rows, {"": F.lit("National"), "flag": F.col("l_returnflag")}))
 
 
 @query(_SVY.format(rows="select c.v domain, l_linestatus h, l_suppkey i, case when l_discount>=c.k then 1.0 else 0.0 end y, l_quantity w from lineitem cross join (values ('d02',0.02),('d05',0.05),('d08',0.08)) c(v,k)"))
@@ -604,12 +604,12 @@ def quality_flags(spark, sf_dir):
 _BOXES = tuple((z, 100 * a, 100 * b, 100 * c, 100 * d) for z, a, b, c, d in _SQUARES)
 
 
-@query(f"with s as (select s_suppkey id, (s_suppkey*7919)%1009*1.0 x, (s_suppkey*104729)%1013*1.0 y from supplier), g(zone, x0, y0, x1, y1) as (values {', '.join(str(b) for b in _BOXES)}), d as (select id, zone, sqrt(power(greatest(x0-x, x-x1, 0), 2) + power(greatest(y0-y, y-y1, 0), 2)) d from s cross join g), n as (select id, zone, d, row_number() over (partition by id order by d, zone) r from d) select id, zone, round(d, 6) distance from n where r = 1 and d > 0")
+@query(f"with s as (select s_suppkey id, (s_suppkey*7919)%1009*1.0 x, (s_suppkey*104729)%1013*1.0 y from supplier), g(zone, x0, y0, x1, y1) as (values {', '.join(str(b) for b in _BOXES)}), d as (select id, zone, sqrt(power(greatest(x0-x, x-x1, 0), 2) + power(greatest(y0-y, y-y1, 0), 2)) d from s cross join g), n as (select id, zone, d, row_number() over (partition by id order by d, zone) r from d) select id, zone, round(d, 6) distance, 'resolved_review' outcome, 0.7 confidence from n where r = 1 and d > 0")
 def snap_outside(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 7919) % 1009).cast("double").alias("x"), ((F.col("s_suppkey") * 104729) % 1013).cast("double").alias("y"))
     zones = spark.createDataFrame([(z, [(a, b), (c, b), (c, d), (a, d)]) for z, a, b, c, d in _BOXES], "zone int, ring array<struct<x:double,y:double>>")
     held = spatial.polygon_join(s, zones, 200.0).select("id").distinct()
-    return transfer.snapped(s.join(held, "id", "left_anti"), zones, 100.0).select("id", "zone", r(F.col("distance")).alias("distance"))
+    return transfer.snapped(s.join(held, "id", "left_anti"), zones, 100.0).withColumn("distance", r(F.col("distance")))
 
 
 @query(f"with s as (select s_nationkey % 4 k, (s_suppkey*7919)%1009*1.0 x, (s_suppkey*104729)%1013*1.0 y from supplier), g(zone, x0, y0, x1, y1) as (values {', '.join(str(b) for b in _BOXES)}) select zone, round(cast(sum(case k when 0 then 3 when 1 then 2 when 2 then 1 else 0 end) as double)/count(*), 6) score, count(*) n from s join g on x between x0 and x1 and y between y0 and y1 group by zone")

@@ -73,8 +73,16 @@ def xform_binds(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(binds).alias("bind")).select(*[attribute(n) for n in ("nodeset", "type", "constraint", "relevant", "required", "calculate")])
 
 
-def mif_points(spark: SparkSession, path: str, names: list[str], delimiter: str = ",") -> DataFrame:
-    """A MapInfo pair of points: the n-th `Point x y` line of .mif with the n-th line of .mid."""
+def mif_points(spark: SparkSession, path: str, names: list[str], delimiter: str = ",", coordinates: str | None = None) -> DataFrame:
+    """A MapInfo pair of points: the n-th `Point x y` line of .mif with the n-th line of .mid.
+
+    coordinates: what the header's CoordSys line must begin with; another system, or none, is an error.
+    """
+    if coordinates is not None:
+        told = spark.read.text(f"{path}.mif", wholetext=True).select(F.regexp_extract("value", r"(?im)^\s*CoordSys\s+(.*?)\s*$", 1)).first()
+        found = told[0] if told else ""
+        if not found.lower().startswith(coordinates.lower()):
+            raise ValueError(f"{path}.mif is in {found!r}, not in {coordinates!r}")
     points = spark.read.text(f"{path}.mif", wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?im)^\s*Point\s+(\S+\s+\S+)"), F.lit(1))).alias("n", "p"))
     lines = spark.read.text(f"{path}.mid", wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n", -1), lambda x: F.trim(x) != "")).alias("n", "line"))
     row = F.from_csv("line", ", ".join(f"`{c}` string" for c in names), {"sep": delimiter})

@@ -143,3 +143,24 @@ def test_readers(spark, tmp_path):
     spark.sql("drop table made_anew")
     with pytest.raises(ValueError, match="more than 2 rows"):
         sources.markdown(spark.range(3), rows=2)
+
+
+def test_points_equally_near_keep_every_polygon(spark):
+    from fieldloom.operators.transfer import snapped
+
+    box = lambda a, c: [(a, 0.0), (c, 0.0), (c, 1.0), (a, 1.0)]
+    zones = spark.createDataFrame([(2, box(0.0, 1.0)), (1, box(3.0, 4.0)), (3, box(9.0, 10.0))], "zone int, ring array<struct<x:double,y:double>>")
+    point = spark.createDataFrame([(7, 2.0, 0.5)], "id int, x double, y double")
+    assert [tuple(r) for r in snapped(point, zones, 5.0).collect()] == [(7, 1, 1.0, "resolved_review", 0.7)]
+    assert sorted(r.zone for r in snapped(point, zones, 5.0, ties=True).collect()) == [1, 2]
+    with pytest.raises(ValueError, match="no polygon"):
+        snapped(point, zones, 0.01, rounds=2)
+
+
+def test_a_layer_in_another_system_stops(spark, tmp_path):
+    (tmp_path / "p.mif").write_text('Version 300\nCoordSys Earth Projection 1, 104\nColumns 1\n  n Char(9)\nData\nPoint 1 2\n')
+    (tmp_path / "p.mid").write_text('"a"\n')
+    row = sources.mif_points(spark, str(tmp_path / "p"), ["n"], coordinates="Earth Projection 1").first()
+    assert (row.n, row.x, row.y) == ("a", 1.0, 2.0)
+    with pytest.raises(ValueError, match="not in"):
+        sources.mif_points(spark, str(tmp_path / "p"), ["n"], coordinates="NonEarth")
