@@ -85,7 +85,7 @@ def alignments(docs: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
 
 
 def _near(words: Column, terms: Column, start: Column, slop: int) -> Column:
-    """(start, length) of the proximity matches that begin at start or up to slop words before."""
+    """(start, length) of the proximity matches that begin at start or up to slop words before; one with nothing between is exact and none."""
     low = F.greatest(start - slop, F.lit(0))
 
     def from_first(head: Column) -> Column:
@@ -99,7 +99,12 @@ def _near(words: Column, terms: Column, start: Column, slop: int) -> Column:
         return F.struct(head.cast("int").alias("start"), (end - head).cast("int").alias("length"), end.alias("end"))
 
     tried = F.transform(F.sequence(low, F.greatest(start, low)), from_first)
-    return F.filter(tried, lambda m: m["end"] > 0)
+    return F.filter(tried, lambda m: (m["end"] > 0) & (m["length"] > F.size(terms)))
+
+
+def _once(items: Column) -> Column:
+    """A sorted array less its repeats; array_distinct compares all pairs of structs."""
+    return F.filter(items, lambda m, i: (i == 0) | ~m.eqNullSafe(F.get(items, i - 1)))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
@@ -123,12 +128,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS
         if not slop:
             return F.struct(exact.alias("exact"), F.filter(exact, lambda m: F.lit(False)).alias("near"))
         loose = lambda m: F.transform(_near(words, m["terms"], m["start"], slop), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), m["phrase"].alias("phrase")))
-        near = F.array_distinct(F.flatten(F.transform(F.filter("met", lambda m: m["length"] > 1), loose)))
+        near = let(F.array_sort(F.flatten(F.transform(F.filter("met", lambda m: m["length"] > 1), loose))), _once)
         return F.struct(exact.alias("exact"), near.alias("near"))
 
     checked = joined.select("doc", "hash", let(words_of(F.col("text")), verify).alias("v"))
-    # a match with nothing between its words is the exact one
-    return checked.select("doc", "hash", "v.exact", F.array_except("v.near", "v.exact").alias("near")).where("size(exact) + size(near) > 0"), windows
+    return checked.select("doc", "hash", "v.exact", "v.near").where("size(exact) + size(near) > 0"), windows
 
 
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP, size: int = PHRASE_WORDS) -> DataFrame:

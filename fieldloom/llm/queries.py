@@ -101,9 +101,11 @@ dw as (select id doc, i, k, array_to_string(w[i:i+k-1], ' ') g from (select id,
 hit as (select doc, i, dw.k, item from dw join iw on dw.k = iw.k and dw.g = iw.g),
 pos as (select doc, count(distinct p) n from (select doc, unnest(range(i, i + k)) p from hit) q group by doc),
 its as (select doc, count(distinct item) n, string_agg(distinct cast(item as varchar), ',' order by cast(item as varchar)) s from hit group by doc),
-lw as (select id doc, i, k, j, array_to_string(list_concat(w[i:i+j-1], w[i+j+1:i+k]), ' ') g
-  from (select id, w, k, j, unnest(range(1, len(w) - k + 1)) i from (select id, w, k, unnest(range(1, k)) j from w, ks where kind = 'd' and len(w) > k)) q),
-loose as (select distinct doc, item from lw join iw on lw.k = iw.k and lw.g = iw.g),
+pw as (select distinct id item, least(len(w), 10) k, w[i:i+9] p from (select id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from w where kind = 'b' and len(w) > 1) q),
+dp as (select id doc, unnest(range(1, len(w) + 1)) pos, unnest(w) word from w where kind = 'd'),
+cand as (select distinct a.doc, a.pos i, k, p, item from pw join dp a on a.word = pw.p[1] join dp b on b.doc = a.doc and b.pos = a.pos + k and b.word = pw.p[k]),
+near as (select c.doc, item, k, p, w.w[i:i+k] s from cand c join w on w.kind = 'd' and w.id = c.doc),
+loose as (select distinct doc, item from near where len(list_filter(range(1, k), lambda j: list_concat(s[1:j], s[j+2:k+1]) = p)) > 0),
 nits as (select doc, count(*) n, string_agg(cast(item as varchar), ',' order by cast(item as varchar)) s from (from loose except select doc, item from hit) q group by doc)
 select w.id doc_id, cast(len(w.w) as bigint) n_words, coalesce(pos.n, 0) n_hit, coalesce(its.n, 0) n_items, sha256(coalesce(its.s, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated,
   coalesce(nits.n, 0) n_near_items, sha256(coalesce(nits.s, '')) near_items_sha256
