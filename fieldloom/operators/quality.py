@@ -90,10 +90,8 @@ def gate(rows: DataFrame, rules: dict[str, Column], strict: bool = False) -> Dat
     for name, rule in rules.items():
         out = out.withColumn(name, rule)
     broken = reduce(lambda a, b: a | b, [F.col(n) for n in rules])
-    label = F.lit(None)
     first = reduce(lambda acc, n: acc.when(F.col(n), n), list(rules)[1:], F.when(F.col(next(iter(rules))), next(iter(rules))))
     first = first.when(broken.isNull(), "UNEVALUABLE") if strict else first
-    del label
     return out.withColumn("valid", F.coalesce(~broken, F.lit(False))).withColumn("gate", first.otherwise("PASS"))
 
 

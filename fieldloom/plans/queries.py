@@ -671,4 +671,4 @@ def layer_checks(spark, sf_dir):
     return quality.layer_checks(table(spark, sf_dir, "nation"), ordering.numbered(per, [F.desc("n"), "n_nationkey"], "rank"), "n_nationkey", "rank")
 
 
-from fieldloom.plans import measures  # noqa: E402,F401  registers its queries
+from fieldloom.plans import expressions, formats, measures  # noqa: E402,F401  they register their queries
