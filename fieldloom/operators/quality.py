@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import chi2_tail
+from fieldloom.operators.ordering import group_quantile
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,8 @@ def age_heaping(children: DataFrame, low: int = 9, high: int = 59, anchors: tupl
 def robust_zs(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """rows with a column per name of columns(name -> column): how far it is from the median in scaled median absolute deviations.
 
-    All medians come from one aggregation and all deviations from another; null where the deviation is 0.
+    All medians come from one aggregation and all deviations from another, which suits tables of a row per
+    interviewer; null where the deviation is 0.
     """
     middle = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{n}") for n, c in columns.items()])
     off = rows.crossJoin(F.broadcast(middle))
@@ -173,8 +175,13 @@ def robust_zs(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def robust_z(rows: DataFrame, column: str) -> DataFrame:
-    """rows with z, the robust distance of one column."""
-    return robust_zs(rows, {"z": column})
+    """rows with z, the robust distance of one column of a table of any size: both medians come from ranges, not from one task."""
+    whole = [F.col(column).cast("double").alias("_v")]
+    middle = group_quantile(rows.select(*whole), [], "_v", 0.5, "_m")
+    off = F.abs(F.col("_v") - F.col("_m")).alias("_o")
+    spread = group_quantile(rows.select(*whole).crossJoin(F.broadcast(middle)).select(off), [], "_o", 0.5, "_d")
+    both = rows.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(spread))  # one row each
+    return both.withColumn("z", F.when(F.col("_d") > 0, (F.col(column) - F.col("_m")) / (1.4826 * F.col("_d")))).drop("_m", "_d")
 
 
 def daily_screen(rows: DataFrame, as_of: str, gap_minutes: float = 2, **limits: float) -> DataFrame:

@@ -76,11 +76,13 @@ def recall_sweep(spark, sf_dir):
 
 @query("select o_orderstatus scope, count(*) n, round(min(o_totalprice),4) least, round(median(o_totalprice),4) median_w, round(avg(o_totalprice),4) mean_w, round(max(o_totalprice),4) most, round(stddev_samp(o_totalprice)/avg(o_totalprice),6) cv, round(count(*)*sum(o_totalprice*o_totalprice)/(sum(o_totalprice)*sum(o_totalprice)),6) kish from orders group by 1")
 def kish_weights(spark, sf_dir):
-    w = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("scope")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.min(w), 4).alias("least"), r(F.percentile(w, F.lit(0.5)), 4).alias("median_w"), r(F.avg(w), 4).alias("mean_w"), r(F.max(w), 4).alias("most"),
+    w, o = F.col("w"), table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("scope"), F.col("o_totalprice").alias("w"))
+    sums = o.groupBy("scope").agg(
+        F.count(F.lit(1)).alias("n"), r(F.min(w), 4).alias("least"), r(F.avg(w), 4).alias("mean_w"), r(F.max(w), 4).alias("most"),
         r(F.stddev_samp(w) / F.avg(w)).alias("cv"), r(F.count(F.lit(1)) * F.sum(w * w) / (F.sum(w) * F.sum(w))).alias("kish"),
     )
+    middle = ordering.group_quantile(o, ["scope"], "w", 0.5, "m").select("scope", r(F.col("m"), 4).alias("median_w"))
+    return sums.join(middle, "scope")
 
 
 @query("with a as (select l_linestatus h, l_extendedprice w, median(l_extendedprice) over (partition by l_linestatus) md, sum(l_extendedprice) over (partition by l_linestatus) t from lineitem), b as (select h, w, least(w, 2*md) c, t from a), d as (select h, w, c*t/sum(c) over (partition by h) x from b) select h, count(*) n, round(sum(x),2) total, round(max(x),4) most, round(sum(w),2) before from d group by h")
@@ -102,10 +104,17 @@ def bootstrap_se(spark, sf_dir):
     return survey.bootstrap(_sample(spark, sf_dir, F.col("l_returnflag") == "R"), reps=500)
 
 
-@query()
+_Z = "1.959963984540054::double"
+#: Student's quantile in SQL: its expansion in 1/df around the normal one, below 1e-4 off from df 9 on.
+_T = f"({_Z} + (power({_Z},3)+{_Z})/(4*df) + (5*power({_Z},5)+16*power({_Z},3)+3*{_Z})/(96.0*df*df) + (3*power({_Z},7)+19*power({_Z},5)+17*power({_Z},3)-15*{_Z})/(384.0*df*df*df) + (79*power({_Z},9)+776*power({_Z},7)+1482*power({_Z},5)-1920*power({_Z},3)-945*{_Z})/(92160.0*df*df*df*df))"
+_BOTH = _SVY.format(rows="select unnest(['National', 'status='||l_linestatus]) domain, l_linestatus h, l_suppkey i, case when l_returnflag='R' then 1.0 else 0.0 end y, l_quantity w from lineitem").replace("round(p,6) p, round(sqrt(v),6) se, n, df", "p, sqrt(v) se, n, df")
+
+
+@query(f"with e as ({_BOTH}), t as (select *, {_T} t from e), x as (select *, p > 0 and p < 1 and se > 0 lg, ln(p/nullif(1-p,0)) m, t*se/nullif(p*(1-p),0) k from t) select domain, round(p,6) p, round(se,6) se, df, round(case when lg then 1/(1+exp(k-m)) else greatest(p-t*se,0) end,4) low, round(case when lg then 1/(1+exp(-m-k)) else least(p+t*se,1) end,4) high, case when lg then 'logit' else 'wald' end ci_used from x")
 def svy_intervals(spark, sf_dir):
     rows = survey.stack_domains(_sample(spark, sf_dir, F.col("l_returnflag") == "R"), {"": F.lit("National"), "status": F.col("h")})
-    return survey.with_intervals(survey.proportions(rows))
+    out = survey.with_intervals(survey.proportions(rows))
+    return out.select("domain", r(F.col("p")).alias("p"), r(F.col("se")).alias("se"), "df", r(F.col("low"), 4).alias("low"), r(F.col("high"), 4).alias("high"), "ci_used")
 
 
 @query("with a as (select l_suppkey id, avg(l_quantity) d, avg(case when l_returnflag='N' then 1.0 else 0 end) c, avg(l_discount) k, avg(case when l_linestatus='O' then 1.0 else 0 end) f from lineitem group by 1), m as (select median(d)*1.9 md, avg(k)*3 mk from a), s as (select id, d < 0.5*md r_short, c >= 0.99 r_perfect, k < 0.3*mk r_cards, f >= 0.5 r_complete from a cross join m), n as (select *, cast(r_short as int)+cast(r_perfect as int)+cast(r_cards as int)+cast(f2 as int) q from (select *, false f2 from s) z) select id, r_short, r_perfect, r_cards, case when q>=3 then 'EXCLUDE' when q>=1 then 'REVIEW' else 'OK' end verdict from n")
@@ -413,7 +422,7 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-_HH = "select o_orderkey hh, cast(o_orderkey % 1100 as int) structure, 10 + (o_orderkey % 200) / 100.0 lat, case when o_orderstatus = 'F' then 1 else 2 end result, cast(case when o_orderkey % 9 = 0 then null else o_custkey % 45 end as int) hh_size, o_orderkey % 3 obtained, case when o_orderkey % 3 = 1 then lpad(cast(480000 + o_orderkey % 1000 as varchar(9)), 6, '0') when o_orderkey % 30 = 0 then '480001' end serial, 480000 lo, 480899 hi from orders"
+_HH = "select o_orderkey hh, cast(o_orderkey % 1100 as int) structure, 10 + (o_orderkey % 200) / 100.0 lat, case when o_orderstatus = 'F' then 1 else 2 end result, cast(case when o_orderkey % 9 = 0 then null else o_custkey % 45 end as int) hh_size, o_orderkey % 3 obtained, case when o_orderkey % 3 = 1 then lpad(cast(480000 + o_orderkey % 1000 as varchar(9)), 6, '0') when o_orderkey % 30 = 0 then '480001' end serial, 480000 lo, 480899 hi, case when o_orderkey % 4 <> 0 then 1 end roster_gate, cast(o_custkey % 45 as int) + case when o_orderkey % 10 = 0 then 1 else 0 end n_roster, case when o_orderkey % 5 <> 0 then cast(o_orderkey % 500 as double) / 10 - 5 + case when o_orderkey % 50 = 1 then 0.05 else 0.0 end end temp from orders"
 
 
 @query(f"""
@@ -423,6 +432,10 @@ with h as ({_HH}), v as (
   union all select hh, 'C-3.01', 'hh_size', 'answered_but_skipped' from h where result <> 1 and hh_size is not null
   union all select hh, 'C-3.01', 'hh_size', 'missing' from h where result = 1 and hh_size is null
   union all select hh, 'C-3.01', 'hh_size', 'constraint' from h where result = 1 and not hh_size between 1 and 40
+  union all select hh, 'C-3.01g', 'roster_gate', 'answered_but_skipped' from h where result <> 1 and roster_gate is not null
+  union all select hh, 'C-3.01g', 'roster_gate', 'constraint' from h where result = 1 and roster_gate is not null and not coalesce(n_roster = hh_size, false)
+  union all select hh, 'C-5.05', 'temp', 'answered_but_skipped' from h where obtained <> 1 and temp is not null
+  union all select hh, 'C-5.05', 'temp', 'constraint' from h where obtained = 1 and temp is not null and not (temp between -5.0 and 40.0 and temp = round(temp, 1))
   union all select hh, 'C-5.03a', 'serial', 'answered_but_skipped' from h where obtained <> 1 and serial is not null
   union all select hh, 'C-5.03a', 'serial', 'missing' from h where obtained = 1 and serial is null
   union all select hh, 'C-5.03a', 'serial', 'constraint' from h where obtained = 1 and not (cast(serial as int) between lo and hi))
@@ -436,9 +449,10 @@ def rule_violations(spark, sf_dir):
         k.alias("hh"), (k % 1100).cast("int").alias("structure"), (10 + (k % 200) / 100).alias("lat"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("result"),
         F.when(k % 9 != 0, (F.col("o_custkey") % 45).cast("int")).alias("hh_size"), (k % 3).alias("obtained"),
         F.when(k % 3 == 1, F.lpad((480000 + k % 1000).cast("string"), 6, "0")).when(k % 30 == 0, F.lit("480001")).alias("serial"), F.lit(480000).alias("lo"), F.lit(480899).alias("hi"),
+        F.when(k % 4 != 0, 1).alias("roster_gate"), ((F.col("o_custkey") % 45).cast("int") + F.when(k % 10 == 0, 1).otherwise(0)).alias("n_roster"),
+        F.when(k % 5 != 0, (k % 500).cast("double") / 10 - 5 + F.when(k % 50 == 1, 0.05).otherwise(0.0)).alias("temp"),
     )
-    rules = [r for r in HOUSEHOLD if r.rule_id in ("C-1.06", "C-1.11", "C-3.01", "C-5.03a")]
-    return violations(h, rules, ["hh"]).groupBy("rule_id", "field", "violation").agg(F.count(F.lit(1)).alias("n"), F.min("hh").alias("first_hh"))
+    return violations(h, HOUSEHOLD, ["hh"]).groupBy("rule_id", "field", "violation").agg(F.count(F.lit(1)).alias("n"), F.min("hh").alias("first_hh"))
 
 
 @query("with h as (select o_orderkey hh, o_orderkey % 7 + 1 hh_size from orders), p as (select l_orderkey hh, count(*) n, count(*) filter (where l_linenumber = 1) heads, count(l_partkey) s, count(distinct l_partkey) d from lineitem group by 1), j as (select h.hh, hh_size, coalesce(n,0) n, coalesce(heads,0) heads, coalesce(s,0) s, coalesce(d,0) d from h left join p using (hh)) select hh, n <> hh_size size_differs, heads <> 1 not_one_head, s <> d serial_repeats from j")
@@ -466,14 +480,32 @@ def response_model(spark, sf_dir):
     return spark.createDataFrame([(float(m["mcfadden"]), float(m["lr_p"]), m["coefficients"])], "mcfadden double, lr_p double, coefficients array<double>")
 
 
-@query()
+_CLASS = "case when abs(v - a) <= abs(v - b) and abs(v - a) <= abs(v - c) then 1 when abs(v - b) <= abs(v - c) then 2 else 3 end"
+
+
+@query(f"with recursive p as (select s_acctbal::double v from supplier), w(n, a, b, c) as (select 0, min(v), (min(v) + max(v)) / 2, max(v) from p union all select n + 1, coalesce(avg(v) filter (where k = 1), any_value(a)), coalesce(avg(v) filter (where k = 2), any_value(b)), coalesce(avg(v) filter (where k = 3), any_value(c)) from (select n, a, b, c, v, {_CLASS} k from w cross join p where n < 100) q group by n), e as (select * from w where n = 100) select {_CLASS} class, max(v) break from p cross join e group by 1")
 def natural_breaks(spark, sf_dir):
     from fieldloom.operators.classify import natural_breaks as breaks
 
-    return breaks(table(spark, sf_dir, "part"), "p_retailprice")
+    return breaks(table(spark, sf_dir, "supplier"), "s_acctbal")
+
+
+_RIVALS = """
+with recursive s as (select c_custkey % 400 code, c_custkey ord, c_mktsegment d, c_custkey % 11 = 0 m, c_custkey % 3 = 0 a, row_number() over (partition by c_custkey % 400 order by c_custkey) rn from customer),
+w as (select code, rn, ord, d, m, a, [ord][2:] lost, 'unique' why from s where rn = 1
+  union all
+  select code, rn, case when new then bo else ao end, case when new then bd else ad end, case when new then bm else am end, case when new then ba else aa end,
+    case when why = 'conflict' then [ao, bo] when new then [ao] else [bo] end, why
+  from (select *, why in ('conflict_transfer', 'conflict_authority') and case when bm <> am then bm else ba end new from (
+    select s.code, s.rn, w.ord ao, w.d ad, w.m am, w.a aa, s.ord bo, s.d bd, s.m bm, s.a ba,
+      case when s.d = w.d then 'duplicate' when s.m <> w.m then 'conflict_transfer' when s.a <> w.a then 'conflict_authority' else 'conflict' end why
+    from w join s on s.code = w.code and s.rn = w.rn + 1) x) y),
+l as (select code, unnest(lost) ord, rn, why from w), f as (select code, ord, arg_max(why, rn) why from l group by 1, 2)
+select cast(s.code as varchar) code, s.ord, f.ord is null kept, coalesce(f.why, 'unique') outcome from s left join f on f.code = s.code and f.ord = s.ord
+"""
 
 
-@query()
+@query(_RIVALS)
 def adjudicate_dupes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     rows = c.select((F.col("c_custkey") % 400).cast("string").alias("code"), F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("district"), F.when(F.col("c_custkey") % 11 == 0, "Transferred by gazette").alias("remark"), (F.col("c_custkey") % 3 == 0).alias("agrees"))
