@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import streaming
 from fieldloom.functions import geo, numeric, text
-from fieldloom.operators import fieldwork, measures, ordering, quality, reconcile, response, rules, spatial, survey, transfer
+from fieldloom.operators import fieldwork, forms, measures, ordering, quality, reconcile, response, rules, spatial, survey, transfer
 from fieldloom.plans.queries import _SVY, _estimates, _sample, query, r
 from fieldloom.session import table
 
@@ -117,6 +117,60 @@ def road_segments(spark, sf_dir):
     return spatial.road_edges(way.unionByName(slow).unionByName(loop))
 
 
+_LONLAT = "3 + c_custkey % 120 / 10.0::double lon, 4 + c_custkey % 97 / 10.0::double lat"
+_AUTHALIC = "(1-e2)*({0}/(1-e2*{0}*{0}) - ln((1-sqrt(e2)*{0})/(1+sqrt(e2)*{0}))/(2*sqrt(e2)))"
+
+
+@query(f"""
+with e as (select 6378137.0::double a, (1/298.257223563::double)*(2 - 1/298.257223563::double) e2, sin(radians(20)) s1, sin(radians(-23)) s2),
+p as (select *, cos(radians(20))**2/(1-e2*s1*s1) m1, cos(radians(-23))**2/(1-e2*s2*s2) m2, {_AUTHALIC.format('s1')} q1, {_AUTHALIC.format('s2')} q2 from e),
+c as (select *, (m1-m2)/(q2-q1) n from p), d as (select *, m1 + n*q1 c from c),
+k as (select c_custkey, {_LONLAT} from customer), x as (select c_custkey, d.*, sin(radians(lat)) s, n*radians(lon-25) th from k cross join d),
+y as (select *, a*sqrt(c - n*{_AUTHALIC.format('s')})/n rho from x)
+select c_custkey, round(rho*sin(th), 3) x, round(a*sqrt(c)/n - rho*cos(th), 3) y from y
+""")
+def projected_points(spark, sf_dir):
+    k = F.col("c_custkey")
+    at = geo.project(3 + k % 120 / 10, 4 + k % 97 / 10)
+    return table(spark, sf_dir, "customer").select("c_custkey", at.alias("p")).select("c_custkey", r(F.col("p.x"), 3).alias("x"), r(F.col("p.y"), 3).alias("y"))
+
+
+# --- forms -------------------------------------------------------------------------------------
+
+
+@query("select c_custkey, n_name nation, c_name[1:8] head, cast(length(c_name) as double) long_, c_mktsegment || '/' || c_nationkey place, case when c_mktsegment[1:1] in ('A', 'B') then 'early' else 'late' end part, case when c_acctbal < 0 then ceil(c_acctbal::double) else floor(c_acctbal::double) end whole from customer left join nation on n_nationkey = c_nationkey")
+def form_functions(spark, sf_dir):
+    """Calculated fields of a form over customers as submissions: a lookup pulled through, parts, lengths, choices of a value."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_acctbal")
+    form = [
+        forms.Bind("/data/nation", calculate="pulldata('nations', 'n_name', 'n_nationkey', ${c_nationkey})"), forms.Bind("/data/head", calculate="substr(${c_name}, 0, 8)"),
+        forms.Bind("/data/long_", calculate="string-length(${c_name})"), forms.Bind("/data/place", calculate="concat(${c_mktsegment}, '/', ${c_nationkey})"),
+        forms.Bind("/data/part", calculate="if(starts-with(${c_mktsegment}, 'A') or regex(${c_mktsegment}, 'B.*'), 'early', 'late')"), forms.Bind("/data/whole", calculate="int(${c_acctbal})"),
+    ]
+    return forms.derived(c, form, lookups={"nations": table(spark, sf_dir, "nation")}).select("c_custkey", *[b.name for b in form])
+
+
+@query("""
+with o as (select o_orderkey k, cast(cast(o_orderdate as date) as varchar) d, o_clerk c, round(o_totalprice / 1000, case when o_orderkey % 3 = 0 then 2 else 1 end) t from (select *, 'Clerk ' || (o_custkey % 1000) o_clerk from orders) q)
+select k, 'd' field, 'constraint' violation from o where d > '1995-06-17' union all select k, 'c', 'constraint' from o where not regexp_full_match(c, 'Clerk [0-9]{1,2}') or length(c) > 7
+union all select k, 't', 'constraint' from o where abs(t - round(t, 1)) > 0.001
+""")
+def form_constraints(spark, sf_dir):
+    """No later than today, a whole-value pattern with a length, one decimal at most."""
+    price = F.col("o_totalprice") / 1000
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").cast("string").alias("d"), F.concat(F.lit("Clerk "), (F.col("o_custkey") % 1000).cast("string")).alias("c"), F.when(F.col("o_orderkey") % 3 == 0, F.round(price, 2)).otherwise(F.round(price, 1)).alias("t"))
+    form = [forms.Bind("/data/d", "date", ". <= today()"), forms.Bind("/data/c", constraint="regex(., 'Clerk [0-9]{1,2}') and string-length(.) <= 7"), forms.Bind("/data/t", "decimal", ". = round(., 1)")]
+    return forms.violations(o, form, ["k"], as_of="1995-06-17").select("k", "field", "violation")
+
+
+@query("select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag)::int line, l_linenumber number, l_returnflag flag from lineitem")
+def repeat_entries(spark, sf_dir):
+    """The entries of a repeat as rows of their own, numbered in their order."""
+    entry = F.struct(F.col("l_linenumber").alias("number"), F.col("l_returnflag").alias("flag"))
+    homes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("roster"))
+    return forms.entries(homes, "roster").drop("roster")
+
+
 # --- tables ------------------------------------------------------------------------------------
 
 
