@@ -152,9 +152,40 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round as an assignment and its means; inner products of integers below 2^53 are exact in doubles."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (
+  select x.vec_id, x.p, min(cast(list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.c) + list_inner_product(b.c, b.c) as hugeint) * 256 + b.e) m from x join b{r} b using (p) group by x.vec_id, x.p)""")
+        if r < rounds:
+            steps.append(f"""g{r} as (select x.p, cast(m % 256 as bigint) e, i, floor(sum(x.v[i]) / count(*)) y from a{r} join x using (vec_id, p), s group by all),
+b{r + 1} as materialized (select b.p, b.e, coalesce(n.c, b.c) c from b{r} b left join (select p, e, list(y order by i) c from g{r} group by p, e) n using (p, e))""")
+    return f"""
+with k as materialized (
+  select vec_id, label, list_transform(embedding, lambda y: floor(1024.0 * cast(y as double))) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+w as (select cast(max(len(v)) // {parts} as bigint) w from k),
+s as (select unnest(range(1, w + 1)) i from w),
+x as materialized (select vec_id, p, v[p * w + 1:(p + 1) * w] v from k, w, range({parts}) t(p)),
+b0 as materialized (select p, r e, v c from x join (select vec_id, row_number() over (order by vec_id) - 1 r from k) o using (vec_id) where r < {entries}),
+{", ".join(steps)},
+f as (select vec_id, string_agg(printf('%02x', cast(m % 256 as bigint)), '' order by p) code, cast(sum(m // 256) as bigint) error from a{rounds} group by vec_id),
+h as (select sha256(string_agg(array_to_string(list_transform(c, lambda y: cast(cast(y as bigint) as varchar)), ','), ',' order by p, e)) h from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, h codebooks_sha256 from f join k using (vec_id), h
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier, "op6_html_extract": op6_html_extract, "op7_packing": op7_packing, "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_decontaminate": OP9}
+ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_decontaminate": OP9, "op13_vector_codes": _op13()}
