@@ -152,6 +152,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.common import scratch
+    from fieldloom.llm.token_files import read, write
+
+    path = scratch(spark, "token-ids")
+    write(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.vector_codes import compress
 
@@ -186,6 +195,6 @@ QUERIES = {
     "op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier, "op6_html_extract": op6_html_extract, "op7_packing": op7_packing, "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii,
-    "op13_vector_codes": op13_vector_codes,
+    "op11_token_files": op11_token_files, "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_decontaminate": OP9, "op13_vector_codes": _op13()}
