@@ -161,6 +161,31 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.common import blank_words, let
+    from fieldloom.llm.tandem import tandem_runs
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: F.Column) -> F.Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), at), " "))
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text", F.when(h % 10 == 0, let(blank_words(F.col("text")), repeated)).otherwise(F.col("text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return tandem_runs(docs).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.shorter")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * -best.shorter) div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.vector_codes import compress
 
@@ -195,6 +220,6 @@ QUERIES = {
     "op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier, "op6_html_extract": op6_html_extract, "op7_packing": op7_packing, "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii,
-    "op11_token_files": op11_token_files, "op13_vector_codes": op13_vector_codes,
+    "op11_token_files": op11_token_files, "op12_tandem_runs": op12_tandem_runs, "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {"op1_warc": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_decontaminate": OP9, "op13_vector_codes": _op13()}
