@@ -37,17 +37,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from fieldloom.llm.elias_fano import EliasFano
+from fieldloom.llm.packing import BYTE_LETTERS
 
 FORMAT, MAGIC, MANIFEST, END_ID = "fieldloom_token_files", b"FLTOKEN1", "manifest.json", 2
 #: Ids after which a task begins a new file, and those of a range that is read at once.
 FILE_IDS, RANGE_IDS = 1 << 27, 1 << 21
 #: Pieces of text whose ids a worker remembers, and the bytes of the longest.
-KNOWN, KNOWN_BYTES = 600_000, 64
+KNOWN, KNOWN_BYTES = 500_000, 64
 
 _SPACE = re.compile(r" (?=[^\s᠎])")
 _ODD_SPACE = re.compile(r" (?:[\s᠎]|\Z)")
-#: Marks that never begin a contraction or continue a word or number.
+#: Marks that never begin a contraction nor go on with a word; a row of them is one word.
 _MARKS = ".,!?;:"
+BYTE_LETTERS_OF_SPACE = chr(BYTE_LETTERS[ord(" ")])
 
 
 class Encoder:
@@ -66,75 +68,98 @@ class Encoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.end = np.array([end_id], self.kind).tobytes()
+        #: Ids of pieces with a space before them, and of letters or marks alone without one.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _parts(self, piece: str) -> list[str]:
-        """The piece cut where its words surely end: before marks that close it, and around a lone line break."""
-        if "\n" in piece:
-            parts = piece.split("\n")
-            if all(p and not p[0].isspace() and not p[-1].isspace() for p in [parts[0].removeprefix(" "), *parts[1:]]):
-                return [q for k, p in enumerate(parts) for q in ([] if k == 0 else ["\n"]) + self._parts(p)]
-            return [piece]
-        core = piece.rstrip(_MARKS)
-        bare = core.removeprefix(" ")
-        if len(core) < len(piece) and bare.isalpha() and max(bare) < "ɐ":
-            return [core, piece[len(core) :]]
-        return [piece]
-
-    def _learn(self, missing: list[str]) -> list[str]:
-        """Learns pieces; gives those too long to be remembered after this once."""
-        if len(self.known) > KNOWN:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        parts = {}
+    def _merged(self, word: str, spaced: bool = False) -> bytes:
+        """Ids of what the vocabulary surely takes as one word, by its merges alone."""
+        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if spaced:
+            letters = BYTE_LETTERS_OF_SPACE + letters
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The same, remembered; for words without a space before them."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > KNOWN:
+                self.words = {}
+            ids = self._merged(word)
+            if len(word) <= KNOWN_BYTES:
+                self.words[word] = ids
+        return ids
+
+    def _spaced(self, word: str) -> bytes:
+        """The same with the space before it; such a word is a piece itself."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.before.get(word)
+            if ids is None:
+                ids = self._merged(word, True)
+            if len(word) <= KNOWN_BYTES:
+                self.known[word] = ids
+        return ids
+
+    def _learned(self, missing: dict[str, None], word) -> dict[str, bytes]:
+        """Ids of pieces; word() gives those of letters alone. Most are letters and marks that close them, and lone line breaks."""
+        out, rest, line_end = {}, [], self._word("\n")
         for piece in missing:
-            if piece in before:
-                known[piece] = before[piece]
+            ids = []
+            of = word
+            for part in piece.split("\n") if "\n" in piece else (piece,):
+                core = part.rstrip(_MARKS)
+                if not core.isalpha() or not (core.isascii() or max(core) < "ɐ"):
+                    rest.append(piece)
+                    break
+                ids.append(of(core) if len(core) == len(part) else of(core) + self._word(part[len(core) :]))
+                of = self._word
             else:
-                parts[piece] = self._parts(piece)
-        new = []
-        for q in dict.fromkeys(chain.from_iterable(parts.values())):
-            if q in before:
-                known[q] = before[q]
-            elif q not in known:
-                new.append(q)
-        known.update(zip(new, self._encode(new)))
-        for piece, of in parts.items():
-            if len(of) > 1:
-                known[piece] = b"".join([known[q] for q in of])
-        return [p for p in chain(parts, new) if len(p) > KNOWN_BYTES]
+                out[piece] = ids[0] if len(ids) == 1 else line_end.join(ids)
+        out.update(zip(rest, self._encode(rest if word == self._word else [" " + p for p in rest])))
+        return out
+
+    def _learn(self, missing: dict[str, None]) -> dict[str, bytes]:
+        """Ids of pieces that are not known; those that may come again are known from now on."""
+        before, known = self.before, self.known
+        out = {p: before[p] for p in missing if p in before}
+        if out:
+            missing = {p: None for p in missing if p not in out}
+        out |= self._learned(missing, self._spaced)
+        known.update((p, ids) for p, ids in out.items() if len(p) <= KNOWN_BYTES and "\n" not in p)
+        if len(known) > KNOWN:
+            self.known, self.before = {}, known
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as bytes, with the end id."""
-        pieces: list[list[str]] = []
-        whole = []
+        out, heads, pieces, found = [self.end] * len(texts), {}, {}, {}
+        get, missing = self.known.get, {}
         for k, text in enumerate(texts):
             if not text:
-                pieces.append([])
-            elif any(s in text for s in self.special):
-                pieces.append([])
-                whole.append(k)
-            else:
-                cut = text.split(" ") if not _ODD_SPACE.search(text) else _SPACE.split(text)
-                first = cut[0]
-                cut = list(map(" ".__add__, cut))
-                cut[0] = first
-                pieces.append(cut)
-        here = dict.fromkeys(chain.from_iterable(pieces))
-        found = list(map(self.known.get, here))
-        if None in found:
-            long = self._learn([p for p, f in zip(here, found) if f is None])
-            found = [self.known[p] if f is None else f for p, f in zip(here, found)]
-            for p in long:
-                self.known.pop(p, None)
-        here = dict(zip(here, found))
-        out = [b"".join(map(here.__getitem__, p)) + self.end for p in pieces]
-        for k in whole:
-            out[k] = self._encode([texts[k]])[0] + self.end
+                continue
+            if any(s in text for s in self.special):
+                out[k] = self._encode([text])[0] + self.end
+                continue
+            cut = text.split(" ") if not _ODD_SPACE.search(text) else _SPACE.split(text)
+            heads[k] = cut[0]
+            cut[0] = None
+            pieces[k], ids = cut, list(map(get, cut))
+            found[k] = ids
+            if ids.count(None) > 1:
+                missing.update((p, None) for p, i in zip(cut, ids) if i is None)
+        missing.pop(None, None)
+        new, first = self._learn(missing), self._learned(dict.fromkeys(heads.values()), self._word)
+        for k, ids in found.items():
+            if ids.count(None) > 1:
+                ids = [new.get(p) if i is None else i for p, i in zip(pieces[k], ids)]
+            ids[0] = first[heads[k]]
+            ids.append(self.end)
+            out[k] = b"".join(ids)
         return out
 
 
