@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import clean_text, match_key, similarity
-from fieldloom.operators.ordering import numbered, small
+from fieldloom.functions.text import clean_text, match_key
+from fieldloom.operators.fuzzy import most_similar
+from fieldloom.operators.ordering import numbered
+from fieldloom.session import cut
 
 ACCEPT, REVIEW = 0.88, 0.75
 
@@ -23,7 +25,7 @@ def cascade(values: DataFrame, authority: DataFrame, accept: float = ACCEPT, rev
 
     Of names with one key, and of keys that are equally like a value, the first counts: by authority's
     `ord` where it has one, else by name. Only distinct keys that neither of the first tiers settles
-    reach the fuzzy one, a stated query set against all keys of the authority, in blocks.
+    reach the fuzzy one, which finds the most similar key by an index (operators.fuzzy).
     """
     order = F.struct(*(["ord"] if "ord" in authority.columns else []), "name")
     names = authority.select(clean_text(F.col("name"), True).alias("name"), *(["ord"] if "ord" in authority.columns else []))
@@ -33,8 +35,9 @@ def cascade(values: DataFrame, authority: DataFrame, accept: float = ACCEPT, rev
     exact = raw.join(names.select(F.col("name").alias("clean"), F.col("name").alias("exact")), "clean", "left")
     keyed = exact.join(keys, "key", "left")
     open_ = keyed.where(F.col("exact").isNull() & F.col("by_key").isNull()).select(F.col("key").alias("k")).distinct()
-    scored = open_.crossJoin(small(keys)).withColumn("score", similarity(F.col("k"), F.col("key")))
-    best = scored.groupBy(F.col("k").alias("key")).agg(F.min_by(F.struct("score", F.col("by_key").alias("name")), F.struct(-F.col("score"), F.col("first"))).alias("best"))
+    keys = cut(keys)
+    alike = most_similar(open_, keys).select(F.col("k"), "score", "key").join(keys.select("key", "by_key"), "key")
+    best = alike.select(F.col("k").alias("key"), F.struct("score", F.col("by_key").alias("name")).alias("best"))
     joined = keyed.join(best, "key", "left")
     score = F.col("best.score")
     tiers = F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_key").isNotNull(), "normalised").when(score >= accept, "fuzzy_accepted").when(score >= review, "fuzzy_review").otherwise("unresolved")

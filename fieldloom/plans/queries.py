@@ -271,7 +271,26 @@ def match_cascade(spark, sf_dir):
     return out
 
 
-@query()
+_FUZZY = """with recursive s as (select s_suppkey ord, s_name name, upper(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) key from supplier),
+q as (select distinct left(s_name, 14) || 'x' || reverse(substr(s_name, 15, 4)) raw from supplier),
+o as (select raw, upper(regexp_replace(raw, '[^A-Za-z0-9]+', '', 'g')) k from q),
+piece as (
+  select k, key, k a, key b, 0 m from o, s
+  union all
+  select k, key, unnest([left(a, i - 1), substr(a, i + l), '']), unnest([left(b, j - 1), substr(b, j + l), '']), unnest([0, 0, l])
+  from (select k, key, a, b, l, i, strpos(b, substr(a, i, l)) j from (
+    select k, key, a, b, best.l l, -best.n i from (
+      select k, key, a, b, list_max(flatten([[{'l': y, 'n': -x} for y in range(1, length(a) - x + 2) if contains(b, substr(a, x, y))] for x in range(1, length(a) + 1)])) best
+      from piece where a <> '' and b <> '') p where best is not null) p) p),
+score as (select k, key, 2.0 * sum(m) / (length(k) + length(key)) v from piece group by k, key),
+best as (select k, v, name, row_number() over (partition by k order by v desc, ord) r from score join s using (key))
+select row_number() over (order by raw) ledger_id, 'crosswalk' stage, 'supplier' field, raw raw_value, case when v >= 0.75 then name end resolved_value,
+  case when v >= 0.88 then 'fuzzy_accepted' when v >= 0.75 then 'fuzzy_review' else 'unresolved' end "method", v confidence,
+  case when v >= 0.88 then 'resolved' when v >= 0.75 then 'resolved_review' else 'unresolved' end outcome
+from o join best using (k) where r = 1"""
+
+
+@query(_FUZZY)
 def match_fuzzy(spark, sf_dir):
     """Every supplier's name with two digits turned round, against all names: ties are many, and the first counts."""
     names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
