@@ -157,6 +157,8 @@ def most_similar(names: DataFrame, authority: DataFrame, rings: tuple[float, ...
     Of equally similar keys the one with the smallest `first` counts. A name that shares no character with any key has no row,
     nor has an empty one.
     """
+    if any(t <= 2 / 3 for t in rings):
+        raise ValueError("the bound on common pairs says nothing at 2/3 and below")
     open_ = cut(names.select("k").where("k <> ''").distinct())
     n = open_.count()
     if not n:
@@ -170,8 +172,6 @@ def most_similar(names: DataFrame, authority: DataFrame, rings: tuple[float, ...
     found = open_.limit(0).select("k", F.lit("").alias("key"), F.lit(0.0).alias("score"))
     settled = open_.limit(0)
     for t in rings:
-        if t <= 2 / 3:
-            raise ValueError("the bound on common pairs says nothing at 2/3 and below")
         scored = cut(_ring(own, all_keys, t))
         done = scored.where(F.col("score") >= t).select("k").distinct()
         found, settled = found.unionByName(scored), settled.unionByName(done)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geo import bbox, edges, intersects, representative_point, within
+from fieldloom.operators.networks import components, travel_times  # noqa: F401
 from fieldloom.operators.ordering import numbered
 from fieldloom.session import cut
 
@@ -149,33 +150,6 @@ def road_edges(segments: DataFrame) -> DataFrame:
     return ends.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.min("minutes").alias("minutes"))
 
 
-def _relax(start: DataFrame, edge: DataFrame, step, value: str, every: int, rounds: int) -> DataFrame:
-    """start(node, value) lowered along edge(src, dst, ...) until nothing changes; lineage is cut by checkpoints."""
-    both = cut(edge.unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edge.columns if c not in ("src", "dst")])))
-    now, before = cut(start), None
-    for _ in range(rounds):
-        for _ in range(every):
-            sent = now.join(both, now["node"] == both["src"]).select(F.col("dst").alias("node"), step().alias(value))
-            now = now.unionByName(sent).groupBy("node").agg(F.min(value).alias(value))
-        now = cut(now)
-        said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", value).cast("decimal(38,0)"))).first()
-        if said == before:
-            return now
-        before = said
-    raise ValueError(f"still changing after {rounds} rounds of {every} steps")
-
-
-def components(edge: DataFrame, every: int = 4, rounds: int = 100_000) -> DataFrame:
-    """(node, component) by spreading the least node name."""
-    nodes = edge.select(F.col("src").alias("node")).union(edge.select(F.col("dst").alias("node"))).distinct()
-    return _relax(nodes.withColumn("component", F.col("node")), edge.select("src", "dst"), lambda: F.col("component"), "component", every, rounds)
-
-
-def travel_times(edge: DataFrame, sources: DataFrame, every: int = 4, rounds: int = 100_000) -> DataFrame:
-    """(node, minutes) from the nearest of sources(node, minutes), whatever the number of sources."""
-    return _relax(sources.select("node", "minutes"), edge.select("src", "dst", F.col("minutes").alias("_cost")), lambda: F.col("minutes") + F.col("_cost"), "minutes", every, rounds)
-
-
 def demand_grid(zones: DataFrame) -> DataFrame:
     """zones(zone, ring in metres, km2) -> sample points (zone, x, y), spacing by area, a point surely inside where none falls there."""
     step = F.least(F.greatest(F.sqrt(F.col("km2") / 30) * 1000, F.lit(700.0)), F.lit(12000.0))

@@ -419,6 +419,16 @@ def travel_time(spark, sf_dir):
     return spatial.travel_times(_roads(spark, sf_dir), spark.createDataFrame([("1", 0.0)], "node string, minutes double"))
 
 
+@query("with o as (select row_number() over (order by o_orderkey) n, 1.0 + o_orderkey % 7 c from orders), s as (select n, coalesce(sum(c) over (order by n rows between unbounded preceding and 1 preceding), 0.0) f from o) select n node, cast(least(f, 5.0 + (select max(f) from s) - f) as double) \"minutes\" from s")
+def road_way(spark, sf_dir):
+    """All orders as the nodes of one long way, entered from both ends: rounds follow its logarithm."""
+    orders = ordering.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "n")
+    way = orders.select(F.col("n").alias("src"), (F.col("n") + 1).alias("dst"), (1.0 + F.col("o_orderkey") % 7).alias("minutes"))
+    last = orders.agg(F.max("n").alias("n"))
+    ends = spark.createDataFrame([(1, 0.0)], "node long, minutes double").unionByName(last.where("n is not null").select(F.col("n").alias("node"), F.lit(5.0).alias("minutes")))
+    return spatial.travel_times(way.join(F.broadcast(last), way["dst"] <= last["n"]).select("src", "dst", "minutes"), ends)
+
+
 @query(f"with g(zone, x0, y0, x1, y1) as (values {', '.join(str((z, 9000 * a, 9000 * b, 9000 * c, 9000 * d)) for z, a, b, c, d in _SQUARES)}), s as (select *, least(greatest(sqrt((x1-x0)*(y1-y0)/1e6/30)*1000, 700), 12000) s from g), a as (select zone, y0, y1, s, x0, x1, unnest(generate_series(0, cast(floor((x1-x0)/s) as bigint))) i from s), b as (select *, unnest(generate_series(0, cast(floor((y1-y0)/s) as bigint))) j from a) select zone, round(x0 + s*(i+0.5), 4) x, round(y0 + s*(j+0.5), 4) y from b where x0 + s*(i+0.5) < x1 and y0 + s*(j+0.5) < y1")
 def demand_points(spark, sf_dir):
     rows = [(z, [(a * 9000, b * 9000), (c * 9000, b * 9000), (c * 9000, d * 9000), (a * 9000, d * 9000)], (c - a) * (d - b) * 81) for z, a, b, c, d in _SQUARES]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +56,36 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The tables of an iteration: each is written to the shared folder and read again, and takes the place of the one of its name before.
+
+    So lineage ends at each round, a lost executor costs no more than its tasks, and a long iteration holds as much space as
+    its last round. What stands at the end stays until the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.at, self.number = spark, f"{shared_root(spark)}/fieldloom-{uuid.uuid4().hex}", {}, 0
+        atexit.register(self._remove, self.root)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df as a table; what was kept under this name before may no longer be read."""
+        self.number += 1
+        path = f"{self.root}/{name}-{self.number}"
+        df.write.parquet(path)
+        if name in self.at:
+            self._remove(self.at[name])
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(self.at.pop(name))
+
+    def _remove(self, path: str) -> None:
+        try:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM may have gone first; the folder is then the cluster's to clean
+            pass
