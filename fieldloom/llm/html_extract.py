@@ -13,10 +13,12 @@ text, in links or not; a region (a container that the template opens) has what i
 main region is the innermost one with REGION_SHARE of all; its slots less the ones that are mostly
 links (and, where the region is the whole page or a table, the ones that are nothing beside the
 largest) are the main text, and text that is itself template falls away. Names of
-elements, roles and classes weigh a slot (main or apart), and what they set apart inside a main slot
-goes. A region marked as article or main keeps all its slots but those set apart, and a text there is
-template only if TEMPLATE_PAGES pages share it. Where nothing can be compared (one page, or a page that lacks the region)
-names alone decide.
+elements, roles and classes weigh a slot (main or apart), and what they set apart inside the main
+region goes; but names never empty a page: if they set all of the main region apart, what it holds is taken, and
+only what they set apart inside it goes. Shared text inside the region is main text where main text stands before
+and after it on the page and it is no link; at the region's ends it is template, in a marked article only if
+all pages with that article share it and it is no sentence. The number of pages makes no difference. Where nothing can be compared (one page, or a page that lacks the region)
+names alone decide, class names last.
 
 A group is at most about GROUP pages of a host, dealt by a hash: a host with a third of all pages
 becomes many groups, each with a template of its own, and no task holds more than a group at once.
@@ -39,10 +41,10 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import small
 
 GROUP = 64
-#: Differing pages that must share a text inside a marked article before it counts as template.
-TEMPLATE_PAGES = 8
-#: Times a token may stand on each page to be told apart by its number there.
+#: Times a token may stand on each page to be told apart by its number there; more frequent ones may only form nested classes.
 NUMBERED = 64
+#: Containers, from the innermost, that tell tokens of one name apart.
+PATH = 6
 #: The share of the group's text that the main region holds; of a slot's text in links that makes it a menu; of the largest slot's text that a slot needs in a region that is a whole page or table.
 REGION_SHARE, LINK_SHARE, LEAST_SHARE = 0.6, 0.6, 0.05
 #: How names weigh a slot's text.
@@ -73,6 +75,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
+#: How a sentence ends.
+SENTENCE = re.compile(r"[.!?\u2026\u3002][\"'\u2019\u201d\u00bb)]*\s*\Z")
 
 
 class Page:
@@ -85,6 +89,7 @@ class Page:
         self.tokens: list[tuple[str, str, str, int, bool, bool]] = []
         self.parent, self.nature, self.named, self.inner, self.opens = [-1], [False], [False], [False], [-1]
         stack: list[tuple[str, int]] = []
+        open_names, within = Counter(), [False]
         path, box, at, link, heading = "", 0, 0, 0, False
         source = source or ""
         for m in TOKEN.finditer(source):
@@ -105,35 +110,40 @@ class Page:
                 continue
             link, heading = 0, False
             if m["end"]:
-                if any(s[0] == name for s in stack):
-                    while stack and stack[-1][0] != name:
-                        stack.pop()
+                if open_names[name]:
+                    while stack[-1][0] != name:
+                        open_names[stack.pop()[0]] -= 1
+                        within.pop()
                     self.tokens.append(("b", f"{path}</{name}", "", box, False, False))
-                    stack.pop()
-            else:
-                self._open(name, m["rest"], path, box, stack)
-            path = "/".join(s[0] for s in stack[-6:]) + "/"
+                    open_names[stack.pop()[0]] -= 1
+                    within.pop()
+            elif self._open(name, m["rest"], path, box, within[-1]):
+                stack.append((name, len(self.parent) - 1))
+                open_names[name] += 1
+                within.append(within[-1] or self.inner[-1])
+            path = "/".join(s[0] for s in stack[-PATH:]) + "/"
             box = stack[-1][1] if stack else 0
         if at < len(source):
             self._text(source[at:], path, box, link > 0, heading)
         self._judge()
 
-    def _open(self, name: str, rest: str, path: str, box: int, stack: list[tuple[str, int]]) -> None:
+    def _open(self, name: str, rest: str, path: str, box: int, within: bool) -> bool:
+        """Takes an opening tag; tells whether it opens a box."""
         told = {a.lower(): q or s or u for a, q, s, u in ATTRIBUTE.findall(rest)} if rest else {}
         label = f"{told.get('class', '')} {told.get('id', '')}".strip()
         role = told.get("role", "").lower()
-        within = any(self.inner[s[1]] for s in stack)
         nature = name in APART and not (name == "header" and within) or role in ROLES
         nature = nature or bool(rest) and (re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest) is not None or HIDDEN.search(told.get("style", "")) is not None)
         named = bool(label) and name not in ("html", "body", "article", "main") and NAMED.search(MODIFIER.sub("", label)) is not None
         self.tokens.append(("b", f"{path}<{name} {label}", "", box, False, False))
-        if not rest.endswith("/") or name not in VOID:
-            self.parent.append(box)
-            self.nature.append(nature)
-            self.named.append(named)
-            self.inner.append(name in ("article", "main") or role in ("main", "article"))
-            self.opens.append(len(self.tokens) - 1)
-            stack.append((name, len(self.parent) - 1))
+        if rest.endswith("/") and name in VOID:
+            return False
+        self.parent.append(box)
+        self.nature.append(nature)
+        self.named.append(named)
+        self.inner.append(name in ("article", "main") or role in ("main", "article"))
+        self.opens.append(len(self.tokens) - 1)
+        return True
 
     def _text(self, raw: str, path: str, box: int, link: bool, heading: bool) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -142,18 +152,26 @@ class Page:
     def _judge(self) -> None:
         """A box named like something apart is none if it holds all articles of the page: the name is its layout's."""
         n = len(self.parent)
-        articles, held = [b for b in range(n) if self.inner[b]], Counter()
-        for b in articles:
-            while b > 0:
-                held[b] += 1
-                b = self.parent[b]
-        self.apart, self.main = [False] * n, [False] * n
+        held = list(map(int, self.inner))  # articles in each box
+        for b in range(n - 1, 0, -1):
+            if self.parent[b] > 0:
+                held[self.parent[b]] += held[b]
+        articles = sum(self.inner)
+        self.apart, self.main, self.own = [False] * n, [False] * n, [False] * n
         for b in range(1, n):
             up = self.parent[b]
-            named = self.named[b] and not (articles and held[b] == len(articles))
-            self.apart[b] = self.apart[up] or self.nature[b] or named
+            self.own[b] = self.nature[b] or self.named[b] and not (articles and held[b] == articles)
+            self.apart[b] = self.apart[up] or self.own[b]
             self.main[b] = self.main[up] or self.inner[b]
 
+    def apart_below(self, above: list[bool], names: bool) -> list[bool]:
+        """For each box whether something sets it apart that is not itself above (in that list); names tells whether classes count."""
+        own = self.own if names else self.nature
+        out = [False] * len(self.parent)
+        for b in range(1, len(out)):
+            out[b] = not above[b] and (out[self.parent[b]] or own[b])
+        return out
+
 
 def _in_order(ranks: list[int]) -> set[int]:
     """The places of a longest rising run of ranks."""
@@ -180,6 +198,7 @@ class Template:
         self.nested: dict[str, int] = {}
         self.region = -1
         self.marked = False
+        self.names = True
         self.slots: set[tuple[int, str]] = set()
         self.support: Counter = Counter()
 
@@ -224,12 +243,15 @@ def _outer(found: Template, pages: list[Page], many: list[Counter], need: int) -
                 met[key] += 1
         seen.append(order)
     by_size = sorted(seen, key=len, reverse=True)
-    order, known = list(by_size[0]), set(by_size[0])
+    after: dict = dict(zip([None, *by_size[0]], [*by_size[0], None]))
     for own in by_size[1:]:  # a token that the fullest page lacks comes after the one that it follows elsewhere
-        for k, key in enumerate(own):
-            if key not in known:
-                order.insert(order.index(own[k - 1]) + 1 if k else 0, key)
-                known.add(key)
+        for before, key in zip([None, *own], own):
+            if key not in after:
+                after[before], after[key] = key, after[before]
+    order, key = [], after[None]
+    while key is not None:
+        order.append(key)
+        key = after[key]
     rank = {k: i for i, k in enumerate(order)}
     steady = Counter(own[i] for own in seen for i in _in_order([rank[k] for k in own]))
     found.outer = {k: rank[k] for k, n in steady.items() if n >= need}
@@ -283,9 +305,12 @@ def template(pages: list[Page]) -> Template | None:
     return found if found.region >= 0 else None
 
 
-def _slots(found: Template, page: Page, marks: list[int]) -> Iterator[tuple[int, tuple[int, str], tuple[int, ...]]]:
-    """(token, slot, regions from the outermost) of the page's texts that are not template."""
-    chains: dict[int, tuple[int, ...]] = {0: ()}
+def _slots(found: Template, page: Page, marks: list[int]) -> Iterator[tuple[int, tuple[int, str], int]]:
+    """(token, slot, innermost region or -1) of the page's texts, template or not."""
+    region = [-1] * len(page.parent)
+    for b in range(1, len(region)):
+        own = marks[page.opens[b]]
+        region[b] = own if own >= 0 else region[page.parent[b]]
     last, turn = -1, ""
     for i, (kind, key, _, box, _, _) in enumerate(page.tokens):
         if marks[i] >= 0:
@@ -295,53 +320,78 @@ def _slots(found: Template, page: Page, marks: list[int]) -> Iterator[tuple[int,
         elif key in found.nested:
             turn = key
         if kind == "t":
-            todo = []
-            b = box
-            while b not in chains:
-                todo.append(b)
-                b = page.parent[b]
-            for b in reversed(todo):
-                own = marks[page.opens[b]]
-                chains[b] = (*chains[page.parent[b]], own) if own >= 0 else chains[page.parent[b]]
-            yield i, (last, turn), chains[box]
+            yield i, (last, turn), region[box]
+
+
+def _inside(found: Template, page: Page, marks: list[int]) -> list[bool]:
+    """For each box whether it is the main region's or in it."""
+    inside = [False] * len(page.parent)
+    for b in range(1, len(inside)):
+        inside[b] = marks[page.opens[b]] == found.region or inside[page.parent[b]]
+    return inside
 
 
 def _choose(found: Template, pages: list[Page], marks: list[list[int]]) -> None:
     """Sets the main region and slots by what they hold over all pages."""
     held: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])  # text, in links, headings, main, apart
+    up: dict[int, int] = {}
+    in_main: Counter = Counter()
     for page, own in zip(pages, marks):
-        for i, slot, chain in _slots(found, page, own):
+        region = [-1] * len(page.parent)
+        for b in range(1, len(region)):
+            over, mark = region[page.parent[b]], own[page.opens[b]]
+            region[b] = mark if mark >= 0 else over
+            if mark >= 0 and over < mark:  # what opens earlier has the smaller number, so the regions are a tree
+                up.setdefault(mark, over)
+            if mark >= 0:
+                in_main[mark] += 1 if page.main[b] else -1
+        for i, slot, inner in _slots(found, page, own):
             _, _, text, box, link, heading = page.tokens[i]
             n = len(text.strip())
-            if n and own[i] < 0 and chain:
-                h = held[slot, chain]
+            if n and own[i] < 0 and inner >= 0:
+                h = held[slot, inner]
                 for k, is_so in enumerate((True, link, heading, page.main[box], page.apart[box])):
                     h[k] += n * is_so
     score = {}
     for key, (text, links, _, main, apart) in held.items():
         weight = WEIGH_APART if 2 * apart > text else WEIGH_MAIN if 2 * main > text else 1.0
         score[key] = max(0.0, text - 2 * links if weight == 1.0 else text) * weight
-    whole, sums, depth, marked = sum(score.values()), Counter(), {}, Counter()
+    if not any(score.values()):  # nothing but links: they are what the pages hold
+        score = {key: h[0] * WEIGH_APART for key, h in held.items()}
+    whole, sums, marked, depth = sum(score.values()), Counter(), Counter(), {}
     if not whole:
         return
-    for (slot, chain), s in score.items():
-        for k, region in enumerate(chain):
-            sums[region] += s
-            depth[region] = max(k, depth.get(region, 0))
-            marked[region] += s * (2 * held[slot, chain][3] > held[slot, chain][0])
-    fit = [r for r, s in sums.items() if s >= REGION_SHARE * whole]
+    for (slot, inner), s in score.items():
+        sums[inner] += s
+        marked[inner] += s * (2 * held[slot, inner][3] > held[slot, inner][0])
+    for region in sorted({*up, *sums}):
+        depth[region] = depth.get(up.get(region, -1), 0) + 1
+    for region in sorted(depth, reverse=True):
+        over = up.get(region, -1)
+        if over >= 0:
+            sums[over] += sums[region]
+            marked[over] += marked[region]
+    fit = [r for r in depth if sums[r] >= REGION_SHARE * whole]
     if not fit:
         return
     found.region = max(fit, key=lambda r: (depth[r], sums[r]))
+    while in_main[found.region] > 0 and in_main[up.get(found.region, -1)] > 0:
+        found.region = up[found.region]  # a marked article is taken whole
     found.marked = 2 * marked[found.region] > sums[found.region]
-    inside = {k: h for k, h in held.items() if found.region in k[1]}
+    within = {found.region}
+    for region in sorted(depth):
+        if up.get(region, -1) in within:
+            within.add(region)
+    inside = {k: h for k, h in held.items() if k[1] in within}
     opened = next(key for (key, _), r in found.outer.items() if r == found.region)
     flat = opened.rpartition("<")[2].split(" ")[0] in ("html", "body", "table")
-    most = max(h[0] for k, h in inside.items() if score[k] > 0) if flat else 0
-    for (slot, chain), (text, links, headings, main, apart) in inside.items():
-        if 2 * apart > text:
+    most = max((h[0] for k, h in inside.items() if score[k] > 0), default=0) if flat else 0
+    found.names = any(2 * apart <= text for text, *_, apart in inside.values())
+    alone = len({slot for slot, _ in inside}) == 1
+    for (slot, _), (text, links, headings, main, apart) in inside.items():
+        if found.names and 2 * apart > text:
             continue
-        if found.marked or main or links <= LINK_SHARE * text and (text >= LEAST_SHARE * most or 2 * headings > text):
+        if found.marked or main or alone or links <= LINK_SHARE * text and (text >= LEAST_SHARE * most or 2 * headings > text):
             found.slots.add(slot)
 
 
@@ -359,11 +409,16 @@ def _blocks(tokens: list, wanted: set[int]) -> str:
 
 
 def by_names(page: Page) -> str:
-    """The text of the marked article, or else all that no name sets apart."""
-    texts = [i for i, t in enumerate(page.tokens) if t[0] == "t" and not page.apart[t[3]]]
-    if any(page.main[page.tokens[i][3]] and page.tokens[i][2].strip() for i in texts):
-        texts = [i for i in texts if page.main[page.tokens[i][3]]]
-    return _blocks(page.tokens, set(texts))
+    """The text of the marked article, or else all that no name sets apart; if class names leave nothing, what elements leave."""
+    nothing = [False] * len(page.parent)
+    for apart in (page.apart, page.apart_below(nothing, False)):
+        texts = [i for i, t in enumerate(page.tokens) if t[0] == "t" and not apart[t[3]]]
+        if any(page.main[page.tokens[i][3]] and page.tokens[i][2].strip() for i in texts):
+            texts = [i for i in texts if page.main[page.tokens[i][3]]]
+        found = _blocks(page.tokens, set(texts))
+        if found:
+            return found
+    return ""
 
 
 def main_text(page: Page, found: Template | None) -> str:
@@ -371,21 +426,31 @@ def main_text(page: Page, found: Template | None) -> str:
     if found is None:
         return by_names(page)
     marks = found.places(page)
-    wanted, present = set(), False
-    for i, slot, chain in _slots(found, page, marks):
-        if found.region not in chain:
+    inside = _inside(found, page, marks)
+    above = [False] * len(inside)
+    if not found.names:  # the region is set apart as a whole: what is around it and its own name don't count
+        above = [not i or not inside[page.parent[b]] for b, i in enumerate(inside)]
+    apart = page.apart if found.names else page.apart_below(above, True)
+    wanted, shared, present = [], [], False
+    for i, slot, _ in _slots(found, page, marks):
+        _, _, text, box, link, _ = page.tokens[i]
+        if not inside[box] or apart[box]:
             continue
-        box, text = page.tokens[i][3], page.tokens[i][2]
-        if page.apart[box]:
-            continue
-        if text.strip():
+        if not text.strip():
+            shared.append(i)
+        elif marks[i] >= 0:
             present = True
-            if marks[i] >= 0 and (not page.main[box] or found.support[marks[i]] >= TEMPLATE_PAGES):
-                continue
-            if marks[i] < 0 and slot not in found.slots:
-                continue
-        wanted.add(i)
-    return _blocks(page.tokens, wanted) if present else by_names(page)
+            if page.main[box] and not link and (found.support[marks[i]] < found.support[found.region] or SENTENCE.search(text)):
+                wanted.append(i)
+            elif not link:
+                shared.append(i)
+        else:
+            present = True
+            if slot in found.slots:
+                wanted.append(i)
+    if wanted:
+        wanted += [i for i in shared if wanted[0] < i < wanted[-1] or not page.tokens[i][2].strip()]
+    return _blocks(page.tokens, set(wanted)) if present else by_names(page)
 
 
 def extract_group(sources: list[str | None]) -> list[str]:
