@@ -33,14 +33,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of further candidates, in the order in which their kinds are listed. Runs are open, so no value is cut short.
 GENERATORS = {
     "access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}+",
-    "credential": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.!@#$%-]{6,}+",
+    "credential": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.!@#$%^&*?~-]{6,}+",
     "national_phone": r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}",
     "social_number": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "bank_account": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?",
     "spelled_email": r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]++\s?(?:\.|[\[(]\s?dot\s?[\])])|\x20at\x20[A-Za-z0-9-]++\x20dot\x20)\s?[A-Za-z]{2,10}",
     "service_token": r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)[A-Za-z0-9_-]{16,}+",
     "web_token": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?",
-    "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/]{16,}+={0,2}+)++)?",
     "ipv6": r"(?:\G|(?<![0-9A-Za-z:.]))(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})",
     "trunk_phone": r"(?:\G|(?<![0-9A-Za-z]))\(?0[0-9]{1,4}\)?[\x20/-][0-9]{2,8}(?:[\x20-][0-9]{2,6}){0,4}",
 }
@@ -124,7 +124,7 @@ def features(text: Column, generator: Column, span: Column) -> Column:
     before = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(F.lit(" "))
     after = F.substring(text, span["end"] + 1, F.lit(1))
     truth = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    tail = F.regexp_extract(value, "[A-Za-z0-9+/_.!@#$%-]+$", 0)
+    tail = F.regexp_extract(value, "[A-Za-z0-9+/_.!@#$%^&*?~-]+$", 0)
     near = [truth(left.rlike(p)) for p in CONTEXT.values()]
     return F.array(
         generator.cast("double"), F.length(value).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[\\x20().-]"),
@@ -158,7 +158,10 @@ def _examples(seed: int, per_kind: int) -> list[dict]:
     named = lambda xs: rng.choice([*xs, "", "", ""])
     code = string.ascii_uppercase + string.digits
     hexed = lambda: pick("0123456789abcdef", rng.randint(1, 4))
-    secret = lambda: pick("0123456789abcdef", rng.randint(8, 40)) if rng.random() < 0.7 else pick(string.ascii_letters + string.digits + "-_.", rng.randint(60, 900))
+    mixed = string.ascii_letters + string.digits + "-_."
+    chosen = lambda: rng.choice([f"{word()}{num(rng.randint(1, 6))}{rng.choice(['', '!', '#', word()])}", f"{word().capitalize()}{rng.choice('0134')}{word()}{rng.choice('&!?$')}{num(1)}", pick(mixed, rng.randint(10, 24))])
+    machine = lambda: pick("0123456789abcdef", rng.randint(8, 40)) if rng.random() < 0.5 else pick(mixed, rng.randint(60, 900))
+    secret = lambda: (chosen() if rng.random() < 0.5 else machine()).rjust(6, "x")
     good = {
         "access_key": lambda: (named(["key ", "access key: "]), rng.choice(["AKIA", "ASIA"]) + pick(code, 16)),
         "credential": lambda: ("", rng.choice(["password=", "token = \"", "secret: ", "api_key=", "pwd: ", "Password: "]) + secret()),
@@ -168,8 +171,8 @@ def _examples(seed: int, per_kind: int) -> list[dict]:
         "spelled_email": lambda: (named(["mail ", "write "]), rng.choice([f"{word()}{rng.choice([' ', ''])}{rng.choice(['[at]', '(at)', '( at )'])}{rng.choice([' ', ''])}{word()}{rng.choice(['.', ' [dot] ', '(dot)'])}", f"{word()} at {word()} dot "]) + rng.choice(["com", "org", "net"])),
         "service_token": lambda: (named(["Bearer ", "token ", "key "]), rng.choice(["ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "sk_live_", "sk-", "AIza"]) + pick(string.ascii_letters + string.digits, rng.randint(20, 90))),
         "web_token": lambda: (named(["Bearer ", "Authorization: Bearer ", "session="]), "eyJ" + pick(string.ascii_letters + string.digits + "_-", rng.randint(12, 60)) + ".eyJ" + pick(string.ascii_letters + string.digits + "_-", rng.randint(20, 300)) + rng.choice(["", "." + pick(string.ascii_letters + string.digits + "_-", rng.randint(20, 90))])),
-        "private_key": lambda: ("", f"-----BEGIN {(kind := rng.choice(['RSA ', 'EC ', 'OPENSSH ', '']))}PRIVATE KEY-----" + rng.choice(["", f" {pick(string.ascii_letters + string.digits + '+/', rng.randint(60, 400))} -----END {kind}PRIVATE KEY-----"])),
-        "ipv6": lambda: (named(["host ", "address ", "from "]), rng.choice([":".join(hexed() for _ in range(8)), "2001:db8:" + ":".join(hexed() for _ in range(rng.randint(0, 2))) + "::" + hexed(), f"fe80::{hexed()}:{hexed()}:{hexed()}"]).replace(":::", "::")),
+        "private_key": lambda: ("", f"-----BEGIN {(kind := rng.choice(['RSA ', 'EC ', 'OPENSSH ', '']))}PRIVATE KEY-----" + rng.choice(["", f"\n{pick(string.ascii_letters + string.digits + '+/', 64)}\n{pick(string.ascii_letters, 30)}==", f" {pick(string.ascii_letters + string.digits + '+/', rng.randint(60, 400))} -----END {kind}PRIVATE KEY-----"])),
+        "ipv6": lambda: (named(["host ", "address ", "from "]), rng.choice([":".join(hexed() for _ in range(8)), "2001:db8:" + ":".join(hexed() for _ in range(rng.randint(0, 2))) + "::" + hexed(), f"fe80::{hexed()}:{hexed()}:{hexed()}", f"fe80::{hexed()}", f"2001:db8::{hexed()}"]).replace(":::", "::")),
         "trunk_phone": lambda: (rng.choice(["phone ", "call ", "tel. ", "fax ", "mobile "]), rng.choice([f"0{num(2)} {num(7)}", f"0{rng.choice('1234567')} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(6)}", f"(0{num(3)}) {num(6)}"])),
     }
     bad = {
@@ -279,7 +282,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
         free = c["start"] >= acc["reach"]
         return F.when(free, F.struct(F.concat(acc["kept"], F.array(span)).alias("kept"), (-c["end"]).alias("reach"))).otherwise(acc)
 
-    added = F.when(text.rlike("[0-9=:@(\\[-]| dot "), F.aggregate(own, nothing, sweep)["kept"]).otherwise(nothing["kept"])
+    added = F.aggregate(own, nothing, sweep)["kept"]
     return found.select("doc_id", "_text", *[F.col(f"_{k}").alias(k) for k in BASE], "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
