@@ -32,7 +32,7 @@ END = "\r\n\r\n"
 REVISIT_BYTES = 1000
 #: More than a header has besides its url.
 HEADER_BYTES = 1024
-#: Records and bytes in one archive file; a longer record has a file to itself.
+#: Records and bytes in one archive file; a record longer than that has a file to itself.
 FILE_RECORDS, FILE_BYTES = 1024, 1 << 28
 
 
@@ -77,9 +77,13 @@ def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS
     plain = max(1, file_bytes // file_records)
     write = lambda df, at, n: df.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", n).text(f"{path}/{at}")
     write(rows.where(size <= plain), "plain", file_records)
-    longest = pages.select(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 3 * F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0]
-    if longest is not None and longest + HEADER_BYTES > plain:
-        write(rows.where(size > plain), "long", max(1, file_bytes // (longest + HEADER_BYTES)))
+    # by doubling sizes, so that how many go to a file follows from their own lengths and not from the longest of all
+    size_class = F.floor(F.log2(size / plain)).cast("int")
+    long = rows.where(size > plain)
+    lengths = pages.select((F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long") + F.coalesce(F.octet_length(F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A")), F.lit(0)) + HEADER_BYTES).alias("size"))
+    found = lengths.where(F.col("size") > plain).groupBy(F.floor(F.log2(F.col("size") / plain)).cast("int").alias("c")).count().collect()  # a row for each doubling
+    for row in sorted(found):
+        write(long.where(size_class == row.c), f"long-{row.c}", max(1, file_bytes // (plain << (row.c + 1))))
 
 
 def _record_at(data: bytes, start: int) -> tuple[int, int, int, dict[str, str]] | None:

@@ -61,3 +61,11 @@ def test_archives_are_bounded_in_bytes(spark, tmp_path):
     files = list((tmp_path / "w").rglob("*.txt"))
     assert max(f.stat().st_size for f in files) <= 150_000
     assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(200))
+
+
+def test_one_long_page_does_not_scatter_the_others(spark, tmp_path):
+    rows = [(0, "u", "y" * 800_000), *[(i, "u" * (i % 50), "x" * 4000) for i in range(1, 60)]]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "w"), file_records=1024, file_bytes=800_000)
+    files = list((tmp_path / "w").rglob("*.txt"))
+    assert len(files) <= 4
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(60))
