@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import small, stored
+from fieldloom.llm.common import packed, small, stored, unpacked
 from fieldloom.llm.simhash import Forest, components, majority
 
 SHINGLE_WORDS, SEED, BANDS, BAND_ROWS, RADIUS = 5, 42, 32, 4, 24
@@ -106,7 +106,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
-    """doc_id and component_id, the class's smallest doc_id, of every row."""
+    """doc_id and component_id, the class's smallest doc_id, of every row; digest (MD5 of the text) and root (the class itself) tell rows of one doc_id apart."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "doc_id", "text")
     rows = stored(docs.mapInArrow(_banded, "digest binary, doc_id long, told binary, bands array<long>"), "bands")
@@ -126,5 +126,24 @@ def near_copies(documents: DataFrame) -> DataFrame:
     links = components(dealt.mapInArrow(_linked, "a binary, b binary").distinct())
     rooted = texts.select("told", "digest", "least").join(links.withColumnRenamed("v", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("told", "component_id")
-    return rows.select("told", "doc_id").join(named, "told").select("doc_id", "component_id")
+    named = rooted.join(of_root, "root").select("told", "component_id", "root")
+    return rows.select("told", "doc_id", "digest").join(named, "told").select("doc_id", "component_id", "digest", "root")
+
+
+def first_of_classes(documents: DataFrame) -> DataFrame:
+    """documents less near copies: of each class the row with the smallest doc_id, of equal ones that with the smallest digest.
+
+    Of rows with one doc_id and one text the first by their other columns stays. Rows without a doc_id all stay.
+    """
+    found = stored(near_copies(documents), "classes").where("doc_id is not null")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    each = found.groupBy("doc_id", "digest", "root").agg(F.count(F.lit(1)).alias("n")).join(first, "root")
+    chosen = F.struct("doc_id", "digest") == F.col("first")
+    gone = small(stored(each.where(~chosen | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), chosen.alias("_stays")), "gone"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = packed(documents).withColumn("id", F.col("row.doc_id").cast("long")).withColumn("text_digest", F.unhex(F.md5(text.cast("binary"))))
+    same = (F.col("id") == F.col("_id")) & (F.col("text_digest") == F.col("_digest"))
+    kept = rows.join(gone, same, "left_anti").select("row")
+    repeated = rows.join(gone.where("_stays"), same, "left_semi").groupBy("id", "text_digest").agg(F.min("row").alias("row")).select("row")
+    whole = kept.unionByName(repeated)
+    return whole.select(*unpacked(whole))

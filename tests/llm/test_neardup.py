@@ -95,3 +95,15 @@ def test_the_radius_loses_no_pair_at_four_fifths():
             one, two = neardup.np.r_[a[:shared], a[shared : shared + left]], neardup.np.r_[a[:shared], a[shared + left :]]
             most = max(most, (neardup.majority(one, len(one)) ^ neardup.majority(two, len(two))).bit_count())
     assert most <= neardup.RADIUS
+
+
+def test_rows_of_one_id_are_told_apart_by_their_text(spark):
+    rng = random.Random(8)
+    long = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+    a, b, c = long(), long(), long()
+    rows = [(1, a, "aa"), (2, a, "aa"), (2, b, "aa"), (3, c, "bb"), (3, c, "aa"), (4, c, "aa"), (None, a, "aa"), (None, a, "aa"), (5, b + " more", "aa"), (6, None, "aa"), (7, "", "aa")]
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = corpus_pipeline.near_dedup(spark, docs(spark, rows).repartition(3), None).collect()
+        want = [(1, a, "aa"), (2, b, "aa"), (3, c, "aa"), (None, a, "aa"), (None, a, "aa"), (6, None, "aa")]
+        assert sorted(((r.doc_id, r.text, r.lang) for r in got), key=repr) == sorted(want, key=repr)
