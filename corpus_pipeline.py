@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import scratch
 from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.linededup import dedup_lines
-from fieldloom.llm.neardup import near_copies
+from fieldloom.llm.neardup import first_of_classes
 from fieldloom.llm.packing import pack
 from fieldloom.llm.quality_rules import quality
 from fieldloom.llm.queries import tokenizer_file
@@ -33,9 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id; rows without one stay."""
-    classes = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies (five-word shingles, similarity 0.8) one document, with the smallest doc_id; rows without one stay."""
+    return first_of_classes(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
