@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -11,10 +10,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import t_quantile
 from fieldloom.operators.ordering import group_quantile, small
+from fieldloom.session import cut
 
 
-#: Clusters of a design that a bootstrap takes: 24 MB of totals.
-MOST_CLUSTERS = 1_000_000
+#: Clusters of a stratum that a bootstrap draws together, unless that makes more blocks than MOST_BLOCKS.
+BLOCK_CLUSTERS, MOST_BLOCKS = 16_384, 1_024
 
 
 def stack_domains(rows: DataFrame, domains: dict[str, Column]) -> DataFrame:
@@ -82,34 +82,79 @@ def with_intervals(estimates: DataFrame, level: float = 0.95) -> DataFrame:
     return joined.withColumn("low", F.when(logit, back(middle - half)).otherwise(plain(-1))).withColumn("high", F.when(logit, back(middle + half)).otherwise(plain(1))).withColumn("ci_used", F.when(logit, "logit").otherwise("wald")).drop("t")
 
 
+def _split_draws(seed: int, reps: int):
+    """For a stratum's blocks the draws that fall into each, in every replicate."""
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("b")
+        n = int(blocks["nb"].sum())
+        rng = np.random.default_rng([seed, int(blocks["hk"].iloc[0]) & (2**64 - 1), 2**32])
+        drawn = rng.multinomial(n - 1, blocks["nb"].to_numpy() / n, size=reps)
+        return pd.DataFrame({"hk": blocks["hk"], "b": blocks["b"], "draws": list(drawn.T.astype(np.int32))})
+
+    return run
+
+
+def _replicates(seed: int, reps: int, at_once: int):
+    """A task's part of each replicate's totals, from whole blocks of clusters in order."""
+
+    def run(batches):
+        wy, sw = np.zeros(reps), np.zeros(reps)
+
+        def add(block: pd.DataFrame) -> None:
+            first, y, w = block.iloc[0], block["wy"].to_numpy(), block["sw"].to_numpy()
+            n = int(first["n"])
+            if n < 2:
+                wy[:], sw[:] = wy + y.sum(), sw + w.sum()
+                return
+            draws = first["draws"]
+            draws = np.full(reps, n - 1) if draws is None else np.asarray(draws, np.int64)
+            rng = np.random.default_rng([seed, int(first["hk"]) & (2**64 - 1), int(first["b"])])
+            step, even = max(1, min(at_once, (1 << 22) // len(y))), np.full(len(y), 1 / len(y))
+            for low in range(0, reps, step):
+                factor = rng.multinomial(draws[low : low + step], even) * (n / (n - 1))
+                wy[low : low + step] += factor @ y
+                sw[low : low + step] += factor @ w
+
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch])
+            last = (rows["hk"] == rows["hk"].iloc[-1]) & (rows["b"] == rows["b"].iloc[-1])
+            for _, block in rows[~last].groupby(["hk", "b"], sort=False):
+                add(block)
+            rest = rows[last]
+        if rest is not None:
+            add(rest)
+            yield pd.DataFrame({"rep": np.arange(reps), "wy": wy, "sw": sw})
+
+    return run
+
+
 def bootstrap(rows: DataFrame, reps: int = 2000, seed: int = 20260805, level: float = 0.95, block: int = 100) -> DataFrame:
-    """rows(y, w, h, i): rescaled bootstrap over cluster totals; a replicate's draws depend on its number alone."""
+    """rows(y, w, h, i): rescaled bootstrap over cluster totals, drawn where the clusters are.
+
+    A stratum of n clusters gets n - 1 draws. Its clusters lie in blocks by a hash of their names, at most MOST_BLOCKS of
+    them; how many draws fall into each block is drawn first, then each block's among its clusters. Draws
+    depend on the seed, the stratum and the block alone, so any partitioning gives the same replicates, and no task
+    or driver holds more than a block. `block` is how many replicates are drawn at once. An empty table has no row's worth: nulls.
+    """
     kept = rows.where(F.col("y").isNotNull() & F.col("w").isNotNull())
     psu = kept.groupBy("h", "i").agg(F.sum(F.col("w") * F.col("y")).cast("double").alias("wy"), F.sum("w").cast("double").alias("sw"))
-    if psu.count() > MOST_CLUSTERS:
-        raise ValueError(f"a replicate is drawn in one task, so a design may have {MOST_CLUSTERS} clusters at most")
-    totals = psu.orderBy("h", "i").toPandas()  # a row per sampled cluster, never per respondent
-    strata = [g[["wy", "sw"]].to_numpy() for _, g in totals.groupby("h", sort=True)]
-
-    def replicates(batches):
-        for ids in batches:
-            out = []
-            for rep in ids["id"]:
-                rng, wy, sw = np.random.default_rng([seed, int(rep)]), 0.0, 0.0
-                for s in strata:
-                    n = len(s)
-                    if n < 2:
-                        wy, sw = wy + s[:, 0].sum(), sw + s[:, 1].sum()
-                        continue
-                    m = n - 1
-                    count, scale = np.bincount(rng.integers(0, n, m), minlength=n), math.sqrt(m / (n - 1))
-                    factor = 1 - scale + scale * n / m * count
-                    wy, sw = wy + factor @ s[:, 0], sw + factor @ s[:, 1]
-                out.append(wy / sw)
-            yield pd.DataFrame({"p": out})
-
-    spark = rows.sparkSession
-    drawn = spark.range(0, reps, 1, max(1, reps // block)).mapInPandas(replicates, "p double")
+    psu = cut(psu.withColumn("hk", F.xxhash64("h")))
+    sizes = psu.groupBy("hk").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK_CLUSTERS), F.ceil(F.col("n") / MOST_BLOCKS))))
+    placed = psu.join(sizes, "hk").withColumn("b", F.pmod(F.xxhash64("h", "i"), F.col("blocks")))
+    several = placed.where("blocks > 1").groupBy("hk", "b").agg(F.count(F.lit(1)).alias("nb"))
+    draws = several.groupBy("hk").applyInPandas(_split_draws(seed, reps), "hk long, b long, draws array<int>")
+    dealt = placed.select("hk", "b", "n", "i", "wy", "sw").repartition("hk", "b").sortWithinPartitions("hk", "b", "i")
+    if sizes.where("blocks > 1").isEmpty():
+        told = dealt.withColumn("draws", F.lit(None).cast("array<int>"))
+    else:
+        # a block's draws come with its first cluster alone
+        head = placed.groupBy("hk", "b").agg(F.min("i").alias("i")).join(draws, ["hk", "b"])
+        told = placed.select("hk", "b", "n", "i", "wy", "sw").join(head, ["hk", "b", "i"], "left").repartition("hk", "b").sortWithinPartitions("hk", "b", "i")
+    parts = told.select("hk", "b", "n", "wy", "sw", "draws").mapInPandas(_replicates(seed, reps, block), "rep long, wy double, sw double")
+    drawn = parts.groupBy("rep").agg((F.sum("wy") / F.sum("sw")).alias("p"))
     tail = (1 - level) / 2
     return drawn.agg(F.stddev_samp("p").alias("se"), F.percentile("p", F.lit(tail)).alias("low"), F.percentile("p", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("reps"))
 

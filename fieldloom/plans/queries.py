@@ -104,6 +104,14 @@ def bootstrap_se(spark, sf_dir):
     return survey.bootstrap(_sample(spark, sf_dir, F.col("l_returnflag") == "R"), reps=500)
 
 
+@query("with c as (select l_linestatus i, sum(case when l_returnflag = 'R' then l_quantity else 0 end) / sum(l_quantity) p from lineitem group by 1) select round(min(p), 6) low, round(max(p), 6) high, cast(400 as bigint) reps from c")
+def bootstrap_pair(spark, sf_dir):
+    """A stratum of two clusters: a replicate is one of them or the other, so the interval's ends are theirs."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.lit("all").alias("h"), F.col("l_linestatus").alias("i"), F.col("l_quantity").cast("double").alias("w"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    return survey.bootstrap(rows, reps=400).select(r(F.col("low")).alias("low"), r(F.col("high")).alias("high"), "reps")
+
+
 _Z = "1.959963984540054::double"
 #: Student's quantile in SQL: its expansion in 1/df around the normal one, below 1e-4 off from df 9 on.
 _T = f"({_Z} + (power({_Z},3)+{_Z})/(4*df) + (5*power({_Z},5)+16*power({_Z},3)+3*{_Z})/(96.0*df*df) + (3*power({_Z},7)+19*power({_Z},5)+17*power({_Z},3)-15*{_Z})/(384.0*df*df*df) + (79*power({_Z},9)+776*power({_Z},7)+1482*power({_Z},5)-1920*power({_Z},3)-945*{_Z})/(92160.0*df*df*df*df))"
