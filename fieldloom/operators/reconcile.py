@@ -94,6 +94,7 @@ def adjudicate(rows: DataFrame) -> DataFrame:
     Equal districts: the later row is a duplicate. Else a transfer remark on one side wins, else the
     row that agrees with the authority, else both go; a later row meets the row that stood last.
     """
+    # Fixed value: the remarks that tell of a transfer; they must match.
     moved = r"(?i)transferr?ed|gazette|reassigned"
     marked = rows.withColumn("_moved", F.coalesce(F.col("remark").rlike(moved), F.lit(False))).withColumn("agrees", F.coalesce("agrees", F.lit(False)))
 

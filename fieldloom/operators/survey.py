@@ -205,22 +205,33 @@ def screen(interviewers: DataFrame) -> DataFrame:
     return out.withColumn("n_rules", n).withColumn("verdict", F.when(n >= 3, "EXCLUDE").when(n >= 1, "REVIEW").otherwise("OK"))
 
 
-def reported_sweep(rows: DataFrame, rates: list[float]) -> DataFrame:
-    """rows(y, recalled, w, h, i) once per rate of over-reporting: a recalled yes counts 1 - rate."""
-    sweep = rows.sparkSession.createDataFrame([(float(r),) for r in rates], "rate double")
-    y = F.when(F.col("recalled") & (F.col("y") == 1), 1 - F.col("rate")).otherwise(F.col("y").cast("double"))
-    return rows.crossJoin(F.broadcast(sweep)).withColumn("y", y).withColumn("domain", F.format_string("%.2f", F.col("rate")))
+def reported_sweep(rates: list[float]) -> dict[str, tuple[Column, Column, Column]]:
+    """Variants of rows(y, recalled, w, h, i) by rate of over-reporting: a recalled yes counts 1 - rate."""
+    y = lambda r: F.when(F.col("recalled") & (F.col("y") == 1), F.lit(1 - float(r))).otherwise(F.col("y").cast("double"))
+    return {f"{r:.2f}": (F.lit(True), y(r), F.col("w")) for r in rates}
 
 
-def variants(rows: DataFrame, table: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
-    """Each row once per variant that keeps it: table has (keep, y, w) by name, all in one pass over rows(h, i, ...)."""
-    each = [F.when(keep, F.struct(F.lit(name).alias("domain"), y.cast("double").alias("y"), w.cast("double").alias("w"))) for name, (keep, y, w) in table.items()]
-    return rows.select("h", "i", F.explode(F.array_compact(F.array(*each))).alias("v")).select("v.domain", "h", "i", "v.y", "v.w")
+def proportions_of_variants(rows: DataFrame, table: dict[str, tuple[Column, Column, Column]], fpc: DataFrame | None = None) -> DataFrame:
+    """proportions() of each variant; table has (keep, y, w) by name over the columns of rows(h, i, ...).
+
+    Rows are read once and never multiplied: a cluster sums each variant under its condition, and only the clusters' totals are
+    stacked.
+    """
+    sums = []
+    for k, (keep, y, w) in enumerate(table.values()):
+        y, w = y.cast("double"), w.cast("double")
+        here = keep & y.isNotNull() & w.isNotNull()
+        each = {"wy": w * y, "sw": w, "sww": w * w, "n": F.lit(1).cast("long")}
+        sums += [F.sum(F.when(here, v)).alias(f"{c}_{k}") for c, v in each.items()]
+    totals = rows.groupBy("h", "i").agg(*sums)
+    stack = [F.when(F.col(f"n_{k}").isNotNull(), F.struct(F.lit(name).alias("domain"), *[F.col(f"{c}_{k}").alias(c) for c in ("wy", "sw", "sww", "n")])) for k, name in enumerate(table)]
+    psu = totals.select("h", "i", F.explode(F.array_compact(F.array(*stack))).alias("v"))
+    return _estimated(psu.select("v.domain", "h", "i", "v.wy", "v.sw", "v.sww", "v.n"), fpc)
 
 
 def sensitivity(rows: DataFrame, table: dict[str, tuple[Column, Column, Column]], headline: str, target: float, fpc: DataFrame | None = None) -> DataFrame:
     """The variants' estimates, how far each is from the headline in points, and whether its interval reaches the target."""
-    each = with_intervals(proportions(variants(rows, table), fpc))
+    each = with_intervals(proportions_of_variants(rows, table, fpc))
     first = each.where(F.col("domain") == headline).select(F.col("p").alias("_p"))
     out = each.crossJoin(F.broadcast(first))  # one row
     return out.withColumn("shift_pp", 100 * (F.col("p") - F.col("_p"))).withColumn("target", F.when(F.col("high") >= target, "reached").otherwise("below")).drop("_p")

@@ -63,15 +63,15 @@ def svy_prop_by_domain(spark, sf_dir):
 
 @query(_SVY.format(rows="select c.v domain, l_linestatus h, l_suppkey i, case when l_discount>=c.k then 1.0 else 0.0 end y, l_quantity w from lineitem cross join (values ('d02',0.02),('d05',0.05),('d08',0.08)) c(v,k)"))
 def sensitivity_stack(spark, sf_dir):
-    cuts = spark.createDataFrame([("d02", 0.02), ("d05", 0.05), ("d08", 0.08)], "domain string, k double")
-    rows = _sample(spark, sf_dir, F.lit(0)).drop("y").crossJoin(F.broadcast(cuts)).withColumn("y", (F.col("l_discount") >= F.col("k")).cast("double"))
-    return _estimates(survey.proportions(rows))
+    cuts = {"d02": 0.02, "d05": 0.05, "d08": 0.08}
+    rows = _sample(spark, sf_dir, F.lit(0)).drop("y")
+    return _estimates(survey.proportions_of_variants(rows, {d: (F.lit(True), F.col("l_discount") >= k, F.col("w")) for d, k in cuts.items()}))
 
 
 @query(_SVY.format(rows="select printf('%.2f', r) domain, l_linestatus h, l_suppkey i, case when l_returnflag='R' then 1-r when l_returnflag='A' then 1.0 else 0.0 end y, l_quantity w from lineitem cross join (values (0.0),(0.1),(0.2),(0.3)) q(r)"))
 def recall_sweep(spark, sf_dir):
     rows = _sample(spark, sf_dir, F.col("l_returnflag").isin("R", "A")).withColumn("recalled", F.col("l_returnflag") == "R")
-    return _estimates(survey.proportions(survey.reported_sweep(rows, [0.0, 0.1, 0.2, 0.3])))
+    return _estimates(survey.proportions_of_variants(rows, survey.reported_sweep([0.0, 0.1, 0.2, 0.3])))
 
 
 @query("select o_orderstatus scope, count(*) n, round(min(o_totalprice),4) least, round(median(o_totalprice),4) median_w, round(avg(o_totalprice),4) mean_w, round(max(o_totalprice),4) most, round(stddev_samp(o_totalprice)/avg(o_totalprice),6) cv, round(count(*)*sum(o_totalprice*o_totalprice)/(sum(o_totalprice)*sum(o_totalprice)),6) kish from orders group by 1")
@@ -252,7 +252,7 @@ _KEY = "upper(regexp_replace({0}, '[^A-Za-z0-9]+', '', 'g'))"
 
 
 def _stripped(c: str) -> str:
-    ending = r"\b(?:local\s*government\s*area|local\s*govt\.?\s*area|local\s*govt\.?|l\.?\s*g\.?\s*a\.?|lga|senatorial\s*district|district|state)\b\s*$"
+    ending = rf"\b(?:{'|'.join(text.ADMIN_SUFFIXES)})\b\s*$"
     s = f"trim(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ' .,;:-')"
     for _ in range(6):
         s = f"trim(regexp_replace({s}, '{ending}', '', 'i'))"
