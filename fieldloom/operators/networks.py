@@ -6,8 +6,7 @@ small ones; the number of rounds grows with the logarithm of the longest way.
 Travel times first contract ways: a node with two neighbours that is no source only lies between two others. Each
 edge learns where such a way ends and how long it is by pointer jumping, which doubles its reach in each round. What is
 left are the crossings, dead ends and sources. Their times come in buckets of distance: of the nodes whose time has
-fallen since they last passed it on, those within `width` of the least one do so. Only these meet the edges,
-and only what they send meets the times so far. At the end the nodes between take the better of their two ends.
+fallen since they last passed it on, those within `width` of the least one do so. Only these meet the edges. At the end the nodes between take the better of their two ends.
 
 All tables of a round replace those of the round before in the shared folder.
 """
@@ -100,18 +99,19 @@ def travel_times(edge: DataFrame, sources: DataFrame, width: float | None = None
     links = kept.keep("links", from_stops.groupBy("src", "stop").agg(F.min("minutes").alias("cost")))
     if width is None:
         width = 4 * (links.agg(F.avg("cost")).first()[0] or 1.0)
-    best, open_ = start, kept.keep("open", start)
+    now = kept.keep("now", start.withColumn("fresh", F.lit(True)))  # fresh: not yet passed on
     for _ in range(rounds):
-        low = open_.agg(F.min("minutes")).first()[0]
+        low = now.where("fresh").agg(F.min("minutes")).first()[0]
         if low is None:
             break
-        passing = F.col("minutes") <= low + width
-        sent = open_.where(passing).join(links, open_["node"] == links["src"]).groupBy(F.col("stop").alias("node")).agg(F.min(F.col("minutes") + F.col("cost")).alias("new"))
-        better = kept.keep("better", sent.join(best, "node", "left").where("minutes is null or new < minutes").select("node", F.col("new").alias("minutes")))
-        least = lambda a, b: a.unionByName(b).groupBy("node").agg(F.min("minutes").alias("minutes"))
-        open_ = kept.keep("open", least(open_.where(~passing), better))
-        best = kept.keep("best", least(best, better))
+        passing = F.col("fresh") & (F.col("minutes") <= low + width)
+        sent = now.where(passing).join(links, now["node"] == links["src"]).select(F.col("stop").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("minutes") + F.col("cost")).alias("new"), F.lit(False).alias("waits"))
+        had = now.select("node", F.col("minutes").alias("old"), F.lit(None).cast("double").alias("new"), (F.col("fresh") & ~passing).alias("waits"))
+        met = had.unionByName(sent).groupBy("node").agg(F.min("old").alias("old"), F.min("new").alias("new"), F.max("waits").alias("waits"))
+        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
+        now = kept.keep("now", met.select("node", F.least("old", "new").alias("minutes"), (better | F.col("waits")).alias("fresh")))
     else:
         raise ValueError(f"still changing after {rounds} rounds")
+    best = now.select("node", "minutes")
     between = ways.join(stops.withColumnRenamed("node", "src"), "src", "left_anti").join(best.select(F.col("node").alias("stop"), F.col("minutes").alias("there")), "stop")
     return best.unionByName(between.groupBy(F.col("src").alias("node")).agg(F.min(F.col("minutes") + F.col("there")).alias("minutes")))

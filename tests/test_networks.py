@@ -95,7 +95,7 @@ def test_a_long_way_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(Rounds, "keep", lambda self, name, df: (written.append(name), keep(self, name, df))[1])
     got = networks.travel_times(way, spark.createDataFrame([(0, 0.0)], "node long, minutes double"))
     assert got.where("abs(minutes - node) > 1e-6").count() == 0 and got.count() == n + 1
-    assert written.count("jumped") <= 18 and written.count("better") <= 3
+    assert written.count("jumped") <= 18 and written.count("now") <= 4
 
 
 def test_components_of_a_long_way(spark):
