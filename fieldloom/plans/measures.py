@@ -345,6 +345,24 @@ def access_sweep(spark, sf_dir):
     return out.select("threshold", "kmh", "treatment", r(F.col("covered"), 2).alias("covered"), r(F.col("share")).alias("share"))
 
 
+_SETTINGS = [(30.0, 5.0, "not", False), (60.0, 5.0, "not", False), (90.0, 5.0, "not", False), (60.0, 8.0, "not", False), (60.0, 15.0, "not", False), (60.0, 5.0, "as adequate", True)]
+_SETTING_ROWS = ", ".join(f"({t}, {s}, '{n}', {str(u).lower()})" for t, s, n, u in _SETTINGS)
+
+
+@query(f"with {_SITES}, g(threshold, kmh, treatment, counts) as (values {_SETTING_ROWS}), n as (select p.i, case when cap >= 4000 then 'adequate' else 'unknown' end state, min(d) * 100 metres from p join s using (j) group by 1, 2), h as (select threshold, kmh, treatment, n.i, bool_or((state = 'adequate' or counts) and metres/1000/kmh*60 <= threshold) hit from n, g group by 1, 2, 3, 4), z as (select threshold, kmh, treatment, zone, sum(case when hit then 1.0 else 0.0 end) / count(*) part from h join c using (i) group by 1, 2, 3, 4), w as (select c_nationkey zone, sum(c_acctbal + 2000) pop, sum(case when c_mktsegment = 'BUILDING' then c_acctbal + 2000 else 0.0 end) young, case when c_nationkey % 3 = 0 then 'estimate' else 'count' end source from customer group by c_nationkey), f as (select z.*, w.pop, w.young, d.denominator from z join w using (zone) cross join lateral (select unnest(['ALL', w.source]) denominator) d) select threshold, kmh, treatment, denominator, count(*) zones, round(sum(pop), 2) people, round(sum(pop * part), 2) covered, round(100 * sum(pop * part) / greatest(sum(pop), 1), 5) percent, round(100 * sum(young * part) / greatest(sum(young), 1), 5) percent_young, count(*) filter (part = 0) zones_without, count(*) filter (part < 0.5) zones_below_half from f group by 1, 2, 3, 4")
+def access_denominators(spark, sf_dir):
+    """The access figure under six settings, over all zones and by where a zone's population comes from."""
+    demand, supply = _sites(spark, sf_dir)
+    near = lambda sites, state: spatial.nearest(demand, sites, 1, 100.0).select("i", (F.sqrt("dist2") * 100).alias("metres"), F.lit(state).alias("state"))
+    distance = near(supply.where("cap >= 4000"), "adequate").unionByName(near(supply.where("cap < 4000"), "unknown"))
+    distance = distance.join(demand.select("i", "zone", F.lit(1.0).alias("weight")), "i")
+    people = F.col("c_acctbal") + 2000
+    zones = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone")).agg(F.sum(people).alias("pop"), F.sum(F.when(F.col("c_mktsegment") == "BUILDING", people).otherwise(0.0)).alias("young"))
+    zones = zones.withColumn("source", F.when(F.col("zone") % 3 == 0, "estimate").otherwise("count"))
+    out = spatial.access_table(distance, zones, _SETTINGS)
+    return out.withColumns({"people": r(F.col("people"), 2), "covered": r(F.col("covered"), 2), "percent": r(F.col("percent"), 5), "percent_young": r(F.col("percent_young"), 5)})
+
+
 @query(f"with {_SITES}, z(scenario, least) as (values ('base', 4000), ('upgraded', -10000)), n as (select scenario, p.i, min(p.d) d from p join s using (j) cross join z where s.cap >= z.least group by 1, 2) select scenario, zone, round(sum(case when d <= 60 then pop else 0 end) / sum(pop), 6) covered from c join n using (i) group by 1, 2")
 def counterfactual_coverage(spark, sf_dir):
     demand, supply = _sites(spark, sf_dir)
