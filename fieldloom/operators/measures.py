@@ -53,6 +53,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(r.n, r.rho, p)], "n long, rho double, p double")
 
 
+def screened_spearman(df: DataFrame, x: str, y: str, key: str, excluded: DataFrame) -> DataFrame:
+    """spearman over all rows and, as `screen` 'screened', without those whose key is one of excluded(key); rows without a key stay."""
+    kept = df.join(excluded.select(key).distinct(), key, "left_anti")
+    return spearman(df, x, y).withColumn("screen", F.lit("unscreened")).unionByName(spearman(kept, x, y).withColumn("screen", F.lit("screened")))
+
+
 def ols(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icept"))
 

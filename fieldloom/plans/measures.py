@@ -33,6 +33,17 @@ def spearman(spark, sf_dir):
     return measures.spearman(per, "x", "y").select(r(F.col("rho")).alias("rho"))
 
 
+_RANKS = "select screen, count(*) n, round(corr(rx, ry), 6) rho from (select screen, rank() over (partition by screen order by x) + (count(*) over (partition by screen, x) - 1) / 2.0 rx, rank() over (partition by screen order by y) + (count(*) over (partition by screen, y) - 1) / 2.0 ry from a) group by screen"
+
+
+@query(f"with b as (select l_suppkey, count(*) x, sum(l_quantity) y from lineitem group by 1), a as (select 'unscreened' screen, x, y from b union all select 'screened', x, y from b where l_suppkey not in (select s_suppkey from supplier where s_acctbal < 0)) {_RANKS}")
+def screened_spearman(spark, sf_dir):
+    """The correlation over suppliers with and without those in debt."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("x"), F.sum("l_quantity").alias("y"))
+    out = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return measures.screened_spearman(per, "x", "y", "l_suppkey", out).select("screen", "n", r(F.col("rho")).alias("rho"))
+
+
 @query(r"""select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 3) icept from lineitem group by l_returnflag""")
 def ols_slope(spark, sf_dir):
     out = measures.ols(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
