@@ -10,7 +10,7 @@ from fieldloom import streaming
 from fieldloom.functions import geo, numeric, text
 from fieldloom.operators import fieldwork, forms, measures, ordering, quality, reconcile, response, rules, spatial, survey, transfer
 from fieldloom.plans.queries import _SVY, _estimates, _sample, query, r
-from fieldloom.session import table
+from fieldloom.session import shared_root, table
 
 # --- names and texts ---------------------------------------------------------------------------
 
@@ -247,11 +247,11 @@ def average_ranks(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------
 
 
-def _streamed(spark, df):
-    """The rows of a stream run to the end of its input; a memory sink, so for results of a report's size."""
-    name = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _streamed(spark, df, mode="append"):
+    """The rows of a stream run to the end of its input, as a table of files in the shared folder."""
+    at = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    streaming.into_folder(df, f"{at}/rows", f"{at}/checkpoint", mode)
+    return streaming.from_folder(spark, f"{at}/rows", df.schema)
 
 
 def _events(spark, sf_dir):
@@ -274,3 +274,11 @@ def stream_gate(spark, sf_dir):
     """Flagged submissions of a stream."""
     out = streaming.gated(_events(spark, sf_dir), {"R6": F.col("value") > 100, "R7": F.col("event_type") == "error"})
     return _streamed(spark, out.where("R6 or R7").select("event_id", "R6", "R7"))
+
+
+@query("with a as (select event_id, user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) p from events) select event_id, user_id, round((epoch_us(ts)-epoch_us(p))/6e7, 4) gap from a where ts < p + interval '2' minute")
+def stream_overlaps(spark, sf_dir):
+    """Visits of a stream that follow too closely, the same rows as the batch form; the input is one batch, so nothing is late."""
+    visits = _events(spark, sf_dir).select(F.col("user_id").alias("who"), F.col("ts").alias("start"), F.col("ts").alias("end"), F.col("event_id").alias("id"))
+    out = _streamed(spark, streaming.overlaps(visits, 2, late="0 seconds"))
+    return out.select(F.col("id").alias("event_id"), F.col("who").cast("long").alias("user_id"), r(F.col("gap"), 4).alias("gap"))

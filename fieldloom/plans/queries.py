@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, numeric, text
 from fieldloom.operators import fieldwork, forms, ordering, quality, reconcile, spatial, survey, transfer
-from fieldloom.session import table
+from fieldloom.session import shared_root, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -554,16 +554,16 @@ def stream_daily_counts(spark, sf_dir):
     """The streaming form run to the end of its input; the same rows as the batch form."""
     import uuid
 
-    from fieldloom.streaming import daily_counts
+    from fieldloom.streaming import daily_counts, from_folder, into_folder
 
     schema, path = table(spark, sf_dir, "events").schema, spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     files = spark.readStream.schema(schema)  # a stream reads folders, so a single file is picked by its name
     files = files.parquet(f"{sf_dir}/events.parquet") if folder else files.option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/")
-    name = f"daily_{uuid.uuid4().hex}"
     counts = daily_counts(files.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"])
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("day").cast("string").alias("day"), "event_type", "n")
+    at = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    into_folder(counts, f"{at}/rows", f"{at}/checkpoint", "complete")
+    return from_folder(spark, f"{at}/rows", counts.schema).select(F.col("day").cast("string").alias("day"), "event_type", "n")
 
 
 # --- fieldwork ---------------------------------------------------------------------------------

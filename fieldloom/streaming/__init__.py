@@ -31,24 +31,67 @@ def without_repeats(events: DataFrame, keys: list[str], time: str = "ts") -> Dat
     return events.withWatermark(time, SYNC).dropDuplicatesWithinWatermark(keys)
 
 
-def overlaps(visits: DataFrame, gap_minutes: float) -> DataFrame:
+#: Stands for no instant: a visit without an end, or no visit yet. Nothing begins soon after it.
+NEVER = -(2**63)
+
+
+def overlaps(visits: DataFrame, gap_minutes: float, late: str = SYNC) -> DataFrame:
     """visits(who, start, end, id) of a stream: those that begin less than gap_minutes after the one before ended.
 
-    The state of an enumerator is one instant, the end of the visit last in order; within a batch visits
-    are taken by start, and one that comes in a later batch is compared with what was known by then.
+    The answer of the batch form, in whatever order visits come in: a visit waits until the watermark (the latest start
+    less `late`) has passed its start, and is then judged in order of start and id. What comes later than that is dropped
+    by Spark and counted in its progress. An enumerator's state is the visits that wait and the end of the last one judged;
+    it goes as soon as no visit that may still come could be too close. A visit without a start is never judged, one
+    without an end is followed by none too closely, enumerators and ids may be null. A task holds what one
+    enumerator sends in one batch or within `late`, so bound a batch by the source's maxFilesPerTrigger.
     """
+    apart = round(gap_minutes * 60_000_000)
 
     def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["start", "id"])
-        out = []
-        for start, end, number in zip(rows["start"], rows["end"], rows["id"]):
-            gap = None if last is None else (start.value // 1000 - last) / 6e7
-            if gap is not None and gap < gap_minutes:
-                out.append((key[0], number, gap))
-            last = end.value // 1000
-        state.update((int(last),))
-        yield pd.DataFrame(out, columns=["who", "id", "gap"])
-
-    timed = visits.select(F.col("who").cast("string").alias("who"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), F.col("id").cast("long").alias("id"))
-    return timed.groupBy("who").applyInPandasWithState(step, "who string, id long, gap double", "last long", "append", GroupStateTimeout.NoTimeout)
+        starts, ends, ids, last = state.get if state.exists else ((), (), (), NEVER)
+        waiting = list(zip(starts, ids, ends))
+        for rows in batches:
+            waiting += zip(rows["start"].tolist(), rows["id"].tolist(), rows["end"].tolist())
+        waiting.sort()
+        mark, found, n = state.getCurrentWatermarkMs(), [], 0
+        while n < len(waiting) and waiting[n][0] // 1000 <= mark:
+            start, number, end = waiting[n]
+            if last != NEVER and start - last < apart:
+                found.append((key[0], None if number == NEVER else number, (start - last) / 6e7))
+            last, n = end, n + 1
+        waiting = waiting[n:]
+        # woken once the watermark has reached the next start, or when nothing can follow the last visit closely any more
+        wake = waiting[0][0] // 1000 - 1 if waiting else -((-last - apart) // 1000)
+        if waiting or wake > mark:
+            state.update((*[[int(x[k]) for x in waiting] for k in (0, 2, 1)], int(last)))
+            state.setTimeoutTimestamp(max(wake, mark, 1))
+        elif state.exists:
+            state.remove()
+        out = pd.DataFrame(found, columns=["who", "id", "gap"])
+        yield out.astype({"id": "Int64", "gap": "float64"})
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    timed = visits.select(
+        F.col("who").cast("string").alias("who"), micros("start").alias("start"), F.coalesce(micros("end"), F.lit(NEVER)).alias("end"), F.coalesce(F.col("id").cast("long"), F.lit(NEVER)).alias("id"),
+        F.date_trunc("MILLISECOND", F.col("start").cast("timestamp")).alias("moment"),
+    )
+    marked = timed.withWatermark("moment", late).where("start is not null")
+    return marked.groupBy("who").applyInPandasWithState(step, "who string, id long, gap double", "starts array<long>, ends array<long>, ids array<long>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def into_folder(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream to the end of its input into parquet files at path; a run after a failure goes on at its checkpoint.
+
+    Each batch has a folder of its own, named by its number and replaced as a whole, so a batch that is run again after a
+    failure leaves its rows once. In the complete mode the latest batch is the result, and takes the place of the one before.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number if mode == 'append' else 0}")
+
+    rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def from_folder(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What into_folder has written so far."""
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
