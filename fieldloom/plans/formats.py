@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import sources
+from fieldloom.functions import geo
 from fieldloom.operators import forms, quality, transfer
 from fieldloom.plans.queries import query
 from fieldloom.session import shared_root, table
@@ -63,6 +64,23 @@ def mapinfo_scan(spark, sf_dir):
     return sources.mif_points(spark, path, ["code", "name"], coordinates="Earth Projection 1")
 
 
+_TM = geo.TransverseMercator(9, 0, 0.9996, 500_000, 0)
+
+
+@query("select cast(c_custkey as varchar) code, c_name as \"name\", round(3 + c_custkey % 120 / 10, 6) x, round(4 + c_custkey % 97 / 10, 6) y from customer")
+def mapinfo_projected(spark, sf_dir):
+    """A pair in a transverse system, written by many tasks, comes back in degrees."""
+    path, k = _folder(spark, "customers"), F.col("c_custkey")
+    at = _TM.forward(3 + k % 120 / 10, 4 + k % 97 / 10)
+    c = table(spark, sf_dir, "customer").select(k.alias("k"), at.alias("p"), F.format_string('"%d","%s"', k, "c_name").alias("mid"))
+    place = lambda v: F.format_string("%.4f", v)
+    head = spark.createDataFrame([(-1, 'Version 300\nDelimiter ","\nCoordSys Earth Projection 8, 104, "m", 9, 0, 0.9996, 500000, 0\nColumns 2\n  code Char(9)\n  name Char(30)\nData\n')], "k long, value string")
+    rows = c.select("k", F.concat(F.lit("Point "), place("p.x"), F.lit(" "), place("p.y"), F.lit("\n    Symbol (34,0,9)")).alias("value"))
+    head.unionByName(rows).orderBy("k").select("value").write.text(f"{path}.mif")
+    c.orderBy("k").select("mid").write.text(f"{path}.mid")
+    return sources.mif_points(spark, path, ["code", "name"], degrees=True).select("code", "name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("select 'Areas' sheet, r_regionkey + 3 row_no, r_name as \"name\", cast(r_regionkey as varchar) code, '' extra, 'data' kind from region union all select 'Areas', (select count(*) from region) + 3, 'Total', null, '', 'control_total'")
 def workbook_header_scan(spark, sf_dir):
     """Of three sheets the one to trust, its header found below a title, its columns by known name, slug or number."""

@@ -6,10 +6,12 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.functions import geo
+
 
 def text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV whose cells all stay text, a byte order mark on the first name tolerated."""
@@ -73,21 +75,42 @@ def xform_binds(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(binds).alias("bind")).select(*[attribute(n) for n in ("nodeset", "type", "constraint", "relevant", "required", "calculate")])
 
 
-def mif_points(spark: SparkSession, path: str, names: list[str], delimiter: str = ",", coordinates: str | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path: str, keep: Column, name: str) -> DataFrame:
+    """(n, name): the kept lines of a text, numbered from 0 in their order; each split of a file numbers its own.
+
+    Only the count of lines per split meets in one place, so a file of any size is read by as many tasks as it has splits.
+    """
+    split = ["_file", "_block"]
+    told = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias(name)).where(keep)
+    sizes = told.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = told.withColumn("_at", F.row_number().over(Window.partitionBy(*split).orderBy("_id")))
+    return placed.join(F.broadcast(starts), split).select((F.col("_start") + F.col("_at") - 1).alias("n"), name)
+
+
+def mif_points(spark: SparkSession, path: str, names: list[str], delimiter: str = ",", coordinates: str | None = None, degrees: bool = False) -> DataFrame:
     """A MapInfo pair of points: the n-th `Point x y` line of .mif with the n-th line of .mid.
 
     coordinates: what the header's CoordSys line must begin with; another system, or none, is an error.
+    degrees: x and y become longitude and latitude by the projection that the header names (geo.header_system).
     """
-    if coordinates is not None:
-        told = spark.read.text(f"{path}.mif", wholetext=True).select(F.regexp_extract("value", r"(?im)^\s*CoordSys\s+(.*?)\s*$", 1)).first()
+    system, unit = None, 1.0
+    if coordinates is not None or degrees:
+        told = spark.read.text(f"{path}.mif").select(F.regexp_extract("value", r"(?i)^\s*CoordSys\s+(.*?)\s*$", 1).alias("s")).where("s <> ''").first()
         found = told[0] if told else ""
-        if not found.lower().startswith(coordinates.lower()):
+        if coordinates is not None and not found.lower().startswith(coordinates.lower()):
             raise ValueError(f"{path}.mif is in {found!r}, not in {coordinates!r}")
-    points = spark.read.text(f"{path}.mif", wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?im)^\s*Point\s+(\S+\s+\S+)"), F.lit(1))).alias("n", "p"))
-    lines = spark.read.text(f"{path}.mid", wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n", -1), lambda x: F.trim(x) != "")).alias("n", "line"))
+        if degrees:
+            system, unit = geo.header_system(found)
+    points = _lines(spark, f"{path}.mif", F.col("p").rlike(r"(?i)^\s*Point\s+\S+\s+\S+"), "p")
+    lines = _lines(spark, f"{path}.mid", F.trim("line") != "", "line")
     row = F.from_csv("line", ", ".join(f"`{c}` string" for c in names), {"sep": delimiter})
-    xy = F.split("p", r"\s+", -1)
-    return points.join(lines, "n").select(row.alias("r"), F.get(xy, 0).try_cast("double").alias("x"), F.get(xy, 1).try_cast("double").alias("y")).select("r.*", "x", "y")
+    part = lambda k: F.regexp_extract("p", r"(?i)^\s*Point\s+(\S+)\s+(\S+)", k).try_cast("double") * unit
+    out = points.join(lines, "n").select(row.alias("r"), part(1).alias("x"), part(2).alias("y"))
+    if system is not None:
+        out = out.select("r", system.inverse(F.col("x"), F.col("y")).alias("_at")).select("r", F.col("_at.lon").alias("x"), F.col("_at.lat").alias("y"))
+    return out.select("r.*", "x", "y")
 
 
 def markdown(df: DataFrame, formats: dict[str, str] | None = None, rows: int = 1000) -> str:
