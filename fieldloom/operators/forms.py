@@ -76,8 +76,13 @@ class Scope:
     outer: Column | None = None
     pulls: list[tuple[str, str, str, Column]] = field(default_factory=list)
     position: Column | None = None
+    entry: Column | None = None
+    entry_names: frozenset[str] = frozenset()
+    choice: tuple[str, Column] | None = None
 
     def look(self, name: str) -> Value:
+        if name in self.entry_names:
+            return Value(self.entry[name], "any")
         if name not in self.columns:
             raise FormError(f"unknown reference {name}")
         return Value(F.col(f"`{name}`"), "any")
@@ -147,6 +152,8 @@ class _Parser:
             return self.scope.look(_last(text))
         if kind == "name" and self.peek() == "(":
             return self.call(text)
+        if kind == "name" and self.scope.choice is not None:  # in a choice filter a bare name is a column of the list
+            return self.pulled(self.scope.choice[0], text, "name", self.scope.choice[1])
         raise FormError(f"unexpected {text!r} in {self.text!r}")
 
     def call(self, name: str) -> Value:
@@ -180,8 +187,12 @@ class _Parser:
             self.take(",")
         value = self.level(0)
         self.take(")")
-        pull = (*named, value.string())
-        self.scope.pulls.append(pull)
+        return self.pulled(*named, value.string())
+
+    def pulled(self, file: str, column: str, key: str, value: Column) -> Value:
+        if self.scope.entry is not None:
+            raise FormError(f"a lookup inside a repeat is made on its own rows: {self.text!r}")
+        self.scope.pulls.append((file, column, key, value))
         return Value(F.coalesce(F.col(f"_pull{len(self.scope.pulls) - 1}").cast("string"), F.lit("")), "any")
 
     def entries(self, name: str) -> Value:
@@ -199,7 +210,7 @@ class _Parser:
             scope, text = self.scope, self.text
 
             def keep(x: Column) -> Column:
-                parser = _Parser("", Scope(scope.columns, scope.repeats, scope.as_of, x, scope.value))
+                parser = _Parser("", Scope(scope.columns, scope.repeats, scope.as_of, x, scope.value, entry=scope.entry, entry_names=scope.entry_names))
                 parser.items, parser.text = inner, text
                 return parser.whole().truth()
 
@@ -292,6 +303,8 @@ class Bind:
     relevant: str = ""
     required: str = ""
     calculate: str = ""
+    choices: str = ""
+    choice_filter: str = ""
 
     @property
     def name(self) -> str:
@@ -304,9 +317,10 @@ class Bind:
         return "constraint" if self.constraint else "skip" if self.relevant else "derived" if self.calculate else "required" if self.required else "none"
 
 
-def load(binds: DataFrame) -> list[Bind]:
-    """The binds of a definition read by sources.xform_binds; a form has some hundreds."""
-    return [Bind(r.nodeset, r.type or "string", r.constraint or "", r.relevant or "", r.required or "", r.calculate or "") for r in binds.collect()]
+def load(binds: DataFrame, choices: DataFrame | None = None) -> list[Bind]:
+    """The binds of a definition read by sources.xform_binds, with the lists of sources.xform_choices; a form has some hundreds."""
+    lists = {} if choices is None else {r.nodeset: (r.list, r.choice_filter) for r in choices.collect()}
+    return [Bind(r.nodeset, r.type or "string", r.constraint or "", r.relevant or "", r.required or "", r.calculate or "", *lists.get(r.nodeset, ())) for r in binds.collect()]
 
 
 def _condition(form: list[Bind], bind: Bind) -> list[str]:
@@ -339,38 +353,121 @@ def derived(records: DataFrame, form: list[Bind], repeats: dict[str, list[str]]
     return records.drop(*[f"_pull{n}" for n in range(len(scope.pulls))])
 
 
+def _home(bind: Bind, repeats: dict[str, list[str]]) -> str | None:
+    """The repeat that a bind's path leads through."""
+    return next((step for step in bind.path.strip("/").split("/")[:-1] if step in repeats), None)
+
+
+def filled(records: DataFrame, form: list[Bind], repeats: dict[str, list[str]], lookups: dict[str, DataFrame] | None = None, as_of: str = "1970-01-01") -> DataFrame:
+    """records with all calculated fields in the form's order, those of a repeat as fields of its entries.
+
+    So counts over a repeat may ask for what was calculated in it, and no row is multiplied or shuffled but for lookups. A name
+    that a repeat's path leads to and its list leaves out becomes a new field. A repeat that is null stays so.
+    """
+    known = {r: set(names) for r, names in repeats.items()}
+    scope = Scope(set(records.columns), {r: list(names) for r, names in repeats.items()}, as_of)
+    for b in form:
+        if not b.calculate:
+            continue
+        home = _home(b, repeats)
+        if home is None:
+            had = len(scope.pulls)
+            value = compiled(b.calculate, scope)
+            records = _joined(records, scope, lookups or {}, had)
+            records = records.withColumn(b.name, value.string() if value.kind == "any" else value.col)
+            scope.columns.add(b.name)
+            continue
+
+        def with_field(e: Column, i: Column) -> Column:
+            inside = Scope(scope.columns, scope.repeats, as_of, position=i + 1, entry=e, entry_names=frozenset(known[home]))
+            value = compiled(b.calculate, inside)
+            return e.withField(b.name, value.string() if value.kind == "any" else value.col)
+
+        records = records.withColumn(home, F.transform(F.col(f"`{home}`"), with_field))
+        known[home].add(b.name)
+        scope.repeats[home] = sorted(known[home])
+    return records.drop(*[f"_pull{n}" for n in range(len(scope.pulls))])
+
+
 def entries(records: DataFrame, repeat: str, position: str = "line") -> DataFrame:
     """A row per entry of a repeat with the submission's own columns, numbered from 1."""
     rows = records.select("*", F.posexplode(repeat).alias("_n", "_e"))
     return rows.select(*[c for c in records.columns], (F.col("_n") + 1).alias(position), "_e.*")
 
 
+def _broken(bind: Bind, form: list[Bind], own: Column, scope: Scope) -> list[Column]:
+    """Per rule of a question a column that is its report where it is broken, else null."""
+    given, found = F.coalesce(own.cast("string"), F.lit("")) != "", []
+    scope.value = own
+    conditions = _condition(form, bind)
+    relevant = reduce(lambda a, c: a & c, [compiled(x, scope).truth() for x in conditions], F.lit(True))
+    say = lambda what: F.struct(F.lit(bind.name).alias("field"), F.lit(bind.enforcement).alias("enforcement"), F.lit(what).alias("violation"))
+    if conditions:
+        found.append(F.when(~relevant & given, say("answered_but_skipped")))
+    if bind.required and bind.required not in ("false()", "no"):
+        needed = F.lit(True) if bind.required in ("yes", "true", "true()") else compiled(bind.required, scope).truth()
+        found.append(F.when(relevant & needed & ~given, say("missing")))
+    if bind.constraint:
+        found.append(F.when(relevant & given & ~compiled(bind.constraint, scope).truth(), say("constraint")))
+    if bind.choices:
+        scope.choice = (bind.choices, Value(own, "any").string())
+        listed = compiled("name != ''" + (f" and ({bind.choice_filter})" if bind.choice_filter else ""), scope).truth()
+        scope.choice = None
+        found.append(F.when(relevant & given & ~listed, say("not_a_choice")))
+    return found
+
+
+_REPORTS = "array<struct<field:string,enforcement:string,violation:string>>"
+
+
 def violations(records: DataFrame, form: list[Bind], key: list[str], repeats: dict[str, list[str]] | None = None, lookups: dict[str, DataFrame] | None = None, as_of: str = "1970-01-01") -> DataFrame:
     """(key..., field, enforcement, violation) for each broken rule of the questions that records have.
 
-    violation: constraint (answered, relevant and not true), missing (required, relevant, unanswered) or
-    answered_but_skipped. One pass over the records, whatever the number of rules; unanswered is null or ''.
+    violation: constraint (answered, relevant and not true), missing (required, relevant, unanswered), answered_but_skipped
+    or not_a_choice (answered with what its list, as its filter leaves it, does not hold under `name`).
+    One pass over the records, whatever the number of rules; unanswered is null or ''.
     """
-    scope, found = Scope(set(records.columns), repeats or {}, as_of), []
+    records, found = _submission_rules(records, form, repeats or {}, lookups or {}, as_of)
+    every = F.array_compact(F.array(*found)) if found else F.array().cast(_REPORTS)
+    return records.select(*key, F.explode(every).alias("_v")).select(*key, "_v.*")
+
+
+def _submission_rules(records: DataFrame, form: list[Bind], repeats: dict[str, list[str]], lookups: dict[str, DataFrame], as_of: str) -> tuple[DataFrame, list[Column]]:
+    scope, found = Scope(set(records.columns), repeats, as_of), []
     for b in form:
-        if b.name not in records.columns or not (b.constraint or b.required or _condition(form, b)):
+        if b.name not in records.columns or not (b.constraint or b.required or b.choices or _condition(form, b)):
             continue
-        own = F.col(f"`{b.name}`")
-        given = F.coalesce(own.cast("string"), F.lit("")) != ""
         had = len(scope.pulls)
-        scope.value = own
-        relevant = reduce(lambda a, c: a & c, [compiled(x, scope).truth() for x in _condition(form, b)], F.lit(True))
-        say = lambda what, b=b: F.struct(F.lit(b.name).alias("field"), F.lit(b.enforcement).alias("enforcement"), F.lit(what).alias("violation"))
-        if _condition(form, b):
-            found.append(F.when(~relevant & given, say("answered_but_skipped")))
-        if b.required and b.required not in ("false()", "no"):
-            needed = F.lit(True) if b.required in ("yes", "true", "true()") else compiled(b.required, scope).truth()
-            found.append(F.when(relevant & needed & ~given, say("missing")))
-        if b.constraint:
-            found.append(F.when(relevant & given & ~compiled(b.constraint, scope).truth(), say("constraint")))
-        records = _joined(records, scope, lookups or {}, had)
-    empty = F.array().cast("array<struct<field:string,enforcement:string,violation:string>>")
-    every = F.array_compact(F.array(*found)) if found else empty
+        found += _broken(b, form, F.col(f"`{b.name}`"), scope)
+        records = _joined(records, scope, lookups, had)
+    return records, found
+
+
+def checked(records: DataFrame, form: list[Bind], key: list[str], repeats: dict[str, list[str]], lookups: dict[str, DataFrame] | None = None, as_of: str = "1970-01-01") -> DataFrame:
+    """(key..., line, field, enforcement, violation): all rules of a form over whole submissions, those of repeats by entry.
+
+    Calculated fields are filled first. line is the entry's number from 1, null for the submission's own questions. Only
+    questions that a repeat's list names (or that are calculated in it) are checked there. Entries are checked inside their
+    submission, so a serial may be counted among its neighbours, and the plan has no shuffle but for lookups.
+    """
+    records = filled(records, form, repeats, lookups, as_of)
+    known = {r: [f.name for f in records.schema[r].dataType.elementType.fields] for r in repeats}
+    outer = [b for b in form if _home(b, repeats) is None]
+    columns = frozenset(records.columns)
+    records, found = _submission_rules(records, outer, known, lookups or {}, as_of)
+    parts = [F.transform(F.array_compact(F.array(*found)), lambda v: F.struct(F.lit(None).cast("int").alias("line"), v["field"].alias("field"), v["enforcement"].alias("enforcement"), v["violation"].alias("violation")))] if found else []
+    for repeat, names in known.items():
+        ruled = [b for b in form if _home(b, repeats) == repeat and b.name in names and (b.constraint or b.required or b.choices or _condition(form, b))]
+        if not ruled:
+            continue
+
+        def reports(e: Column, i: Column) -> Column:
+            scope = Scope(set(columns), known, as_of, position=i + 1, entry=e, entry_names=frozenset(names))
+            broken = [c for b in ruled for c in _broken(b, form, e[b.name], scope)]
+            return F.transform(F.array_compact(F.array(*broken)), lambda v: F.struct((i + 1).alias("line"), v["field"].alias("field"), v["enforcement"].alias("enforcement"), v["violation"].alias("violation")))
+
+        parts.append(F.coalesce(F.flatten(F.transform(F.col(f"`{repeat}`"), reports)), F.array().cast("array<struct<line:int,field:string,enforcement:string,violation:string>>")))
+    every = F.concat(*parts) if parts else F.array().cast("array<struct<line:int,field:string,enforcement:string,violation:string>>")
     return records.select(*key, F.explode(every).alias("_v")).select(*key, "_v.*")
 
 

@@ -163,6 +163,58 @@ def form_constraints(spark, sf_dir):
     return forms.violations(o, form, ["k"], as_of="1995-06-17").select("k", "field", "violation")
 
 
+_GATES_SQL = """
+with l as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_returnflag, l_suppkey)::int line, l_linenumber nr, l_quantity::double q, case when l_returnflag <> 'N' then l_returnflag end flag, l_suppkey serial, l_linenumber + l_orderkey % 2 rel from lineitem),
+e as (select *, q between 10 and 40 elig, count(*) over (partition by k, serial) same from l),
+n as (select k, count(*) n, count(*) filter (where elig) nelig from e group by 1),
+o as (select o_orderkey k, o_orderstatus st, cast(cast(o_orderdate as date) as varchar) d, lpad(cast(o_custkey % 10000 + case when o_orderkey % 9 = 0 then 1 else 0 end as varchar), 4, '0') pin,
+  o_custkey % 30 place, o_orderkey % 5 want, o_orderkey % 4 = 0 late, o_orderkey % 6 stated, coalesce(n, 0) n, coalesce(nelig, 0) nelig, c_custkey from orders left join n on n.k = o_orderkey left join customer on c_custkey = o_custkey),
+p as (select o.*, n_regionkey reg from o left join nation on n_nationkey = place)
+select k, null::int line, 'pin' field, 'constraint' violation from p where length(pin) <> 4 or pin <> coalesce(lpad(cast(c_custkey % 10000 as varchar), 4, '0'), '')
+union all select k, null, 'day', 'constraint' from p where not (d >= '1992-03-01' and d <= '1998-01-01' and d <= '1997-06-17')
+union all select k, null, 'place', 'not_a_choice' from p where reg is null or reg <> want
+union all select k, null, 'late', 'answered_but_skipped' from p where st <> 'F' and late
+union all select k, null, 'late', 'missing' from p where st = 'F' and not late
+union all select k, null, 'stated', 'constraint' from p where not (stated = nelig or n > 4)
+union all select k, line, 'rel', 'constraint' from e where line = 1 and rel <> 1
+union all select k, line, 'serial', 'constraint' from e where same <> 1
+union all select k, line, 'flag', 'missing' from e where elig and flag is null
+union all select k, line, 'flag', 'answered_but_skipped' from e where not elig and flag is not null
+union all select k, line, 'flag', 'constraint' from e where elig and flag <> 'R' and nr <= 3
+"""
+
+
+@query(_GATES_SQL)
+def form_gates(spark, sf_dir):
+    """A form's gates over whole submissions: orders with their lines as a repeat, lookups, choices by filter, serials counted among neighbours."""
+    entry = F.struct(F.col("l_linenumber").alias("nr"), F.col("l_quantity").cast("double").alias("q"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), F.col("l_suppkey").alias("serial"), (F.col("l_linenumber") + F.col("l_orderkey") % 2).alias("rel"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_suppkey", entry.alias("e")))).alias("x")).select("k", F.transform("x", lambda v: v["e"]).alias("roster"))
+    key, four = F.col("o_orderkey"), lambda c: F.lpad(c.cast("string"), 4, "0")
+    homes = table(spark, sf_dir, "orders").select(
+        key.alias("k"), F.col("o_custkey").cast("string").alias("cust"), F.col("o_orderstatus").alias("st"), F.to_date("o_orderdate").cast("string").alias("day"),
+        four(F.col("o_custkey") % 10000 + (key % 9 == 0).cast("int")).alias("pin"), (F.col("o_custkey") % 30).cast("string").alias("place"), (key % 5).cast("string").alias("want"),
+        F.when(key % 4 == 0, "late").alias("late"), (key % 6).alias("stated"),
+    ).join(lines, "k", "left")
+    lookups = {
+        "staff": table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), four(F.col("c_custkey") % 10000).alias("pin")),
+        "places": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_regionkey").cast("string").alias("region")),
+    }
+    form = [
+        forms.Bind("/data/pin", constraint="regex(., '^[0-9]{4}$') and . = pulldata('staff', 'pin', 'name', ${cust})", required="true()"),
+        forms.Bind("/data/day", "date", ". >= date('1992-03-01') and . <= date('1998-01-01') and . <= today()", required="true()"),
+        forms.Bind("/data/place", choices="places", choice_filter="region = ${want}", required="true()"),
+        forms.Bind("/data/late", relevant="${st} = 'F'", required="true()"),
+        forms.Bind("/data/roster/line", calculate="position(..)"), forms.Bind("/data/roster/elig", calculate="if(${q} >= 10 and ${q} <= 40, 1, 0)"),
+        forms.Bind("/data/roster/rel", "int", "not(${line} = 1) or . = '1'"),
+        forms.Bind("/data/roster/serial", constraint="count(/data/roster/serial[. = current()/.]) = 1"),
+        forms.Bind("/data/roster/s4", relevant="${elig} = 1"), forms.Bind("/data/roster/s4/flag", constraint=". = 'R' or ${nr} > 3", required="true()"),
+        forms.Bind("/data/n", calculate="count(${nr})"), forms.Bind("/data/nelig", calculate="count(${elig}[. = 1])"),
+        forms.Bind("/data/stated", "int", ". = ${nelig} or ${n} > 4"),
+    ]
+    names = {"roster": ["nr", "q", "flag", "serial", "rel"]}
+    return forms.checked(homes, form, ["k"], names, lookups, as_of="1997-06-17").select("k", "line", "field", "violation")
+
+
 @query("select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag)::int line, l_linenumber number, l_returnflag flag from lineitem")
 def repeat_entries(spark, sf_dir):
     """The entries of a repeat as rows of their own, numbered in their order."""

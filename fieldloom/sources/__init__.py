@@ -75,6 +75,16 @@ def xform_binds(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(binds).alias("bind")).select(*[attribute(n) for n in ("nodeset", "type", "constraint", "relevant", "required", "calculate")])
 
 
+def xform_choices(spark: SparkSession, path: str) -> DataFrame:
+    """(nodeset, list, choice_filter) of each question whose choices come from a list: the list's name and the filter on its rows."""
+    whole = spark.read.text(path, wholetext=True)
+    selects = F.regexp_extract_all("value", F.lit(r"(?s)<(?:\w+:)?select1?\b[^>]*>.*?</(?:\w+:)?select1?>"), F.lit(0))
+    plain = lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")], c)
+    rows = whole.select(F.explode(selects).alias("s")).select(plain(F.regexp_extract("s", r'^[^>]*?\bref="([^"]*)"', 1)).alias("nodeset"), plain(F.regexp_extract("s", r'(?s)<(?:\w+:)?itemset\b[^>]*?\bnodeset="([^"]*)"', 1)).alias("rows"))
+    found = rows.select("nodeset", F.regexp_extract("rows", r"instance\('([^']+)'\)", 1).alias("list"), F.regexp_extract("rows", r"(?s)\[(.*)\]\s*$", 1).alias("choice_filter"))
+    return found.where("list <> ''")
+
+
 def _lines(spark: SparkSession, path: str, keep: Column, name: str) -> DataFrame:
     """(n, name): the kept lines of a text, numbered from 0 in their order; each split of a file numbers its own.
 
