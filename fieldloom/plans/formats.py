@@ -14,7 +14,7 @@ from fieldloom.functions import geo
 from fieldloom.operators import forms, quality, transfer
 from fieldloom.plans.queries import query
 from fieldloom.session import shared_root, table
-from fieldloom.sources import binary, sinks
+from fieldloom.sources import binary, shapefiles, sinks
 
 
 def _folder(spark, name: str) -> str:
@@ -108,6 +108,17 @@ def shapefile_round_trip(spark, sf_dir):
     return binary.shapefile(spark, path).select(F.col("cells")["id"].alias("id"), F.col("cells")["name"].alias("name"), "kind", p["x"].alias("x"), p["y"].alias("y"))
 
 
+@query("select rn row_no, cast(o_orderkey as varchar) id, o_orderstatus status, 'line' kind, 2::bigint points, o_custkey * 1.0::double x, o_orderkey % 90 * 1.0::double y from (select *, row_number() over (order by o_orderkey) - 1 rn from orders) o")
+def shapefile_sets(spark, sf_dir):
+    """All orders as lines, written as sets of files by many tasks and read by ranges of records, in their order."""
+    path, k = _folder(spark, "orders-shapes"), F.col("o_orderkey")
+    at = lambda d: F.struct((F.col("o_custkey") + d).cast("double").alias("x"), (k % 90 + d).cast("double").alias("y"))
+    o = table(spark, sf_dir, "orders").select(F.array(F.array(at(0), at(1))).alias("parts"), k.alias("id"), F.col("o_orderstatus").alias("status"))
+    shapefiles.write(o.orderBy(o["id"]), path, "line")
+    p = F.col("parts")[0]
+    return shapefiles.read(spark, path, 5_000).select("row_no", F.col("cells")["id"].alias("id"), F.col("cells")["status"].alias("status"), "kind", F.size(p).cast("long").alias("points"), p[0]["x"].alias("x"), p[0]["y"].alias("y"))
+
+
 @query("select 'regions' layer, cast(r_regionkey as varchar) code, r_name as \"name\", 'polygon' kind, 5 corners, r_regionkey * 2.0::double minx from region union all select 'places', cast(n_nationkey as varchar), n_name, 'point', 1, n_nationkey * 1.0::double from nation")
 def geopackage_layers(spark, sf_dir):
     """Two layers of a GeoPackage that is made here of the two tables whose size is fixed."""

@@ -90,20 +90,24 @@ def geopackage(spark: SparkSession, path: str, layer: str | None = None) -> Data
     return _read(spark, path, _geopackage(layer))
 
 
+def shape(record: bytes) -> tuple[str | None, list[list[dict]] | None]:
+    """Kind and parts of a shapefile's record, its own head of eight bytes included."""
+    (kind,) = struct.unpack_from("<i", record, 8)
+    if kind == 1:
+        return "point", [_points(record, 12, 1, "<")]
+    if kind not in (3, 5):
+        return None, None
+    n, m = struct.unpack_from("<2i", record, 44)
+    starts = [*struct.unpack_from(f"<{n}i", record, 52), m]
+    points = _points(record, 52 + 4 * n, m, "<")
+    return "polygon" if kind == 5 else "line", [points[a:b] for a, b in zip(starts, starts[1:])]
+
+
 def _shapes(content: bytes):
     at, k = 100, 0
     while at + 8 <= len(content):
         (words,) = struct.unpack_from(">i", content, at + 4)
-        (kind,) = struct.unpack_from("<i", content, at + 8)
-        if kind == 1:
-            yield "shp", k, {}, "point", [_points(content, at + 12, 1, "<")]
-        elif kind in (3, 5):
-            n, m = struct.unpack_from("<2i", content, at + 44)
-            starts = [*struct.unpack_from(f"<{n}i", content, at + 52), m]
-            points = _points(content, at + 52 + 4 * n, m, "<")
-            yield "shp", k, {}, "polygon" if kind == 5 else "line", [points[a:b] for a, b in zip(starts, starts[1:])]
-        else:
-            yield "shp", k, {}, None, None
+        yield "shp", k, {}, *shape(content[at : at + 8 + 2 * words])
         at, k = at + 8 + 2 * words, k + 1
 
 
