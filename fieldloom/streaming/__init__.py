@@ -31,19 +31,22 @@ def without_repeats(events: DataFrame, keys: list[str], time: str = "ts") -> Dat
     return events.withWatermark(time, SYNC).dropDuplicatesWithinWatermark(keys)
 
 
-#: Stands for no instant: a visit without an end, or no visit yet. Nothing begins soon after it.
-NEVER = -(2**63)
+#: Stand for no instant, a visit without an end or no visit yet, after which nothing begins soon; and for all time.
+NEVER, NO_END = -(2**63), 2**63
 
 
-def overlaps(visits: DataFrame, gap_minutes: float, late: str = SYNC) -> DataFrame:
+def overlaps(visits: DataFrame, gap_minutes: float, late: str | None = None) -> DataFrame:
     """visits(who, start, end, id) of a stream: those that begin less than gap_minutes after the one before ended.
 
-    The answer of the batch form, in whatever order visits come in: a visit waits until the watermark (the latest start
+    With `late`, as SYNC, it is the answer of the batch form, in whatever order visits come in: a visit waits until the watermark (the latest start
     less `late`) has passed its start, and is then judged in order of start and id. What comes later than that is dropped
     by Spark and counted in its progress. An enumerator's state is the visits that wait and the end of the last one judged;
     it goes as soon as no visit that may still come could be too close. A visit without a start is never judged, one
     without an end is followed by none too closely, enumerators and ids may be null. A task holds what one
     enumerator sends in one batch or within `late`, so bound a batch by the source's maxFilesPerTrigger.
+
+    Without `late` nothing waits and nothing is dropped: visits are judged as they come, those of a batch in order and a later
+    one by what was known by then; an enumerator's state is one instant, kept as long as the stream runs.
     """
     apart = round(gap_minutes * 60_000_000)
 
@@ -53,7 +56,7 @@ def overlaps(visits: DataFrame, gap_minutes: float, late: str = SYNC) -> DataFra
         for rows in batches:
             waiting += zip(rows["start"].tolist(), rows["id"].tolist(), rows["end"].tolist())
         waiting.sort()
-        mark, found, n = state.getCurrentWatermarkMs(), [], 0
+        mark, found, n = NO_END if late is None else state.getCurrentWatermarkMs(), [], 0
         while n < len(waiting) and waiting[n][0] // 1000 <= mark:
             start, number, end = waiting[n]
             if last != NEVER and start - last < apart:
@@ -62,9 +65,10 @@ def overlaps(visits: DataFrame, gap_minutes: float, late: str = SYNC) -> DataFra
         waiting = waiting[n:]
         # woken once the watermark has reached the next start, or when nothing can follow the last visit closely any more
         wake = waiting[0][0] // 1000 - 1 if waiting else -((-last - apart) // 1000)
-        if waiting or wake > mark:
+        if late is None or waiting or wake > mark:
             state.update((*[[int(x[k]) for x in waiting] for k in (0, 2, 1)], int(last)))
-            state.setTimeoutTimestamp(max(wake, mark, 1))
+            if late is not None:
+                state.setTimeoutTimestamp(max(wake, mark, 1))
         elif state.exists:
             state.remove()
         out = pd.DataFrame(found, columns=["who", "id", "gap"])
@@ -75,8 +79,9 @@ def overlaps(visits: DataFrame, gap_minutes: float, late: str = SYNC) -> DataFra
         F.col("who").cast("string").alias("who"), micros("start").alias("start"), F.coalesce(micros("end"), F.lit(NEVER)).alias("end"), F.coalesce(F.col("id").cast("long"), F.lit(NEVER)).alias("id"),
         F.date_trunc("MILLISECOND", F.col("start").cast("timestamp")).alias("moment"),
     )
-    marked = timed.withWatermark("moment", late).where("start is not null")
-    return marked.groupBy("who").applyInPandasWithState(step, "who string, id long, gap double", "starts array<long>, ends array<long>, ids array<long>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = (timed if late is None else timed.withWatermark("moment", late)).where("start is not null")
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return marked.groupBy("who").applyInPandasWithState(step, "who string, id long, gap double", "starts array<long>, ends array<long>, ids array<long>, last long", "append", timeout)
 
 
 def into_folder(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

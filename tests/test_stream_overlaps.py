@@ -64,6 +64,12 @@ def test_ties_nulls_and_instants_between_milliseconds(spark, tmp_path):
     assert got == batch(spark, rows) and len(got) >= 5 and left == 1
 
 
+def test_without_a_span_visits_are_judged_as_they_come(spark, tmp_path):
+    first = [visit("a", 0, 5, 1), visit("a", 6, 5, 2)]
+    got, left = stream(spark, tmp_path, [first, [visit("a", 12, 1, 4), visit("a", 3, 1, 3)]], late=None)
+    assert got == [("a", 2, 1.0), ("a", 3, -8.0)] and left == 1  # 4 follows 3, whose end is 8 minutes before
+
+
 def test_nothing_comes(spark, tmp_path):
     got, left = stream(spark, tmp_path, [[]])
     assert got == [] and left == 0
@@ -76,7 +82,7 @@ def test_a_batch_run_again_leaves_its_rows_once(spark, tmp_path):
     for name in (commits[-1], f".{commits[-1]}.crc"):  # as after a failure between the write and the commit
         (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
     visits = streaming.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema, "start")
-    streaming.into_folder(streaming.overlaps(visits, 2), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    streaming.into_folder(streaming.overlaps(visits, 2, "72 hours"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = streaming.from_folder(spark, str(tmp_path / "out"), "who string, id long, gap double")
     assert [(r.who, r.id, r.gap) for r in got.collect()] == want == [("a", 2, 1.0)]
 
