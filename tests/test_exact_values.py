@@ -1,8 +1,12 @@
 """Values that depend on rounding or on the order of rows: halves and equal sums."""
 
+import random
 from datetime import datetime
+from functools import reduce
+from operator import add
 
 import duckdb
+import pytest
 
 from fieldloom.plans.queries import ORACLES, QUERIES
 
@@ -26,3 +30,21 @@ def test_prices_near_a_half(spark, tmp_path):
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp")
     got, want = both(spark, tmp_path, "form_constraints", orders=orders)
     assert got == want and (0, "t", "constraint") not in got and (24, "t", "constraint") in got
+
+
+def test_equal_sums_share_a_rank(spark, tmp_path):
+    """Suppliers with the same discounts in other orders: in doubles 0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1."""
+    rng, rows, sums = random.Random(4), [], {}
+    for supplier in range(60):
+        cents = [1 + (supplier % 6), 2, 3, 4, 5, 7, 7, 10]
+        rng.shuffle(cents)
+        q = rng.randint(1, 9)
+        rows += [(supplier, float(q), c / 100) for c in cents]
+        sums[supplier] = (q * len(cents), sum(cents))
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ranks = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+    a, b = (ranks([s[k] for s in sums.values()]) for k in (0, 1))
+    mean = (len(a) + 1) / 2
+    rho = sum((p - mean) * (q - mean) for p, q in zip(a, b)) / (sum((p - mean) ** 2 for p in a) * sum((q - mean) ** 2 for q in b)) ** 0.5
+    assert len({reduce(add, [d for s, _, d in rows if s == k]) for k in sums}) > 6  # doubles do part them
+    assert QUERIES["spearman"](spark, str(tmp_path)).first().rho == pytest.approx(rho, abs=1e-6)
