@@ -48,3 +48,19 @@ def test_equal_sums_share_a_rank(spark, tmp_path):
     rho = sum((p - mean) * (q - mean) for p, q in zip(a, b)) / (sum((p - mean) ** 2 for p in a) * sum((q - mean) ** 2 for q in b)) ** 0.5
     assert len({reduce(add, [d for s, _, d in rows if s == k]) for k in sums}) > 6  # doubles do part them
     assert QUERIES["spearman"](spark, str(tmp_path)).first().rho == pytest.approx(rho, abs=1e-6)
+
+
+def test_means_on_a_half(spark, tmp_path):
+    """Clusters of 256 and 768 rows with means that end on half of the last digit kept: they go up, whatever the order of rows."""
+    rng, rows, want = random.Random(8), [], {}
+    for cluster in range(40):
+        size = 768 if cluster % 4 == 0 else 256
+        cents = [rng.randint(0, 10) for _ in range(size)]
+        cents[0] += (size // 256 - sum(cents)) % (2 * size // 256)  # an odd number of 256ths of a cent
+        rows += [(cluster, "O", c / 100) for c in cents]
+        want[cluster] = (20_000_000 * sum(cents) + size) // (2 * size) / 1e9
+        assert 20_000_000 * sum(cents) % size == 0 and 20_000_000 * sum(cents) // size % 2 == 1
+    spark.createDataFrame([*rows, (99, "F", None)], "l_suppkey long, l_linestatus string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["caterpillar"](spark, str(tmp_path)).collect()
+    assert {r.cluster: r["mean"] for r in got} == {**want, 99: None}
+    assert [r.cluster for r in sorted(got, key=lambda r: r.place)] == [*sorted(want, key=lambda k: (want[k], k)), 99]  # as SQL has it, no mean comes last
