@@ -98,3 +98,20 @@ def test_no_plan_has_a_cross_join(spark):
     with redirect_stdout(said):
         reconcile.cascade(names, authority).explain("formatted")
     assert "CartesianProduct" not in said.getvalue() and "NestedLoop" not in said.getvalue()
+
+
+def test_names_with_a_common_beginning(spark, monkeypatch):
+    """In numbered names no pair of letters is rare: an index would meet nearly all, so they come by one letter or by blocks."""
+    keys = [f"SUPPLIER{k:09}" for k in range(150)]
+    names = [k[:13] + "X" + k[:12:-1] for k in keys] + [k[:14] + k[15:] for k in keys[::9]] + [k + "7" for k in keys[::9]] + keys[:3]
+    monkeypatch.setattr(fuzzy, "_ring", lambda *_: pytest.fail("the index meets nearly all pairs"))
+    order = [(k * 37) % 150 for k in range(150)]
+    authority = spark.createDataFrame(list(zip(keys, order)), "key string, first int")
+    got = {r.k: (r.score, r.key) for r in fuzzy.most_similar(spark.createDataFrame([(n,) for n in names], "k string"), authority, block=64).collect()}
+    assert got == slow(names, list(zip(order, keys)))
+
+
+def test_equals_that_come_later_are_not_measured(monkeypatch):
+    block, made = fuzzy._Block([f"SUPPLIER{k:09}" for k in range(2000)]), []
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    assert block.best("SUPPLIERX", 0.0) and len(made) < 5
