@@ -257,10 +257,64 @@ def two_step_catchment(reach: DataFrame, demand: DataFrame, supply: DataFrame) -
     served = reach.join(demand.select("i", "pop"), "i").groupBy("j").agg(F.sum("pop").alias("people"))
     ratio = supply.join(served, "j").select("j", F.try_divide("cap", "people").alias("r"))
     access = reach.join(ratio, "j").groupBy("i").agg(F.sum("r").alias("a"))
+    return _zone_access(demand, access)
+
+
+def _zone_access(demand: DataFrame, access: DataFrame) -> DataFrame:
     total = F.sum(F.col("pop") * F.coalesce("a", F.lit(0.0)))
     return demand.join(access, "i", "left").groupBy("zone").agg(F.coalesce(F.try_divide(total, F.sum("pop")), F.lit(0.0)).alias("access"))
 
 
+#: Cells of sums along a radius.
+SUM_CELLS = 16
+
+
+def sums_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """(i, total): the sum of v over right(j, x, y, v) at most radius from each of left(i, x, y), for those that have any.
+
+    Both sides lie in small cells with the box of what they hold. A cell wholly in reach of another gives its sum once; only
+    points of cells on the rim meet one by one, less those that a whole cell reaches or misses. The smaller side meets
+    cells first, so no pairs are shuffled.
+    """
+    far, size = radius * radius, radius / SUM_CELLS
+    mine = _placed(left.select("i", "x", "y")).withColumns({"_bx": _cell(F.col("x"), size), "_by": _cell(F.col("y"), size)})
+    theirs = _placed(right.select("x", "y", "v")).withColumns({"_fx": _cell(F.col("x"), size), "_fy": _cell(F.col("y"), size)})
+    theirs = theirs.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("v").alias("_v"), "_fx", "_fy")
+    ends = lambda x, y, to: [f(c).alias(f"{to}{n}{k}") for n, c in (("x", x), ("y", y)) for f, k in ((F.min, 0), (F.max, 1))]
+    blocks = mine.groupBy("_bx", "_by").agg(*ends("x", "y", "_b")).withColumns({"_cx": _cell(F.col("_bx0"), radius), "_cy": _cell(F.col("_by0"), radius)})
+    # a block is no wider than its cell, so its least corner is at most that much further away
+    around = lambda c: F.explode(F.sequence(_cell(F.col(f"{c}0") - radius - 2 * size, radius), _cell(F.col(f"{c}1") + radius, radius)))
+    leaves = theirs.groupBy("_fx", "_fy").agg(F.sum("_v").alias("_s"), *ends("_x", "_y", "_f")).withColumn("_cx", around("_fx")).withColumn("_cy", around("_fy"))
+    span = lambda a, b: [F.col(a), F.col(b or a)]
+    block, leaf = (span("_bx0", "_bx1"), span("_by0", "_by1")), (span("_fx0", "_fx1"), span("_fy0", "_fy1"))
+    least = lambda a, b: _squared(_outside(*b[0], *a[0]), _outside(*b[1], *a[1])) <= far
+    most = lambda a, b: _squared(_reach(*b[0], *a[0]), _reach(*b[1], *a[1])) <= far
+    # few rows that meet many: their number of tasks must not follow their size
+    context = left.sparkSession.sparkContext
+    pairs = blocks.repartition(8 * context.defaultParallelism, "_cx", "_cy").join(leaves, ["_cx", "_cy"]).where(least(block, leaf)).withColumn("_whole", most(block, leaf))
+    whole, rim = pairs.where("_whole").select("_bx", "_by", "_s"), pairs.where("not _whole")
+    if mine.count() <= theirs.count():
+        place = (span("x", None), span("y", None))
+        own = rim.join(mine, ["_bx", "_by"]).where(least(place, leaf)).withColumn("_whole", most(place, leaf))
+        sums = own.where("_whole").select("i", "_s")
+        met = own.where("not _whole").select("i", "x", "y", "_fx", "_fy").join(theirs, ["_fx", "_fy"])
+    else:
+        place = (span("_x", None), span("_y", None))
+        own = rim.join(theirs, ["_fx", "_fy"]).where(least(block, place)).withColumn("_whole", most(block, place))
+        whole, sums = whole.unionByName(own.where("_whole").select("_bx", "_by", F.col("_v").alias("_s"))), None
+        met = own.where("not _whole").select("_bx", "_by", "_x", "_y", "_v").join(mine, ["_bx", "_by"])
+    near = met.where(_squared(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) <= far).select("i", F.col("_v").alias("_s"))
+    every = near.unionByName(whole.groupBy("_bx", "_by").agg(F.sum("_s").alias("_s")).join(mine, ["_bx", "_by"]).select("i", "_s"))
+    return (every.unionByName(sums) if sums is not None else every).groupBy("i").agg(F.sum("_s").alias("total"))
+
+
+def catchment_access(demand: DataFrame, supply: DataFrame, radius: float) -> DataFrame:
+    """two_step_catchment over all pairs at most radius apart, of demand(i, x, y, pop, zone) and supply(j, x, y, cap), by sums of cells."""
+    people = sums_within(supply.withColumnRenamed("j", "i"), demand.withColumnRenamed("pop", "v"), radius)
+    ratio = cut(supply.join(people.withColumnRenamed("i", "j"), "j").select("j", "x", "y", F.try_divide("cap", "total").alias("v")))
+    return _zone_access(demand, sums_within(demand, ratio, radius).withColumnRenamed("total", "a"))
+
+
 def coverage(demand: DataFrame, minutes: DataFrame, thresholds: list[float]) -> DataFrame:
     """demand(i, pop, zone), minutes(i, minutes) -> people covered per zone and threshold, distances used once."""
     limits = demand.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
